@@ -24,6 +24,8 @@ from .joins import hot_key_lookup
 
 _SLOT = "__slot"
 MAX_SLOTS = 4096
+# Groups measured to be at most this large are numbered by an ordinary window.
+WINDOW_ROWS = 250_000
 TIE_RANGE = 1 << 20
 
 
@@ -115,48 +117,66 @@ def cumulative(
     )
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group; counted before the shuffle, so a hot key costs nothing extra."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return int(sizes.agg(F.max("n")).first()[0] or 0)
+
+
+def _usable(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    known = F.col(value).isNotNull()
+    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
+        known = known & ~F.isnan(value)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return df.where(known)
+
+
 def value_ranks(
     df: DataFrame,
     value: str,
     keys: Sequence[str] = (),
     extra: Mapping[str, Column] | None = None,
     running: Sequence[str] = (),
-    edges: Sequence[float] | None = None,
 ) -> DataFrame:
     """One row per distinct (keys, value): ``n``, ``n_before``, ``n_total`` and ``avg_rank``.
 
     Missing values and missing keys take no part. ``extra`` aggregates further columns at
     the same level; those named in ``running`` get their own ``_before`` and ``_total``.
-    Tied rows share the mean of the ranks they cover.
+    Tied rows share the mean of the ranks they cover. The largest group is measured first:
+    up to ``WINDOW_ROWS`` a window per group numbers the values, beyond it slots do.
     """
     keys = list(keys)
-    dtype = df.schema[value].dataType
-    col = F.col(value)
-    known = col.isNotNull()
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        known = known & ~F.isnan(col)
-    for key in keys:
-        known = known & F.col(key).isNotNull()
-    rows = df.where(known)
-    if edges is None:
-        edges = slot_edges(rows, col, slot_count(df.sparkSession))
+    rows = _usable(df, value, keys)
     counted = rows.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (extra or {}).items()]
     )
-    out = cumulative(with_value_slots(counted, value, edges), keys, [value], ["n", *running])
+    measures = ["n", *running]
+    if largest_group(rows, keys) <= WINDOW_ROWS:
+        group = Window.partitionBy(*(keys or [F.lit(0)]))
+        earlier = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        out = counted.select(
+            "*",
+            *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"{m}_before") for m in measures],
+            *[F.sum(m).over(group).alias(f"{m}_total") for m in measures],
+        )
+    else:
+        edges = slot_edges(rows, F.col(value), slot_count(df.sparkSession))
+        out = cumulative(with_value_slots(counted, value, edges), keys, [value], measures)
     return out.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / 2)
 
 
-def percentiles(
-    df: DataFrame,
-    value: str,
-    keys: Sequence[str],
-    wanted: Mapping[str, float],
-    edges: Sequence[float] | None = None,
-) -> DataFrame:
-    """Exact linearly interpolated percentiles per group, any group size."""
-    ranked = value_ranks(df, value, keys, edges=edges)
-    return percentiles_of_ranks(ranked, value, keys, wanted)
+def percentiles(df: DataFrame, value: str, keys: Sequence[str], wanted: Mapping[str, float]) -> DataFrame:
+    """Exact linearly interpolated percentiles per group, any group size.
+
+    Groups measured to fit in a task use Spark's ``percentile``; otherwise ranks do it.
+    """
+    rows = _usable(df, value, keys)
+    if largest_group(rows, keys) <= WINDOW_ROWS:
+        ends = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in wanted.values()]))
+        found = rows.groupBy(*keys).agg(ends.alias("__p"))
+        return found.select(*keys, *[F.col("__p")[i].alias(name) for i, name in enumerate(wanted)])
+    return percentiles_of_ranks(value_ranks(rows, value, keys), value, keys, wanted)
 
 
 def percentiles_of_ranks(

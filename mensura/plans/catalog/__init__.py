@@ -1,3 +1,17 @@
 """One module per operator family; importing this package fills the registry."""
 
-from . import sources, cleaning, rules, joins, aggregates, ordering, checks, deltas  # noqa: F401
+from . import (  # noqa: F401
+    aggregates,
+    checks,
+    cleaning,
+    contrasts,
+    deltas,
+    features,
+    joins,
+    metrics,
+    models,
+    ordering,
+    rules,
+    sources,
+    splits,
+)

@@ -11,18 +11,14 @@ from .joins import OLD_NEW_SQL, old_new
 
 
 @query("w01_custom_sort", """
-    WITH p AS (SELECT doc_id, n_chars, CASE WHEN n_chars < 200 THEN 'high' WHEN lang = 'en' THEN 'candidate_strict' ELSE 'normal' END AS priority FROM documents)
-    SELECT doc_id, priority, n_chars, row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'candidate_strict' THEN 1 ELSE 2 END, n_chars DESC, doc_id) AS position FROM p
-    ORDER BY position LIMIT 200""")
+    SELECT doc_id, n_chars, CASE WHEN n_chars < 200 THEN 'high' WHEN lang = 'en' THEN 'candidate_strict' ELSE 'normal' END AS priority,
+           CASE WHEN n_chars < 200 THEN 0 WHEN lang = 'en' THEN 1 ELSE 2 END AS sort_key FROM documents ORDER BY sort_key, n_chars DESC, doc_id""")
 def custom_sort(t):
-    """The sorted table, of which a report shows the first 200 rows."""
     docs = t.documents.select(
         "doc_id", "n_chars", triage_priority(F.lit(False), F.col("n_chars") < 200, F.col("lang") == "en").alias("priority")
     )
-    order = [o.order_by_map(F.col("priority"), {"high": 0, "candidate_strict": 1, "normal": 2}), F.col("n_chars").desc(), F.col("doc_id")]
-    top = o.ordered(docs, order).limit(200)
-    listed = top.agg(F.collect_list(F.struct(*docs.columns)).alias("rows"))
-    return listed.select(F.posexplode("rows").alias("i", "r")).select("r.*", (F.col("i") + 1).cast("long").alias("position"))
+    keyed = docs.withColumn("sort_key", o.order_by_map(F.col("priority"), {"high": 0, "candidate_strict": 1, "normal": 2}))
+    return o.ordered(keyed, ["sort_key", F.col("n_chars").desc(), "doc_id"])
 
 
 @query("w02_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
