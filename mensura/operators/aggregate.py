@@ -263,8 +263,7 @@ def with_replicate_counts(df: DataFrame, entity: str, source: str) -> DataFrame:
     """The counts attached to every record; records of a hot pair are not gathered."""
     from .joins import hot_key_lookup
 
-    counts = replicate_counts(df, entity, source).withColumn("__w", F.col("n_replicates"))
-    return hot_key_lookup(df, counts, [entity, source], "__w", how="left").drop("__w")
+    return hot_key_lookup(df, replicate_counts(df, entity, source), [entity, source], "left")
 
 
 def multi_source_range(df: DataFrame, entity: str, source: str, value: str) -> DataFrame:

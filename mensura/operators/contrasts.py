@@ -135,7 +135,7 @@ def bootstrap_median(
     draws = plan.mapInPandas(draw, schema).groupBy(*keys, "lo", "hi").agg(F.sum("times").alias("times"))
     draws = cut_lineage(draws)
     reach = draws.groupBy(*keys).agg(F.min("lo").alias("__from"), F.max("hi").alias("__to")).join(sizes, keys)
-    near = hot_key_lookup(ranked, reach, keys, "k")
+    near = hot_key_lookup(ranked, reach, keys)
     start, stop = F.greatest("n_before", "__from"), F.least(F.col("n_before") + F.col("n") - 1, F.col("__to"))
     spots = near.where(start <= stop).select(*keys, F.explode(F.sequence(start, stop)).alias("pos"), F.col(value).cast("double").alias("v"))
     low = spots.select(*keys, F.col("pos").alias("lo"), F.col("v").alias("v_lo"))

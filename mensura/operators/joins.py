@@ -7,11 +7,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import broadcast_if_small
 from .expect import enforce, unique_key
 
-# A key is hot when it holds more than this share of all rows; at most 1/share keys can be.
+# A key is hot when it holds more rows than this and more than this share of all rows;
+# by the second rule at most 1/share keys can be hot.
+HOT_ROWS = 250_000
 HOT_SHARE = 1 / 2000
 
 
@@ -19,32 +22,40 @@ def hot_key_lookup(
     rows: DataFrame,
     table: DataFrame,
     on: Sequence[str],
-    weight: str,
     how: str = "inner",
+    hot_rows: int = HOT_ROWS,
     share: float = HOT_SHARE,
 ) -> DataFrame:
     """Attach to ``rows`` the columns of ``table`` (unique on ``on``), safe for hot keys.
 
-    ``weight`` says how many rows each key has. Keys above ``share`` of the total number at
-    most ``1/share``, so that part of the table is broadcast. Rows of hot or NULL keys then
-    pass the shuffle spread by a salt taken from their content; they find no partner there
-    and need none. Identical rows share a salt, so collapse copies first.
+    Key sizes are counted first (before the shuffle, so cheaply). Without a hot key this is
+    an ordinary join. Otherwise the hot part of the table - at most ``1/share`` rows - is
+    broadcast, and rows of hot or NULL keys pass the shuffle spread by a salt taken from
+    their content; they find no partner there and need none. Identical rows share a salt,
+    so collapse copies first.
     """
     on = list(on)
+    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    facts = sizes.agg(F.max("__n").alias("top"), F.sum("__n").alias("total")).first()
+    limit = max(hot_rows, (facts["total"] or 0) * share)
+    if (facts["top"] or 0) <= limit:
+        return rows.join(table, on, how).select(*rows.columns, *[c for c in table.columns if c not in on])
+    keys = [tuple(r) for r in sizes.where(F.col("__n") > limit).select(*on).collect()]
+    schema = T.StructType([rows.schema[c] for c in on])
+    hot_keys = F.broadcast(rows.sparkSession.createDataFrame(keys, schema))
     extra = [c for c in table.columns if c not in on]
-    total = table.select(F.sum(weight).alias("t")).scalar()
-    is_hot = F.col(weight) > total * F.lit(share)
 
     def side(mark: str, part: DataFrame) -> DataFrame:
         return part.select(*on, *[F.col(c).alias(f"{mark}{c}") for c in extra], F.lit(True).alias(mark))
 
-    tagged = rows.join(F.broadcast(side("__hot", table.where(is_hot))), on, "left")
+    hot = side("__hot", table.join(hot_keys, on, "left_semi"))
+    tagged = rows.join(hot_keys.withColumn("__away", F.lit(True)), on, "left").join(F.broadcast(hot), on, "left")
     content = [f.name for f in rows.schema.fields if "map" not in f.dataType.simpleString()]
-    away = F.col("__hot").isNotNull()
+    away = F.col("__away").isNotNull()
     for key in on:
         away = away | F.col(key).isNull()
     salt = F.when(away, F.pmod(F.xxhash64(*content), F.lit(251)) + 1).otherwise(F.lit(0))
-    cold = side("__cold", table.where(~is_hot)).withColumn("__salt", F.lit(0).cast("long"))
+    cold = side("__cold", table).withColumn("__salt", F.lit(0).cast("long"))
     joined = tagged.withColumn("__salt", salt).join(cold, [*on, "__salt"], "left")
     if how == "inner":
         joined = joined.where(F.col("__hot").isNotNull() | F.col("__cold").isNotNull())
@@ -226,7 +237,7 @@ def near_signature_pairs(
     # Only fields of comparable sources take part from here on.
     described = sources.join(big, source).select(source, collection, "__size", *fields, *extra_fields)
     frequency = pairs.groupBy(entity).agg(F.count(F.lit(1)).alias("__freq"))
-    weighted = hot_key_lookup(pairs, frequency, [entity], "__freq")
+    weighted = hot_key_lookup(pairs, frequency, [entity])
     prefix = _rare_prefix(weighted.join(big, source), source, entity, min_shared)
     coded = described.select(
         source, collection, F.explode(masked_signatures(fields)).alias("__m")
@@ -257,11 +268,10 @@ def near_signature_pairs(
 
 def _rare_prefix(weighted: DataFrame, source: str, entity: str, min_shared: int) -> DataFrame:
     """The ``size - min_shared + 1`` rarest entities of each source, in one order for all."""
-    from .ordering import cumulative, with_row_slots
+    from .ordering import positions
 
-    slotted, order = with_row_slots(weighted, "__freq", [entity])
-    placed = cumulative(slotted.withColumn("__one", F.lit(1)), [source], order, ["__one"])
-    return placed.where(F.col("__one_before") < F.col("__size") - min_shared + 1).select(source, entity)
+    placed = positions(weighted, "__freq", [entity], [source], "__pos")
+    return placed.where(F.col("__pos") < F.col("__size") - min_shared + 1).select(source, entity)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

@@ -40,8 +40,8 @@ def joint_ranks(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> D
             rows = rows.where(~F.isnan(f.name))
     joint = rows.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("w"))
     for c in columns:
-        ranks = value_ranks(rows, c, keys).select(*keys, c, "n", F.col("avg_rank").alias(f"rank_{c}"))
-        joint = hot_key_lookup(joint, ranks, [*keys, c], "n").drop("n")
+        ranks = value_ranks(rows, c, keys).select(*keys, c, F.col("avg_rank").alias(f"rank_{c}"))
+        joint = hot_key_lookup(joint, ranks, [*keys, c])
     return joint
 
 

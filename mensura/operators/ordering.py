@@ -82,6 +82,20 @@ def with_hash_slots(df: DataFrame, hash_col: str, bits: int = 8) -> DataFrame:
     return df.withColumn(_SLOT, F.shiftright(F.col(hash_col), 64 - bits).cast("int"))
 
 
+def positions(df: DataFrame, value: str, tie: Sequence[str], keys: Sequence[str], out: str) -> DataFrame:
+    """0-based position of each row in its group, in the order (value, hash of ``tie``, ``tie``).
+
+    A window per group up to the measured size limit, slots beyond it.
+    """
+    if largest_group(df, keys) <= WINDOW_ROWS:
+        group = Window.partitionBy(*(keys or [F.lit(0)]))
+        order = [F.col(value), F.pmod(F.xxhash64(*tie), F.lit(TIE_RANGE)), *tie]
+        return df.withColumn(out, F.row_number().over(group.orderBy(*order)) - 1)
+    slotted, order = with_row_slots(df, value, tie)
+    placed = cumulative(slotted.withColumn("__one", F.lit(1)), keys, order, ["__one"])
+    return placed.select(*df.columns, F.col("__one_before").alias(out))
+
+
 def cumulative(
     slotted: DataFrame,
     keys: Sequence[str],
@@ -206,7 +220,7 @@ def rows_with_rank(df: DataFrame, value: str, keys: Sequence[str] = (), out: str
     """``df`` plus the average rank of ``value`` within its group (NULL where it has none)."""
     ranked = value_ranks(df, value, keys).withColumnRenamed("avg_rank", out)
     on = [*keys, value]
-    return hot_key_lookup(df, ranked.select(*on, "n", out), on, weight="n", how="left").drop("n")
+    return hot_key_lookup(df, ranked.select(*on, out), on, "left")
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

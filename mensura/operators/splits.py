@@ -85,7 +85,7 @@ def group_kfold(
     out = None
     for p in range(partitions):
         placed = assign_groups(df, group, [1] * n_splits, seed + p)
-        one = hot_key_lookup(rows, placed, [group], "n").select(
+        one = hot_key_lookup(rows, placed, [group]).select(
             key, group, F.lit(p).alias("partition"), F.col("fold")
         )
         out = one if out is None else out.unionByName(one)
@@ -99,7 +99,7 @@ def group_split(
     placed = assign_groups(df, group, [w for _, w in shares], seed, "__part", allow_empty=True)
     names = F.array(*[F.lit(n) for n, _ in shares])
     named = placed.select(group, "n", F.get(names, F.col("__part")).alias("split"))
-    return hot_key_lookup(df, named, [group], "n").drop("n")
+    return hot_key_lookup(df, named, [group]).drop("n")
 
 
 def split_parts(df: DataFrame, split: str = "split", names: Sequence[str] = ("train", "val", "test")) -> list[DataFrame]:
