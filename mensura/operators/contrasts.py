@@ -90,7 +90,14 @@ def signed_rank(df: DataFrame, keys: Sequence[str], delta: str) -> DataFrame:
     return joined.withColumn("p_value", signed_rank_p_value("w_plus", "n_nonzero", "tie_term", "n_zero"))
 
 
-_DRAW_CHUNK = 1000
+_DRAW_CHUNK = 10_000
+
+
+def _count_pairs(spots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if k > 2_000_000_000:
+        return np.unique(spots, axis=0, return_counts=True)
+    codes, times = np.unique(spots[:, 0] * k + spots[:, 1], return_counts=True)
+    return np.column_stack([codes // k, codes % k]), times
 
 
 def bootstrap_median(
@@ -126,13 +133,17 @@ def bootstrap_median(
                 if k % 2 == 0:
                     second = first + (1 - first) * (1 - rng.random(size) ** (1.0 / (k - middle)))
                 spots = np.minimum(np.floor(np.column_stack([first, second]) * k), k - 1).astype("int64")
-                spots, times = np.unique(spots, axis=0, return_counts=True)
+                spots, times = _count_pairs(spots, k)
                 out = pd.DataFrame({"lo": spots[:, 0], "hi": spots[:, 1], "times": times})
                 for i, name in enumerate(keys):
                     out.insert(i, name, row[i])
                 yield out
 
-    draws = plan.mapInPandas(draw, schema).groupBy(*keys, "lo", "hi").agg(F.sum("times").alias("times"))
+    # A row of the plan is little data but much drawing: one task per core, not one per megabyte.
+    tasks = units.sparkSession.sparkContext.defaultParallelism
+    draws = plan.repartition(tasks, *keys, "__chunk").mapInPandas(draw, schema)
+    if chunks > 1:
+        draws = draws.groupBy(*keys, "lo", "hi").agg(F.sum("times").alias("times"))
     draws = cut_lineage(draws)
     reach = draws.groupBy(*keys).agg(F.min("lo").alias("__from"), F.max("hi").alias("__to")).join(sizes, keys)
     near = hot_key_lookup(ranked, reach, keys)

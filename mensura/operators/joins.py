@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 from .expect import enforce, unique_key
 
 # A key is hot when it holds more rows than this and more than this share of all rows;
@@ -231,7 +231,9 @@ def near_signature_pairs(
     never create candidates. Both rules are exact; the surviving pairs are verified.
     Returns ``source_a, source_b, <collection>, diff, n_shared``.
     """
-    pairs = records.select(source, entity).where(F.col(source).isNotNull() & F.col(entity).isNotNull()).distinct()
+    known = F.col(source).isNotNull() & F.col(entity).isNotNull()
+    # Read six times below, so the distinct is paid for once.
+    pairs = cut_lineage(records.select(source, entity).where(known).distinct())
     sizes = pairs.groupBy(source).agg(F.count(F.lit(1)).alias("__size"))
     big = sizes.where(F.col("__size") >= min_shared)
     # Only fields of comparable sources take part from here on.

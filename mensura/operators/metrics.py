@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .joins import hot_key_lookup, null_safe_join
-from .ordering import percentiles, slot_edges, value_ranks, with_value_slots
+from .ordering import WINDOW_ROWS, largest_group, percentiles, slot_edges, value_ranks, with_value_slots
 
 PERCENT_LOW, PERCENT_HIGH = 0.025, 0.975
 
@@ -39,6 +40,15 @@ def joint_ranks(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> D
         if f.name in columns and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             rows = rows.where(~F.isnan(f.name))
     joint = rows.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("w"))
+    if largest_group(rows, keys) <= WINDOW_ROWS:
+        # One shuffle by key; rows up to and including the ties, less half of the other ties.
+        group = Window.partitionBy(*(keys or [F.lit(0)]))
+        ranks = []
+        for c in columns:
+            upto = F.sum("w").over(group.orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+            ties = F.sum("w").over(Window.partitionBy(*(keys or [F.lit(0)]), c))
+            ranks.append((upto - (ties - 1) / 2).alias(f"rank_{c}"))
+        return joint.select("*", *ranks)
     for c in columns:
         ranks = value_ranks(rows, c, keys).select(*keys, c, F.col("avg_rank").alias(f"rank_{c}"))
         joint = hot_key_lookup(joint, ranks, [*keys, c])
@@ -200,8 +210,6 @@ def bootstrap_auc(df: DataFrame, label: str, score: str, replicates: int = 1000,
         return pd.DataFrame({"slot": slot, "b": np.arange(replicates), "i": out[:, 0], "wp": out[:, 1], "wq": out[:, 2]})
 
     per_slot = slotted.groupBy("slot").applyInPandas(inside, "slot int, b long, i double, wp double, wq double")
-    from pyspark.sql.window import Window
-
     earlier = Window.partitionBy("b").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = per_slot.withColumn("under", F.coalesce(F.sum("wq").over(earlier), F.lit(0.0)))
     merged = placed.groupBy("b").agg(

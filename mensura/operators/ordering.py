@@ -24,8 +24,10 @@ from .joins import hot_key_lookup
 
 _SLOT = "__slot"
 MAX_SLOTS = 4096
-# Groups measured to be at most this large are numbered by an ordinary window.
-WINDOW_ROWS = 250_000
+# Groups measured to be at most this large are numbered by an ordinary window (which sorts
+# and may spill) or fed to ``percentile`` (which keeps distinct values in memory).
+WINDOW_ROWS = 2_000_000
+PERCENTILE_ROWS = 250_000
 TIE_RANGE = 1 << 20
 
 
@@ -131,10 +133,19 @@ def cumulative(
     )
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; counted before the shuffle, so a hot key costs nothing extra."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return int(sizes.agg(F.max("n")).first()[0] or 0)
+def largest_group(df: DataFrame, keys: Sequence[str], limit: int = WINDOW_ROWS) -> int:
+    """An upper bound of the largest group's rows, exact where it exceeds ``limit``.
+
+    Groups of the first key alone are at least as large, and cheaper to count; further keys
+    are added only while the bound is above the limit. Counting happens before the shuffle.
+    """
+    top = 0
+    for used in range(min(1, len(keys)), len(keys) + 1):
+        sizes = df.groupBy(*keys[:used]).agg(F.count(F.lit(1)).alias("n"))
+        top = int(sizes.agg(F.max("n")).first()[0] or 0)
+        if top <= limit:
+            break
+    return top
 
 
 def _usable(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
@@ -186,7 +197,7 @@ def percentiles(df: DataFrame, value: str, keys: Sequence[str], wanted: Mapping[
     Groups measured to fit in a task use Spark's ``percentile``; otherwise ranks do it.
     """
     rows = _usable(df, value, keys)
-    if largest_group(rows, keys) <= WINDOW_ROWS:
+    if largest_group(rows, keys, PERCENTILE_ROWS) <= PERCENTILE_ROWS:
         ends = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in wanted.values()]))
         found = rows.groupBy(*keys).agg(ends.alias("__p"))
         return found.select(*keys, *[F.col("__p")[i].alias(name) for i, name in enumerate(wanted)])

@@ -60,7 +60,7 @@ def parse_bool3(t):
 
 @query("p05_normalize_text", f"SELECT doc_id, {normal_sql('text')} AS normal FROM documents")
 def normalize_text(t):
-    return t.documents.select("doc_id", c.normalize_text("text").alias("normal"))
+    return t.texts().select("doc_id", c.normalize_text("text").alias("normal"))
 
 
 @query("p06_combine_text", """
@@ -144,7 +144,7 @@ DOC_FLAGS = ["text_contains_inactive", "single_point", "missing_structure", "pot
 
 def flagged_documents(t):
     """Documents as records; the wording rule looks for two frequent words."""
-    docs = t.documents.join(t.labels, "doc_id", "left")
+    docs = t.texts().join(t.labels, "doc_id", "left")
     flags = c.record_flags(
         comments=[F.col("text"), F.col("source")], kind=F.concat(F.col("lang"), F.lit("inhib")), wanted="ENINHIB",
         structure=F.split_part("text", F.lit("\n"), F.lit(3)), duplicate=F.col("toxic").cast("string"),
@@ -218,7 +218,7 @@ def bucketize(t):
                       coalesce(quality = 1, false) AS cand FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id)
     SELECT doc_id, CASE WHEN err OR sparse THEN 'high' WHEN cand THEN 'candidate_strict' ELSE 'normal' END AS priority FROM d""")
 def triage_priority(t):
-    docs = t.documents.join(t.labels, "doc_id", "left")
+    docs = t.texts().join(t.labels, "doc_id", "left")
     error, good = (F.coalesce(F.col(x) == 1, F.lit(False)) for x in ("toxic", "quality"))
     return docs.select("doc_id", c.triage_priority(error, c.is_sparse("text"), good).alias("priority"))
 
@@ -233,13 +233,13 @@ def candidate_flags(t):
     flags = c.candidate_flags(
         low.contains("the"), low.contains("and"), F.col("lang") == "en", low.contains("of"), low.contains("license")
     )
-    return t.documents.select("doc_id", *[v.alias(k) for k, v in flags.items()])
+    return t.texts().select("doc_id", *[v.alias(k) for k, v in flags.items()])
 
 
 @query("p20_text_length", f"""
     SELECT doc_id, length({normal_sql('text')}) AS n, length({normal_sql('text')}) < 25 AS sparse FROM documents""")
 def text_length(t):
-    return t.documents.select("doc_id", c.text_length("text").cast("long").alias("n"), c.is_sparse("text").alias("sparse"))
+    return t.texts().select("doc_id", c.text_length("text").cast("long").alias("n"), c.is_sparse("text").alias("sparse"))
 
 
 @query("p21_link_columns", """
@@ -279,13 +279,13 @@ def largest_sql(x: str) -> str:
 
 @query("p24_largest_component", f"SELECT doc_id, {largest_sql('text')} AS part FROM documents")
 def largest_component(t):
-    return t.documents.select("doc_id", c.largest_component("text").alias("part"))
+    return t.texts().select("doc_id", c.largest_component("text").alias("part"))
 
 
 @query("p25_identity_key", f"""
     SELECT doc_id, CASE WHEN {normal_sql('text')} <> '' THEN sha256({normal_sql('text')}) END AS entity_key FROM documents""")
 def identity_key(t):
-    return t.documents.select("doc_id", c.identity_key("text").alias("entity_key"))
+    return t.texts().select("doc_id", c.identity_key("text").alias("entity_key"))
 
 
 @query("p26_empty_group_sentinel", """

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ...operators import contrasts as c
 from ...operators.aggregate import median_range
 from ...operators.metrics import spearman
+from ...session import cut_lineage
 from ..registry import MEASUREMENTS, query, rounded
 from .joins import FIELDS, PAIRS_SQL, TIMES, described_sources, near_pairs
 
@@ -18,7 +19,7 @@ SUMMARY = """count(d) AS n_entities, round(avg(d), 6) AS delta_mean, round(stdde
 
 
 def deltas(t):
-    return c.pair_deltas(near_pairs(t), t.measurements(), "source", "entity", "value", "group")
+    return cut_lineage(c.pair_deltas(near_pairs(t), t.measurements(), "source", "entity", "value", "group"))
 
 
 @query("c01_paired_contrasts", f"""WITH {DELTA_SQL}, gm AS (SELECT source_a, source_b, g, median(d) AS md FROM dl GROUP BY 1, 2, 3),

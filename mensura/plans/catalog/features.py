@@ -11,7 +11,7 @@ def fingerprint(t):
     """On-bits of the hashed fingerprint, per document."""
     from pyspark.ml.functions import vector_to_array
 
-    out = f.fingerprint(t.documents.select("doc_id", "text"), "text")
+    out = f.fingerprint(t.texts().select("doc_id", "text"), "text")
     bits = F.aggregate(vector_to_array("fingerprint"), F.lit(0.0), lambda a, x: a + x)
     return out.select("doc_id", bits.alias("n_bits"))
 
@@ -35,7 +35,7 @@ def kept_sql(cls: str) -> str:
       round(len(list_filter(n, lambda x: x >= 8)) / greatest(len(w), 1), 6) AS long_share,
       round(len(string_split(text, chr(10))) * 1000.0::DOUBLE / greatest(length(text), 1), 6) AS lines_per_kchar FROM l""")
 def descriptors(t):
-    return rounded(f.descriptors(t.documents.select("doc_id", "text"), "text").drop("text"), *f.DESCRIPTORS)
+    return rounded(f.descriptors(t.texts().select("doc_id", "text"), "text").drop("text"), *f.DESCRIPTORS)
 
 
 @query("f03_concat_features", """

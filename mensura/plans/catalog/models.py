@@ -15,14 +15,14 @@ INPUTS = [d for d in f.DESCRIPTORS if d not in ("n_chars", "n_tokens", "n_lines"
 
 def described(t):
     """Documents with descriptors, log length as y, the source as group; written once."""
-    docs = f.descriptors(t.documents.select("doc_id", "text", "lang", "source"), "text")
+    docs = f.descriptors(t.texts().select("doc_id", "text", "lang", "source"), "text")
     docs = docs.withColumn("y", F.log10("n_chars")).withColumn("grp", F.concat_ws("/", "source", "lang"))
     return cut_lineage(f.to_vector(docs.drop("text"), INPUTS))
 
 
 def classed(t):
     """Labelled documents with descriptors, quality as class, split 80/20 by class."""
-    docs = f.descriptors(t.documents.select("doc_id", "text").join(t.labels, "doc_id"), "text")
+    docs = f.descriptors(t.texts().select("doc_id", "text").join(t.labels, "doc_id"), "text")
     rows = f.to_vector(docs.drop("text"), list(f.DESCRIPTORS)).withColumn("y", F.col("quality").cast("double"))
     return cut_lineage(stratified_split(rows, "doc_id", "quality", 0.2))
 
@@ -85,7 +85,7 @@ def network_classifier(t):
 
 def _grid(t):
     rows = described(t)
-    rows = f.fingerprint(rows.join(t.documents.select("doc_id", "text"), "doc_id"), "text", bits=256, longest=1).drop("text")
+    rows = f.fingerprint(rows.join(t.texts().select("doc_id", "text"), "doc_id"), "text", bits=256, longest=1).drop("text")
     folds = group_kfold(rows, "doc_id", "grp", 3)
     return m.model_grid(
         rows, folds, "doc_id", "y",

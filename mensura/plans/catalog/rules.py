@@ -51,7 +51,7 @@ KEYWORD_SQL = f"""n AS (SELECT doc_id, lang, source, {normal_sql('text')} AS nor
 def keyword_documents(t):
     from ...functions.clean import normalize_text
 
-    docs = t.documents.select("doc_id", "lang", "source", normalize_text("text", nfkc=False).alias("normal"))
+    docs = t.texts().select("doc_id", "lang", "source", normalize_text("text", nfkc=False).alias("normal"))
     return r.keyword_matrix(docs, "normal", RULEBOOK).drop("normal")
 
 
@@ -66,7 +66,7 @@ def keyword_matrix(t):
     {**{k.lower(): v for k, v in SUBSTRING_FLAGS.items()}, "license": ["license", "copyright"], "contact": ["@", "http", "+1 ("]}.items()) + " FROM documents")
 def contains_any(t):
     lists = {**{k.lower(): v for k, v in SUBSTRING_FLAGS.items()}, "license": ["license", "copyright"], "contact": ["@", "http", "+1 ("]}
-    return t.documents.select("doc_id", *[r.contains_any("text", words).alias(f"has_{n}") for n, words in lists.items()])
+    return t.texts().select("doc_id", *[r.contains_any("text", words).alias(f"has_{n}") for n, words in lists.items()])
 
 
 def evidence_sql(text: str, whole: str) -> str:
@@ -83,7 +83,7 @@ PHONE = r"\+1 \((\d{3})\) \d{3}-\d{4}"
     WITH d AS (SELECT doc_id, text, regexp_extract(text, '{PHONE}', 0) AS whole, regexp_extract(text, '{PHONE}', 1) AS v FROM documents)
     SELECT doc_id, nullif(v, '') AS value, {evidence_sql('text', 'whole')} AS evidence FROM d""")
 def extract_field(t):
-    return t.documents.select("doc_id", r.extract_field(F.col("text"), PHONE).alias("f")).select(
+    return t.texts().select("doc_id", r.extract_field(F.col("text"), PHONE).alias("f")).select(
         "doc_id", F.col("f.value").alias("value"), F.col("f.evidence").alias("evidence")
     )
 
@@ -93,7 +93,7 @@ def extract_field(t):
            lambda x: replace(upper(x), ' ', '')))), ';') AS found FROM documents""")
 def extract_all(t):
     found = r.extract_all(F.col("text"), r"([Vv]ersion [0-9.]+|\([0-9]+\))", 1, lambda x: F.upper(F.replace(x, F.lit(" "), F.lit(""))))
-    return t.documents.select("doc_id", F.array_join(found, ";").alias("found"))
+    return t.texts().select("doc_id", F.array_join(found, ";").alias("found"))
 
 
 LABELS = [("english", r"\bthe\b"), ("french", r"\bles\b"), ("german", r"\bund\b"), ("spanish", r"\blos\b")]
@@ -101,7 +101,7 @@ LABEL_SQL = "concat_ws(';', " + ", ".join(f"CASE WHEN {word_sql('lower(text)', p
 
 
 def _labels(t):
-    return t.documents.select("doc_id", r.multi_label(F.col("text"), LABELS).alias("f"))
+    return t.texts().select("doc_id", r.multi_label(F.col("text"), LABELS).alias("f"))
 
 
 @query("t05_multi_label", f"""
@@ -125,7 +125,7 @@ A_PAT, B_PAT = r"[A-Za-z]+@[A-Za-z]+|\d+@mail", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{
 def conflict_label(t):
     """The word detector ignores case, its evidence pattern is narrower and is matched with case."""
     f = r.conflict_label(F.col("text"), ("words", "the", "(?-i)(token|License|the)"), ("address", B_PAT, B_PAT), "mixed")
-    return t.documents.select("doc_id", f.alias("f")).select("doc_id", "f.*")
+    return t.texts().select("doc_id", f.alias("f")).select("doc_id", "f.*")
 
 
 ORDER_RULES = [("apache", r"\bApache\b"), ("gnu", r"\bGNU\b"), ("other", r"\bLicense\b")]
@@ -138,7 +138,7 @@ ORDER_RULES = [("apache", r"\bApache\b"), ("gnu", r"\bGNU\b"), ("other", r"\bLic
            CASE WHEN v IS NULL THEN 'unknown' ELSE 'explicit_description' END AS confidence FROM d""")
 def precedence_label(t):
     f = r.precedence_label(F.col("text"), ORDER_RULES, "not_reported", "(?-i)(Released|Licensed|licensed)", ignore_case=False)
-    return t.documents.select("doc_id", f.alias("f")).select("doc_id", "f.*")
+    return t.texts().select("doc_id", f.alias("f")).select("doc_id", "f.*")
 
 
 UNIT, BARE = r"[Vv]ersion (\d+\.\d+)", r"\((\d+)\)"
@@ -152,7 +152,7 @@ UNIT, BARE = r"[Vv]ersion (\d+\.\d+)", r"\((\d+)\)"
            CASE WHEN u = '' THEN nullif(b, '') END AS token FROM d""")
 def number_with_unit(t):
     f, token = r.number_with_unit(F.col("text"), UNIT, BARE)
-    return t.documents.select("doc_id", f.alias("f"), token.alias("token")).select("doc_id", "f.*", "token")
+    return t.texts().select("doc_id", f.alias("f"), token.alias("token")).select("doc_id", "f.*", "token")
 
 
 CLAUSES = [r"(?-i)\+1 ([^.,]{0,60})", r"(?-i)version ([^,]{0,20})"]
@@ -168,7 +168,7 @@ CLAUSES = [r"(?-i)\+1 ([^.,]{0,60})", r"(?-i)version ([^,]{0,20})"]
            CASE WHEN len(nums) > 0 THEN array_to_string(nums, ';') END AS candidates FROM n""")
 def clause_then_numbers(t):
     f, candidates = r.clause_then_numbers(F.col("text"), CLAUSES, r"(\d+)-", r"(\d+)")
-    return t.documents.select("doc_id", f.alias("f"), candidates.alias("candidates")).select("doc_id", "f.value", "f.confidence", "candidates")
+    return t.texts().select("doc_id", f.alias("f"), candidates.alias("candidates")).select("doc_id", "f.value", "f.confidence", "candidates")
 
 
 @query("t10_prefix_extract", r"""
@@ -176,7 +176,7 @@ def clause_then_numbers(t):
            CASE WHEN regexp_matches(substr(text, 1, 80), '(the|les|und|los) ') THEN 'inferred_from_title' ELSE 'unknown' END AS confidence FROM documents""")
 def prefix_extract(t):
     f = r.prefix_extract(F.col("text"), r"(?-i)(the|les|und|los) ")
-    return t.documents.select("doc_id", f.alias("f")).select("doc_id", "f.value", "f.confidence")
+    return t.texts().select("doc_id", f.alias("f")).select("doc_id", "f.value", "f.confidence")
 
 
 FOUR = {
@@ -190,7 +190,7 @@ FOUR = {
 def separate_fields(t):
     """Similar numbers stay in separate fields, each with its own pattern."""
     cols = [r.extract_value(F.col("text"), p, ignore_case=False).alias(n) for n, p in FOUR.items()]
-    return t.documents.select("doc_id", *cols)
+    return t.texts().select("doc_id", *cols)
 
 
 SIGNATURE = ["o_orderstatus", "prio", "year", "big"]
@@ -225,7 +225,7 @@ CONF_SQL = f"""c AS (SELECT doc_id, n_chars, {LABEL_SQL} AS v1,
 def confident_documents(t):
     a = r.multi_label(F.col("text"), LABELS)
     b = r.precedence_label(F.col("text"), ORDER_RULES, None, ignore_case=False)
-    docs = t.documents.select("doc_id", "n_chars", a.alias("a"), b.alias("b"))
+    docs = t.texts().select("doc_id", "n_chars", a.alias("a"), b.alias("b"))
     return docs.withColumns(r.count_by_confidence([F.col("a.confidence"), F.col("b.confidence")], [F.col("a.value"), F.col("b.value")]))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -20,6 +22,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self) -> DataFrame:
+        """Documents for work on their whole text, spread over the cores."""
+        return spread(self.documents, "doc_id")
+
     def measurements(self) -> DataFrame:
         """Order lines read as measurements: part = entity, supplier = source, nation = collection,
         brand = group, log unit price = value, ship year = year. Suppliers and parts are joined by

@@ -69,3 +69,10 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataF
     if df.limit(limit + 1).count() <= limit:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute rows whose processing is costly when a scan has fewer partitions than the
+    session has cores; a scan with enough partitions is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
