@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     contrasts,
     deltas,
     features,
+    flows,
     joins,
     metrics,
     models,
