@@ -112,10 +112,10 @@ def bootstrap_median(
     """
     keys = list(keys)
     ranked = value_ranks(units, value, keys).select(*keys, value, "n", "n_before", "n_total")
-    sizes = ranked.groupBy(*keys).agg(F.max("n_total").alias("k"))
+    sizes = ranked.groupBy(*keys).agg(F.max("n_total").alias("__units"))
     chunks = -(-replicates // _DRAW_CHUNK)
-    plan = sizes.where(F.col("k") >= minimum).select(
-        *keys, "k", F.abs(F.xxhash64(*keys)).alias("__code"),
+    plan = sizes.where(F.col("__units") >= minimum).select(
+        *keys, "__units", F.abs(F.xxhash64(*keys)).alias("__code"),
         F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("__chunk"),
     )
     fields = [f for f in plan.schema.fields if f.name in keys]
@@ -124,7 +124,7 @@ def bootstrap_median(
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                k, chunk = int(row.k), int(row[-1])
+                k, chunk = int(row[-3]), int(row[-1])
                 size = min(_DRAW_CHUNK, replicates - chunk * _DRAW_CHUNK)
                 rng = np.random.default_rng([seed, int(row[-2]), chunk])
                 middle = (k + 1) // 2
@@ -158,8 +158,8 @@ def bootstrap_median(
     )
     out = sizes.join(ends, keys, "left")
     return out.select(
-        *keys, F.col("k").alias("n_units"), F.col("n_replicates"), F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"),
-        F.when(F.col("k") >= minimum, "bootstrap").otherwise("insufficient").alias("method"),
+        *keys, F.col("__units").alias("n_units"), F.col("n_replicates"), F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"),
+        F.when(F.col("__units") >= minimum, "bootstrap").otherwise("insufficient").alias("method"),
     )
 
 

@@ -95,7 +95,7 @@ def explode_keyed_json(text: Column, record: T.DataType, key: str, value: str) -
 
 def read_keyed_json(spark: SparkSession, path: str, record: T.StructType, key: str = "id") -> DataFrame:
     """Files that hold one object of objects, one output row per inner object."""
-    docs = spark.read.option("wholetext", True).text(path)
+    docs = spark.read.text(path, wholetext=True)
     return docs.select(*explode_keyed_json(F.col("value"), record, key, "r")).select(key, "r.*")
 
 
