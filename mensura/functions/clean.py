@@ -317,17 +317,22 @@ def largest_component(
     c: Column | str, separator: str = r"\n", dropped: Sequence[str] = (), size=F.length
 ) -> Column:
     """Split, drop listed parts (never all of them), keep the largest; first one wins a tie."""
+    def largest(parts: Column) -> Column:
+        none = F.lit(None).cast("string")
+        return F.aggregate(
+            parts, none, lambda best, p: F.when(best.isNull() | (size(p) > size(best)), p).otherwise(best)
+        )
+
     parts = F.filter(F.split(as_column(c), separator), lambda p: strip(p) != "")
-    kept = F.filter(parts, lambda p: ~F.coalesce(p.isin(*dropped), F.lit(False))) if dropped else parts
-    kept = F.when(F.size(kept) > 0, kept).otherwise(parts)
-    largest = F.array_max(F.transform(kept, size))
-    return F.get(F.filter(kept, lambda p: size(p) == largest), F.lit(0))
+    if not dropped:
+        return largest(parts)
+    kept = F.filter(parts, lambda p: ~p.isin(*dropped))
+    return F.coalesce(largest(kept), largest(parts))
 
 
 def identity_key(c: Column | str, nfkc: bool = True) -> Column:
     """Stable key of a text: hash of its normal form, NULL when nothing is left."""
-    text = normalize_text(c, nfkc=nfkc)
-    return F.when(text != "", F.sha2(text, 256))
+    return F.sha2(F.nullif(normalize_text(c, nfkc=nfkc), F.lit("")), 256)
 
 
 def empty_group_sentinel(group: Column, key: Column, prefix: str = "UNGROUPED::") -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import clean_text, delta_size_verdict, identity_key, largest_component, nan_to_null
+from ..session import cut_lineage
 from .aggregate import describe_delta
 from .joins import outer_with_indicator, without
 from .ordering import keep_one
@@ -65,8 +66,9 @@ def changed_overlap(values: DataFrame) -> DataFrame:
 
 def delta_report(values: DataFrame, columns: Sequence[str], count: str, median: str) -> DataFrame:
     """One row: changed per column, direction of the counts, size classes of the value delta."""
-    both = values.where(F.col("side") == "both").withColumn(
-        "__d", F.col(f"{median}_new") - F.col(f"{median}_old")
+    # Read by four aggregations below.
+    both = cut_lineage(
+        values.where(F.col("side") == "both").withColumn("__d", F.col(f"{median}_new") - F.col(f"{median}_old"))
     )
     old, new = F.col(f"{count}_old"), F.col(f"{count}_new")
     flags = both.agg(
@@ -100,13 +102,14 @@ def clean_negatives(
     df: DataFrame, text: str, references: Sequence[tuple[DataFrame, str]], order: Sequence[str], nfkc: bool = True
 ) -> DataFrame:
     """Standardise, drop failures, drop collisions with the reference sets, keep one per key."""
-    part = largest_component(F.col(text))
-    keyed = df.withColumn("std_text", part).withColumn("entity_key", identity_key(part, nfkc))
-    out = keyed.where(F.col("entity_key").isNotNull())
+    keyed = df.withColumn("std_text", largest_component(F.col(text)))
+    out = keyed.withColumn("entity_key", identity_key("std_text", nfkc)).where(F.col("entity_key").isNotNull())
+    # One row per key first: copies are merged before the shuffle, and no key is hot afterwards.
+    out = keep_one(out, ["entity_key"], order)
     for table, column in references:
         keys = table.select(identity_key(largest_component(F.col(column)), nfkc).alias("entity_key"))
         out = without(out, keys.where(F.col("entity_key").isNotNull()).distinct(), ["entity_key"])
-    return keep_one(out, ["entity_key"], order)
+    return out
 
 
 def negatives_report(df: DataFrame, text: str, references: Sequence[tuple[DataFrame, str]], nfkc: bool = True) -> DataFrame:

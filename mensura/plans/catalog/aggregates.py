@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...operators import aggregate as a
+from ...session import cut_lineage
 from ...sources.readers import property_rows
 from ..registry import MEASUREMENTS, query, rounded
 from .cleaning import CENSOR, CENSOR_SQL, DOC_FLAGS, FLAGS_SQL, censored, flagged_documents
@@ -90,7 +91,7 @@ def nested_field_coverage(t):
 
 def flagged_sources(t):
     """Document sources by language with the keyword flags of all their texts, and text keys as entities."""
-    docs = keyword_documents(t).withColumn("src", F.concat_ws("/", "source", "lang"))
+    docs = cut_lineage(keyword_documents(t).withColumn("src", F.concat_ws("/", "source", "lang")))
     flags = [f"flag_{x}" for x in RULEBOOK]
     sources = docs.groupBy("src").agg(
         *[F.bool_or(f).alias(f) for f in flags], F.countDistinct("matches_license").alias("n_entities"), F.count(F.lit(1)).alias("n_measurements")

@@ -22,9 +22,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def texts(self) -> DataFrame:
-        """Documents for work on their whole text, spread over the cores."""
-        return spread(self.documents, "doc_id")
+    def texts(self, name: str = "documents", key: str = "doc_id") -> DataFrame:
+        """A text table for work on whole texts, spread over the cores."""
+        return spread(getattr(self, name), key)
 
     def measurements(self) -> DataFrame:
         """Order lines read as measurements: part = entity, supplier = source, nation = collection,
