@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import confound_level, direction_arrow, partial_verdict
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 from .expect import enforce, predictions_complete
 from .joins import job_plan, without
 from .metrics import partial_spearman, regression_metrics, spearman
@@ -84,7 +84,7 @@ def class_scores(scored: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
 
 
-def mean_baseline(rows: DataFrame, fold: str, y: str, n_splits: int) -> DataFrame:
+def mean_baseline(rows: DataFrame, fold: str, y: str) -> DataFrame:
     """Prediction = mean of the training rows, for all folds at once.
 
     Train sums are the overall sums minus the fold's own, so one small aggregate serves every fold.
@@ -94,8 +94,7 @@ def mean_baseline(rows: DataFrame, fold: str, y: str, n_splits: int) -> DataFram
     means = per.select(
         fold, F.try_divide(F.lit(float(total["s"] or 0)) - F.col("__s"), F.lit(total["c"] or 0) - F.col("__c")).alias("y_pred")
     )
-    # One row per fold: as small as the number of folds.
-    return rows.join(F.broadcast(means.limit(n_splits)), fold)
+    return rows.join(broadcast_if_small(means), fold)
 
 
 def pending_jobs(plan: DataFrame, done: DataFrame, keys: Sequence[str] = ("representation", "algorithm", "partition")) -> DataFrame:
@@ -143,7 +142,7 @@ def model_grid(
         rep, alg, part = job
         rows = joined.where(F.col("partition") == part)
         if rep not in representations:
-            out = columns(mean_baseline(rows.drop(*representations.values()), "fold", "y", n_folds), rep, alg)
+            out = columns(mean_baseline(rows.drop(*representations.values()), "fold", "y"), rep, alg)
         else:
             vector, out = representations[rep], None
             for fold in range(n_folds):

@@ -190,7 +190,7 @@ def explode_list(t):
                     UNION ALL SELECT '__baseline__', 'mean')
     SELECT representation, algorithm, CAST(p.p AS INTEGER) AS "partition", CAST(f.f AS INTEGER) AS fold FROM combos CROSS JOIN range(3) AS p(p) CROSS JOIN range(5) AS f(f)""")
 def job_plan(t):
-    names = [r["lang"] for r in t.documents.select("lang").distinct().orderBy("lang").limit(100).collect()]
+    names = [r["lang"] for r in t.documents.select("lang").distinct().orderBy("lang").collect()]
     return j.job_plan(t.spark, names, ["forest", "boosted"], 3, 5)
 
 

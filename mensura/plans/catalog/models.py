@@ -32,7 +32,7 @@ def classed(t):
     SELECT doc_id, fold, round((SELECT sum(s) FROM s o WHERE o.fold <> d.fold) / (SELECT sum(c) FROM s o WHERE o.fold <> d.fold), 6) AS y_pred FROM d""")
 def mean_baseline(t):
     rows = t.documents.select("doc_id", (F.col("n_chars") % 5).cast("int").alias("fold"), F.log10("n_chars").alias("y"))
-    return rounded(m.mean_baseline(rows, "fold", "y", 5).select("doc_id", "fold", "y_pred"), "y_pred")
+    return rounded(m.mean_baseline(rows, "fold", "y").select("doc_id", "fold", "y_pred"), "y_pred")
 
 
 def _regression(t, estimator):
@@ -60,7 +60,7 @@ def _classification(t, estimator, balanced=False):
         train = m.balanced_weights(train, "y")
     scored = cut_lineage(m.class_scores(m.fit_score(estimator, train, test), ["doc_id", "quality"]))
     table = classification_metrics(scored, [], "quality", "label_pred")
-    return table.crossJoin(F.broadcast(roc_auc(scored, [], "quality", "score").select("auc").limit(1)))
+    return table.withColumn("auc", roc_auc(scored, [], "quality", "score").select("auc").scalar())
 
 
 @query("l04_forest_classification")

@@ -21,6 +21,8 @@ def build_session(app: str = "mensura", master: str | None = None, **conf) -> Sp
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # Checkpoint files go when their frame is no longer referenced.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **{k.replace("__", "."): str(v) for k, v in conf.items()},
     }
     builder = SparkSession.builder.appName(app)
