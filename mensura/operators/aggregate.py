@@ -44,6 +44,7 @@ def entity_aggregate(
     if source:
         aggs.append(F.countDistinct(source).alias("n_sources"))
     rows = df.where(F.col(entity).isNotNull())
+    # The median stays out of the aggregate with distinct counts, which multiplies its rows.
     return rows.groupBy(entity).agg(*aggs).join(percentiles(rows, value, [entity], {"value_median": 0.5}), entity, "left")
 
 

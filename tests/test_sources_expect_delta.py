@@ -119,7 +119,10 @@ def test_negatives(spark):
     assert [r.i for r in delta.clean_negatives(df, "t", [(a, "t"), (b, "t")], ["i"]).collect()] == [1]
 
 
-def test_entity_aggregate_first_known(spark):
+@pytest.mark.parametrize("path", ["window", "slots"])
+def test_entity_aggregate_first_known(spark, request, path):
+    if path == "slots":
+        request.getfixturevalue("slots_only")
     rows = [("e", None, 1.0, 2000, "c", "s", 1), ("e", "x", 2.0, 2001, "c", "s2", 2), ("e", "y", None, None, "d", "s", 3), (None, "z", 5.0, 1, "c", "s", 4)]
     df = spark.createDataFrame(rows, "k string, r string, v double, y int, c string, s string, o int")
     (row,) = aggregate.entity_aggregate(df, "k", "v", "y", "c", "s", ["r"], ["o"]).collect()
