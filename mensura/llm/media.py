@@ -10,7 +10,6 @@ images' first 33 bytes; features from reading the whole range and decoding it.
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid
@@ -89,9 +88,10 @@ def feature(payload: bytes) -> str:
 class _Shard:
     """A tar file in the shared folder, written front to back."""
 
-    def __init__(self, files, folder: str):
+    def __init__(self, folder: str):
         self.name = f"{folder}/{uuid.uuid4().hex}.tar"
-        self.out = files.open_output_stream(self.name)
+        files, path = pa.fs.FileSystem.from_uri(self.name)
+        self.out = files.open_output_stream(path)
         self.size, self.known = 0, {}
 
     def put(self, digest: str, image: bytes) -> int:
@@ -111,7 +111,6 @@ class _Shard:
 
 def _write(folder: str):
     def run(batches):
-        files, base = pa.fs.FileSystem.from_uri(folder)
         shard = None
         sizes: dict[str, int] = {}
         for b in batches:
@@ -120,7 +119,7 @@ def _write(folder: str):
                 if shard is None or shard.size > SHARD_BYTES:
                     if shard is not None:
                         shard.close()
-                    shard, sizes = _Shard(files, base), {}
+                    shard, sizes = _Shard(folder), {}
                 n, payload = padded(text)
                 digest = hashlib.sha256(payload).hexdigest()
                 if digest not in sizes:
@@ -136,30 +135,27 @@ def _write(folder: str):
     return run
 
 
-def _read(folder: str):
-    def run(batches):
-        files, _ = pa.fs.FileSystem.from_uri(folder)
-        name = source = last = values = None
-        for b in batches:
-            out = []
-            for row, n, digest, shard, offset, length in zip(*(c.to_pylist() for c in b.columns)):
-                if shard != name:
-                    name, source = shard, files.open_input_file(shard)
-                if (shard, offset) != last:
-                    width, height, bits = png_header(source.read_at(HEADER, offset))
-                    image = source.read_at(length, offset)
-                    payload = from_png(image)
-                    last = (shard, offset)
-                    found = hashlib.sha256(payload).hexdigest()
-                    if found != digest:
-                        raise OSError(f"payload {digest} in {shard} reads as {found}")
-                    values = (len(payload), found, zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(),
-                              feature(payload), width, height, bits)
-                out.append((row, n, *values))
-            if out:
-                yield batch(_FEATURES, *zip(*out))
-
-    return run
+def _read(batches):
+    name = source = last = values = None
+    for b in batches:
+        out = []
+        for row, n, digest, shard, offset, length in zip(*(c.to_pylist() for c in b.columns)):
+            if shard != name:
+                files, path = pa.fs.FileSystem.from_uri(shard)
+                name, source = shard, files.open_input_file(path)
+            if (shard, offset) != last:
+                width, height, bits = png_header(source.read_at(HEADER, offset))
+                image = source.read_at(length, offset)
+                payload = from_png(image)
+                found = hashlib.sha256(payload).hexdigest()
+                if found != digest:
+                    raise OSError(f"payload {digest} in {shard} reads as {found}")
+                last = (shard, offset)
+                values = (len(payload), found, zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(),
+                          feature(payload), width, height, bits)
+            out.append((row, n, *values))
+        if out:
+            yield batch(_FEATURES, *zip(*out))
 
 
 def store_media(docs: DataFrame, row: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
@@ -176,15 +172,13 @@ def store_media(docs: DataFrame, row: str = "doc_id", text: str = "text", folder
     files.create_dir(base, recursive=True)
     docs = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
     index = docs.mapInArrow(_write(uri), "row long, n_bytes long, digest string, shard string, offset long, length long")
-    index = stored(index, "media-index")
-    index.media_folder = uri
-    return index
+    return stored(index, "media-index")
 
 
 def media_columns(index: DataFrame) -> DataFrame:
-    """Metadata and features of the payloads that ``store_media`` stored, read back by range."""
-    uri = index.media_folder
+    """Metadata (from header ranges) and features (from whole payloads) of what ``store_media`` stored,
+    one row per document."""
     rows = index.sortWithinPartitions("shard", "offset")
     return rows.mapInArrow(
-        _read(uri), "row long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
+        _read, "row long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
         "media_sha256 string, feature string, media_width int, media_height int, media_bits int")

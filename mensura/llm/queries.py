@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import chat_digests
 from .common import table
+from .htmltext import extract_main_text
 from .jaccard import similarity_classes
 from .media import media_columns, store_media
+from .mixing import mix_documents
 from .packing import pack
+from .quality import quality_scores
+from .toxicity import toxicity_scores
 from .urlfilter import judge_urls
+from .versions import version_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -68,3 +75,55 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     out = media_columns(store_media(table(spark, folder, "documents")))
     return out.withColumnRenamed("row", "doc_id")
+
+
+@query("op4_iblt_version_fingerprints")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return version_fingerprints(table(spark, folder, "documents"))
+
+
+@query("op5_site_style_tree_text")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(table(spark, folder, "pages"))
+
+
+@query("op9_quadratic_discriminant_quality")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_random_field_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op2_mix_sources_to_weights")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_documents(table(spark, folder, "documents"))
+
+
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, replace(replace(replace(text, '\', '\b'), '<', '\l'), '[', '\q') AS body,
+        CASE role WHEN 'user' THEN '[INST] ' WHEN 'system' THEN '<<SYS>> ' WHEN 'assistant' THEN '<s> '
+             ELSE '<|' || replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '[', '\q'), '|', '\p') || '|> ' END AS head,
+        CASE role WHEN 'user' THEN ' [/INST]' WHEN 'system' THEN ' <</SYS>>' WHEN 'assistant' THEN ' </s>' ELSE ' <|end|>' END AS tail
+      FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(head || body || tail)) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op3_reply_tree_chat_format", CHAT_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    conversations = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_digests(conversations.union(extra)).drop("formatted")
