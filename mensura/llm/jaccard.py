@@ -6,8 +6,9 @@ that passes the filters is verified once on the whole sets.
 
 How it stays linear in a large group of near copies: classes only need the links that connect
 them. In a first round every set meets one pivot per n-gram (the smallest key of its group), which
-connects tight groups with one link per set. In a second round sets that share a prefix n-gram
-but are still in different components all meet, so no link between components is lost. Posting lists
+connects tight groups with one link per set; in two more those outside an n-gram's largest component meet
+a member of it, drawn anew. Sets that share a prefix n-gram and are still in different components then
+all meet, so no link between components is lost. Posting lists
 expected to be long are split by salts, whose pivots meet in turn.
 
 Equal sets are one node, a 64-bit key of the set (chance that any two of n different sets share a
@@ -33,10 +34,12 @@ COUNTER_BITS = 18
 CHUNK = 4096
 #: Posting lists are split so that a group holds about so many sets.
 GROUP = 4096
-#: Parts into which a set is divided for the suffix filter.
-PARTS = 32
+#: Bits of a set's parity map for the suffix filter: each n-gram turns one bit over.
+PARITY_BITS = 2048
+#: Rounds with drawn pivots before what is left meets in full.
+DRAWN_ROUNDS = 2
 
-_SETS = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("parts", pa.binary()),
+_SETS = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("parity", pa.binary()),
                    ("chunk", pa.int32()), ("counts", pa.binary())])
 _POSTINGS = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("key", pa.int64()),
                        ("n", pa.int32()), ("pos", pa.int32())])
@@ -63,12 +66,13 @@ def _read_sets(width: int):
             for at, hashes, bounds in shingle_sets(data, offsets, width):
                 keys, sizes = set_keys(hashes, bounds), np.diff(bounds)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                part = (hashes >> np.uint64(64 - 5)).astype(np.int64)
-                parts = np.bincount(owner * PARTS + part, minlength=len(sizes) * PARTS).astype("<i4").reshape(-1, PARTS)
+                bit = (hashes >> np.uint64(20)).astype(np.int64) % PARITY_BITS
+                parity = np.bincount(owner * PARITY_BITS + bit, minlength=len(sizes) * PARITY_BITS) & 1
+                parity = np.packbits(parity.astype(np.uint8).reshape(-1, PARITY_BITS), axis=1)
                 for i in _first_of_key(keys, seen):
                     np.add.at(counts, _counter(hashes[bounds[i] : bounds[i + 1]]), 1)
                 none = [None] * len(sizes)
-                yield batch(_SETS, rows.slice(at, len(sizes)), sizes, keys, [p.tobytes() for p in parts], none, none)
+                yield batch(_SETS, rows.slice(at, len(sizes)), sizes, keys, [p.tobytes() for p in parity], none, none)
         for c in range(len(counts) // CHUNK):
             piece = counts[c * CHUNK : (c + 1) * CHUNK]
             if piece.any():
@@ -191,16 +195,18 @@ def _reachable(overlap: str, num: int, den: int):
 
 
 def _suffix_filter(num: int, den: int):
-    """Drops pairs whose sets, divided by hash, cannot overlap enough part by part."""
+    """Drops pairs whose parity maps differ in too many bits: sets that differ in d n-grams differ in
+    at most d bits, so what lies behind the prefixes cannot overlap enough."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            pa_, pb_ = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<i4").reshape(-1, PARTS) for k in (4, 5))
-            most = np.minimum(pa_, pb_).sum(axis=1)
+            left, right = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (4, 5))
+            apart = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
             n = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
-            keep = (den + num) * most.astype(np.int64) >= num * n
+            # The overlap is at most (n - apart) / 2.
+            keep = (den + num) * (n - apart) >= 2 * num * n
             yield b.filter(pa.array(keep)).select([0, 1])
 
     return run
@@ -243,9 +249,9 @@ def similarity_classes(docs: DataFrame, row: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
-    sets = stored(docs.mapInArrow(_read_sets(width), "row long, n long, key long, parts binary, chunk int, counts binary"), "sets")
-    rows = sets.where("chunk is null").select("row", "n", "key", "parts")
-    nodes = stored(rows.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.first("parts").alias("parts")), "nodes")
+    sets = stored(docs.mapInArrow(_read_sets(width), "row long, n long, key long, parity binary, chunk int, counts binary"), "sets")
+    rows = sets.where("chunk is null").select("row", "n", "key", "parity")
+    nodes = stored(rows.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.first("parity").alias("parity")), "nodes")
     frequencies = spark.sparkContext.broadcast(_frequencies(sets))
     postings = docs.select("text").mapInArrow(
         _prefixes(width, num, den, frequencies), "gram long, salt int, salts int, key long, n int, pos int")
@@ -264,19 +270,28 @@ def similarity_classes(docs: DataFrame, row: str = "doc_id", text: str = "text",
     stars = stars.select("a", "b", "na", "nb").distinct()
     links = _verified(docs, nodes, stars, width, num, den)
 
-    # Second round: whatever still lies in different components and shares a prefix n-gram.
-    roots = components(links)
-    placed = shared.select("gram", "key", "n", "pos").join(
-        stored(roots, "roots").withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    placed = stored(placed.distinct(), "placed")
-    parts = placed.groupBy("gram", "root").agg(F.count("*").alias("c")).groupBy("gram").agg(
-        F.max_by("root", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("gram", "main")
-    open_ = stored(placed.join(parts, "gram"), "open")
-    minor = open_.where("root <> main").select("gram", F.col("key").alias("pkey"), F.col("n").alias("pn"),
-                                               F.col("pos").alias("ppos"), F.col("root").alias("proot"))
+    # Sets outside their n-gram's main component meet a member of it that is drawn for the n-gram.
+    rows_left = _open(shared.select("gram", "key", "n", "pos").distinct(), links)
+    for turn in range(DRAWN_ROUNDS):
+        drawn = rows_left.where("root = main").groupBy("gram").agg(
+            F.min_by(F.struct("key", "n", "pos"), F.xxhash64("gram", "key", F.lit(turn))).alias("p"))
+        drawn = rows_left.where("root <> main").join(drawn, "gram").select(
+            "key", "n", "pos", F.col("p.key").alias("pkey"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
+        drawn = _pair(drawn).where(_similar_length(num, den)).where(_reachable(possible, num, den))
+        links = links.union(_verified(docs, nodes, drawn.select("a", "b", "na", "nb").distinct(), width, num, den))
+        rows_left = _open(rows_left.select("gram", "key", "n", "pos"), links)
+
+    # Whatever still lies in different components and shares a prefix n-gram. Of the smaller set (of equal
+    # ones, that of the smaller key) a shorter prefix does.
+    minor = rows_left.where("root <> main").select("gram", F.col("key").alias("pkey"), F.col("n").alias("pn"),
+                                                   F.col("pos").alias("ppos"), F.col("root").alias("proot"))
     near = F.expr(f"{den}L * least(n, pn) >= {num}L * greatest(n, pn)")
     both_minor = (F.col("root") == F.col("main")) | (F.col("key") < F.col("pkey"))
-    across = open_.join(minor, "gram").where(F.col("root") != F.col("proot")).where(near).where(both_minor)
+    smaller = (F.col("n") < F.col("pn")) | ((F.col("n") == F.col("pn")) & (F.col("key") < F.col("pkey")))
+    short = lambda n, pos: F.expr(f"{pos} < {n} - ({2 * num}L * {n} + {num + den - 1}) div {num + den} + 1")
+    in_short = F.when(smaller, short("n", "pos")).otherwise(short("pn", "ppos"))
+    reach = F.expr(f"{den + num}L * (least(pos, ppos) + 1 + least(n - pos - 1, pn - ppos - 1)) >= {num}L * (n + pn)")
+    across = rows_left.join(minor, "gram").where((F.col("root") != F.col("proot")) & near & both_minor & in_short & reach)
     across = _pair(across).groupBy("a", "b").agg(
         F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("c"), F.max(F.struct("pa", "pb")).alias("p"))
     across = across.select("a", "b", "na", "nb", "c", "p.pa", "p.pb").where(
@@ -292,9 +307,19 @@ def similarity_classes(docs: DataFrame, row: str = "doc_id", text: str = "text",
     return out.select(F.col("row").alias(row), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _open(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Those of ``rows`` (gram, key, n, pos) whose n-gram is still shared by several components, with the
+    component and the one that most of the n-gram's sets are in."""
+    roots = stored(components(links), "roots").withColumnRenamed("node", "key")
+    placed = stored(rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
+    main = placed.groupBy("gram", "root").agg(F.count("*").alias("c")).groupBy("gram").agg(
+        F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("gram", "main")
+    return stored(placed.join(main, "gram"), "open")
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that the suffix filter leaves and the whole sets confirm."""
-    parts = nodes.select("key", "parts")
+    parts = nodes.select("key", "parity")
     pairs = pairs.join(parts.toDF("a", "parts_a"), "a").join(parts.toDF("b", "parts_b"), "b")
     pairs = pairs.select("a", "b", "na", "nb", "parts_a", "parts_b").mapInArrow(_suffix_filter(num, den), "a long, b long")
     pairs = stored(pairs, "pairs")
