@@ -36,10 +36,12 @@ CHUNK = 4096
 GROUP = 4096
 #: Bits of a set's parity map for the suffix filter: each n-gram turns one bit over.
 PARITY_BITS = 2048
+#: 64-bit words of the map folded up for use inside a join.
+FOLDED = 4
 #: Rounds with drawn pivots before what is left meets in full.
 DRAWN_ROUNDS = 2
 
-_SETS = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("parity", pa.binary()),
+_SETS = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("parity", pa.binary()), ("folded", pa.list_(pa.int64())),
                    ("chunk", pa.int32()), ("counts", pa.binary())])
 _POSTINGS = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("key", pa.int64()),
                        ("n", pa.int32()), ("pos", pa.int32())])
@@ -69,14 +71,15 @@ def _read_sets(width: int):
                 bit = (hashes >> np.uint64(20)).astype(np.int64) % PARITY_BITS
                 parity = np.bincount(owner * PARITY_BITS + bit, minlength=len(sizes) * PARITY_BITS) & 1
                 parity = np.packbits(parity.astype(np.uint8).reshape(-1, PARITY_BITS), axis=1)
+                folded = np.bitwise_xor.reduce(np.ascontiguousarray(parity).view(np.int64).reshape(len(sizes), -1, FOLDED), axis=1)
                 for i in _first_of_key(keys, seen):
                     np.add.at(counts, _counter(hashes[bounds[i] : bounds[i + 1]]), 1)
                 none = [None] * len(sizes)
-                yield batch(_SETS, rows.slice(at, len(sizes)), sizes, keys, [p.tobytes() for p in parity], none, none)
+                yield batch(_SETS, rows.slice(at, len(sizes)), sizes, keys, [p.tobytes() for p in parity], list(folded), none, none)
         for c in range(len(counts) // CHUNK):
             piece = counts[c * CHUNK : (c + 1) * CHUNK]
             if piece.any():
-                yield batch(_SETS, [None], [None], [None], [None], [c], [piece.astype("<i4").tobytes()])
+                yield batch(_SETS, [None], [None], [None], [None], [None], [c], [piece.astype("<i4").tobytes()])
 
     return run
 
@@ -249,9 +252,9 @@ def similarity_classes(docs: DataFrame, row: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
-    sets = stored(docs.mapInArrow(_read_sets(width), "row long, n long, key long, parity binary, chunk int, counts binary"), "sets")
-    rows = sets.where("chunk is null").select("row", "n", "key", "parity")
-    nodes = stored(rows.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.first("parity").alias("parity")), "nodes")
+    sets = stored(docs.mapInArrow(_read_sets(width), "row long, n long, key long, parity binary, folded array<long>, chunk int, counts binary"), "sets")
+    rows = sets.where("chunk is null").select("row", "n", "key", "parity", "folded")
+    nodes = stored(rows.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.first("parity").alias("parity"), F.first("folded").alias("folded")), "nodes")
     frequencies = spark.sparkContext.broadcast(_frequencies(sets))
     postings = docs.select("text").mapInArrow(
         _prefixes(width, num, den, frequencies), "gram long, salt int, salts int, key long, n int, pos int")
@@ -279,19 +282,21 @@ def similarity_classes(docs: DataFrame, row: str = "doc_id", text: str = "text",
             "key", "n", "pos", F.col("p.key").alias("pkey"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
         drawn = _pair(drawn).where(_similar_length(num, den)).where(_reachable(possible, num, den))
         links = links.union(_verified(docs, nodes, drawn.select("a", "b", "na", "nb").distinct(), width, num, den))
-        rows_left = _open(rows_left.select("gram", "key", "n", "pos"), links)
+        rows_left = _open(rows_left.select("gram", "key", "n", "pos"), links, nodes if turn == DRAWN_ROUNDS - 1 else None)
 
     # Whatever still lies in different components and shares a prefix n-gram. Of the smaller set (of equal
     # ones, that of the smaller key) a shorter prefix does.
     minor = rows_left.where("root <> main").select("gram", F.col("key").alias("pkey"), F.col("n").alias("pn"),
-                                                   F.col("pos").alias("ppos"), F.col("root").alias("proot"))
+                                                   F.col("pos").alias("ppos"), F.col("root").alias("proot"), F.col("folded").alias("pfolded"))
     near = F.expr(f"{den}L * least(n, pn) >= {num}L * greatest(n, pn)")
     both_minor = (F.col("root") == F.col("main")) | (F.col("key") < F.col("pkey"))
     smaller = (F.col("n") < F.col("pn")) | ((F.col("n") == F.col("pn")) & (F.col("key") < F.col("pkey")))
     short = lambda n, pos: F.expr(f"{pos} < {n} - ({2 * num}L * {n} + {num + den - 1}) div {num + den} + 1")
     in_short = F.when(smaller, short("n", "pos")).otherwise(short("pn", "ppos"))
     reach = F.expr(f"{den + num}L * (least(pos, ppos) + 1 + least(n - pos - 1, pn - ppos - 1)) >= {num}L * (n + pn)")
-    across = rows_left.join(minor, "gram").where((F.col("root") != F.col("proot")) & near & both_minor & in_short & reach)
+    apart = " + ".join(f"bit_count(folded[{k}] ^ pfolded[{k}])" for k in range(FOLDED))
+    alike = F.expr(f"{den + num}L * (n + pn - ({apart})) >= {2 * num}L * (n + pn)")
+    across = rows_left.join(minor, "gram").where((F.col("root") != F.col("proot")) & near & both_minor & in_short & reach & alike)
     across = _pair(across).groupBy("a", "b").agg(
         F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("c"), F.max(F.struct("pa", "pb")).alias("p"))
     across = across.select("a", "b", "na", "nb", "c", "p.pa", "p.pb").where(
@@ -307,11 +312,14 @@ def similarity_classes(docs: DataFrame, row: str = "doc_id", text: str = "text",
     return out.select(F.col("row").alias(row), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _open(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _open(rows: DataFrame, links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Those of ``rows`` (gram, key, n, pos) whose n-gram is still shared by several components, with the
-    component and the one that most of the n-gram's sets are in."""
-    roots = stored(components(links), "roots").withColumnRenamed("node", "key")
-    placed = stored(rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
+    component and the one that most of the n-gram's sets are in; with the folded map if ``nodes`` has it."""
+    roots = components(links).withColumnRenamed("node", "key")
+    if nodes is not None:
+        roots = nodes.select("key", "folded").join(roots, "key", "left")
+    placed = rows.join(stored(roots, "roots"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = stored(placed, "placed")
     main = placed.groupBy("gram", "root").agg(F.count("*").alias("c")).groupBy("gram").agg(
         F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("gram", "main")
     return stored(placed.join(main, "gram"), "open")
