@@ -18,6 +18,8 @@ from .common import WORD_AND_GAP, stored, words
 
 BLOCK_WORDS, SHARD_SLOTS, ROUNDS = 128, 4096, 20
 WEIGHTS, MOST = (1, 2, 3), 3
+#: Slots that a task draws.
+SLOTS_A_TASK = 1 << 16
 #: Documents of a source that are numbered together.
 CHUNK = 2048
 
@@ -90,7 +92,8 @@ def mixture(targets: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0) -
     table = table.withColumn("all", F.sum("slots").over(Window.partitionBy()))
     # Ranges of slots first, spread over the tasks, then the slots.
     ranges = table.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("slots") - 1, F.lit(shard_slots))))
-    ranges = ranges.repartition(F.col("source"), F.col("low"))
+    wanted = targets.agg(F.sum("slots")).first()[0] or 0
+    ranges = ranges.repartition(-(-wanted // SLOTS_A_TASK) or 1, F.col("source"), F.col("low"))
     slots = ranges.withColumn("i", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + shard_slots, F.col("slots")) - 1)))
     slots = slots.withColumn("epoch", F.floor(F.col("i") / F.col("blocks")))
     block = permuted(F.col("i") % F.col("blocks"), F.col("blocks"), F.lit(seed), _key(), F.col("epoch"))
