@@ -26,7 +26,7 @@ from ..session import broadcast_if_small
 from .common import batch, stored
 from .quality import training_fold
 
-SAMPLE, SAMPLE_CHARS = 4000, 20_000
+SAMPLE, SAMPLE_CHARS = 3000, 20_000
 BITS, FEATURES = 18, 8
 #: Least toxic documents that hold a toxic word or beginning, the odds of harmless to toxic ones (of equally many
 #: of both), and how many words may be taken for toxic by chance.
@@ -127,38 +127,48 @@ def _decode(sequences: list[np.ndarray], moves: np.ndarray, pairs: bool):
     return out
 
 
-def _seeds(docs: list[list[str]], toxic: np.ndarray) -> tuple[set[str], set[str]]:
-    """Words and beginnings of words that tell toxic documents from others."""
-    counts: dict[tuple[str, str], list[int]] = {}
-    for words, y in zip(docs, toxic):
-        seen = {w for w in map(plain, dict.fromkeys(words)) if len(w) > 2}
-        marks = {("w", w) for w in seen} | {("b", w[:k]) for w in seen for k in STARTS if len(w) > k}
-        for m in marks:
-            counts.setdefault(m, [0, 0])[int(y)] += 1
+def _coded(names: list[str | None]) -> np.ndarray:
+    """Numbers of equal names; None is -1."""
+    codes: dict[str, int] = {}
+    return np.array([-1 if n is None else codes.setdefault(n, len(codes)) for n in names], np.int64)
+
+
+def _marked(vocabulary: list[str], ids: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """The words that tell toxic documents from others, by themselves or by how they begin."""
     share = toxic.mean() if len(toxic) else 0.5
+    marked = np.zeros(len(vocabulary), bool)
     if not 0 < share < 1:
-        return set(), set()
-    names = list(counts)
-    no, yes = (np.array([counts[m][k] for m in names], float) for k in (0, 1))
-    n = no + yes
-    # Chernoff bound on as many toxic documents by chance, times the marks that are as frequent.
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = yes * np.log(yes / n / share) + np.where(no > 0, no * np.log(no / n / (1 - share)), 0.0)
-    rivals = len(n) - np.searchsorted(np.sort(n), n, "left")
-    sure = (yes >= SEED_DOCS) & (yes > n * share) & (no * share <= SEED_SHARE * yes * (1 - share)) & (gain >= np.log(rivals / SEED_CHANCE))
-    good = [names[i] for i in np.flatnonzero(sure)]
-    return {m for k, m in good if k == "w"}, {m for k, m in good if k == "b"}
-
-
-def fit_field(texts: list[str], toxic: np.ndarray, folds: np.ndarray, epochs: int = 5, rate: float = 0.3, keep: float = 1e-4) -> Field:
+        return marked
+    names = [plain(w) for w in vocabulary]
+    kinds = [_coded([n if len(n) > 2 else None for n in names])]
+    kinds += [_coded([n[:k] if len(n) > k else None for n in names]) for k in STARTS]
+    counts = [np.zeros((2, k.max(initial=-1) + 1)) for k in kinds]
+    for own, y in zip(ids, toxic):
+        own = np.unique(own)
+        for k, c in zip(kinds, counts):
+            seen = np.unique(k[own])
+            c[int(y), seen[seen >= 0]] += 1
+    frequent = np.sort(np.concatenate([c.sum(axis=0) for c in counts]))
+    for k, (no, yes) in zip(kinds, counts):
+        n = no + yes
+        # Chernoff bound on as many toxic documents by chance, times the marks that are as frequent.
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(yes > 0, yes * np.log(yes / n / share), 0.0) + np.where(no > 0, no * np.log(no / n / (1 - share)), 0.0)
+        rivals = np.maximum(1, len(frequent) - np.searchsorted(frequent, n, "left"))
+        sure = (yes >= SEED_DOCS) & (yes > n * share) & (no * share <= SEED_SHARE * yes * (1 - share)) & (gain >= np.log(rivals / SEED_CHANCE))
+        marked |= (k >= 0) & np.append(sure, False)[k]
+    return marked
+
+
+def fit_field(texts, toxic: np.ndarray, folds: np.ndarray, epochs: int = 5, rate: float = 0.3, keep: float = 1e-4) -> Field:
     """From labelled texts; the documents of the last of the ``folds`` fit the curve only."""
-    docs = [t.split() for t in texts]
-    learn = folds != folds.max() if len(set(folds.tolist())) > 1 else np.ones(len(docs), bool)
-    seed_words, seed_starts = _seeds([d for d, u in zip(docs, learn) if u], toxic[learn])
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
-    at = np.array([features(w) for w in vocabulary], np.int64).reshape(-1, FEATURES)
-    marked = np.array([p in seed_words or any(p[:k] in seed_starts for k in STARTS) for p in map(plain, vocabulary)], bool)
-    ids = [np.fromiter(map(vocabulary.__getitem__, d), np.int64, len(d)) for d in docs]
+    numbers: dict[str, int] = {}
+    ids = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in t.split()), np.int32) for t in texts]
+    vocabulary = list(numbers)
+    del numbers
+    learn = folds != folds.max() if len(set(folds.tolist())) > 1 else np.ones(len(ids), bool)
+    marked = _marked(vocabulary, [d for d, u in zip(ids, learn) if u], toxic[learn])
+    at = np.array([features(w) for w in vocabulary], np.int32).reshape(-1, FEATURES)
     field = Field(np.zeros(1 << BITS), np.zeros((2, 2)), np.array([0.0, 1.0, 0.0, 0.0]))
     field.moves[:, 1] = -1.0
     # Toxic documents without a marked word have unknown labels.
@@ -190,8 +200,7 @@ def fit_field(texts: list[str], toxic: np.ndarray, folds: np.ndarray, epochs: in
             field.moves += rate * move / np.sqrt(move_squares)
     check = np.flatnonzero(~learn) if not learn.all() else np.arange(len(docs))
     if len(check):
-        known: dict[str, float] = {}
-        x = _summary(field.marginals([field.emissions(docs[i], known) for i in check]))
+        x = _summary(field.marginals([field.weights[at[ids[i]]].sum(axis=1) for i in check]))
         field.curve = _curve(x, toxic[check].astype(float))
     return field
 
