@@ -43,6 +43,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def slowly(*columns: pa.Array, step: int = 256):
+    """Rows of Arrow columns as Python values, a few at a time: a batch of texts is never held twice."""
+    for at in range(0, len(columns[0]), step):
+        yield from zip(*(c.slice(at, step).to_pylist() for c in columns))
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 

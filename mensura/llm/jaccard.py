@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .common import batch, mix64, stored, utf8
+from .common import batch, mix64, slowly, stored, utf8
 from .components import components
 from .shingles import set_keys, shingle_sets
 
@@ -231,7 +231,7 @@ def _verify(width: int, num: int, den: int):
 
         for b in batches:
             keep = []
-            for a, c, ta, tb in zip(*(col.to_pylist() for col in b.columns)):
+            for a, c, ta, tb in slowly(*b.columns):
                 x, y = shingles(a, ta), shingles(c, tb)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import batch, stored
+from .common import batch, slowly, stored
 
 #: Samples per image row.
 WIDTH = 192
@@ -115,7 +115,7 @@ def _write(folder: str):
         sizes: dict[str, int] = {}
         for b in batches:
             out = []
-            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for row, text in slowly(*b.columns):
                 if shard is None or shard.size > SHARD_BYTES:
                     if shard is not None:
                         shard.close()

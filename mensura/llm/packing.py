@@ -49,10 +49,10 @@ def _pieces(path: str, size: int, end_id: int):
     def run(batches):
         encode = encoder(path)
         for b in batches:
-            keys, out = b.column(0).to_pylist(), []
-            texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                for key, ids in zip(keys[at : at + 256], encode([t or "" for t in texts[at : at + 256]])):
+            out = []
+            for at in range(0, b.num_rows, 256):
+                keys, texts = (c.slice(at, 256).to_pylist() for c in b.columns)
+                for key, ids in zip(keys, encode([t or "" for t in texts])):
                     ids = np.array([*ids, end_id], "<u4")
                     first = len(ids) % size or min(size, len(ids))
                     cuts = [0, *range(first, len(ids) + 1, size)]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, stored
+from .common import batch, slowly, stored
 
 STATISTICS = ("chars", "words", "word_length", "upper", "digits", "symbols", "exclaims", "spaces", "distinct", "repeats", "top_word",
               "odd_ends", "lines", "line_length", "repeated_lines", "shouted", "symbol_words", "pairs")
@@ -143,7 +143,7 @@ _STATS = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
 
 def _statistics(batches):
     for b in batches:
-        yield batch(_STATS, b.column(0), [statistics(t or "") for t in b.column(1).to_pylist()])
+        yield batch(_STATS, b.column(0), [statistics(t or "") for t, in slowly(b.column(1))])
 
 
 def _ratios(model: Discriminant):
@@ -226,8 +226,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, row: str = "doc_id", text: str
 
     def keep(batches):
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text)).to_pylist()
-            if texts:
-                yield b.filter(pa.array(model.score(np.array([statistics(t or "") for t in texts])) >= threshold))
+            if b.num_rows:
+                x = np.array([statistics(t or "") for t, in slowly(b.column(b.schema.get_field_index(text)))])
+                yield b.filter(pa.array(model.score(x) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -8,8 +8,8 @@ import numpy as np
 
 from .common import mix64
 
-#: Documents are cut into runs of about so many bytes; one longer document is a run of its own.
-RUN_BYTES = 1 << 21
+#: Documents are cut into runs of about so many bytes and documents; one longer document is a run of its own.
+RUN_BYTES, RUN_DOCS = 1 << 19, 512
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -60,7 +60,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[
     at, docs = 0, len(offsets) - 1
     while at < docs:
         to = int(np.searchsorted(offsets, offsets[at] + RUN_BYTES, "right")) - 1
-        to = min(max(to, at + 1), docs)
+        to = min(max(to, at + 1), docs, at + RUN_DOCS)
         low = offsets[at]
         hashes, bounds = _run(data[low : offsets[to]], offsets[at : to + 1] - low, width)
         yield at, hashes, bounds

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .common import batch, stored
+from .common import batch, slowly, stored
 from .quality import training_fold
 
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
@@ -33,7 +33,7 @@ BITS, FEATURES = 18, 8
 SEED_DOCS, SEED_SHARE, SEED_CHANCE = 3, 0.05, 0.05
 STARTS = (4, 5, 6, 7)
 #: Words of documents that are decoded together, and of which emissions are remembered.
-RUN_WORDS, REMEMBERED = 1 << 20, 1 << 18
+RUN_WORDS, REMEMBERED = 1 << 18, 1 << 17
 
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&-_"
 _WORD = re.compile(r"\S+")
@@ -236,30 +236,32 @@ def train(docs: DataFrame, labels: DataFrame, row: str = "doc_id", text: str = "
         np.zeros(1 << BITS), np.zeros((2, 2)), np.zeros(4))
 
 
-def _run(field: Field, texts: list[str | None]):
+def _run(field: Field, texts):
     """Score and offending spans of each text, decoded in runs of bounded size."""
     known: dict[str, float] = {}
     held: list[np.ndarray] = []
-    size, at = 0, 0
+    whole: list[str | None] = []
+    size = 0
 
-    def flush(upto: int):
+    def flush():
         marginals = field.marginals(held)
-        for text, m, score in zip(texts[at:upto], marginals, field.scores(marginals).tolist()):
+        for text, m, score in zip(whole, marginals, field.scores(marginals).tolist()):
             spans = []
             if len(m) and m.max() >= 0.5:
                 bad = set(np.flatnonzero(m >= 0.5).tolist())
                 spans = [[w.start(), w.end()] for i, w in enumerate(_WORD.finditer(text)) if i in bad]
             yield score, spans
 
-    for i, text in enumerate(texts):
+    for text in texts:
         words = (text or "").split()
+        whole.append(text)
         held.append(field.emissions(words, known))
         size += len(words)
         if size > RUN_WORDS:
-            yield from flush(i + 1)
-            held, size, at = [], 0, i + 1
+            yield from flush()
+            held, whole, size = [], [], 0
     if held:
-        yield from flush(len(texts))
+        yield from flush()
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("offsets", pa.list_(pa.list_(pa.int32())))])
@@ -277,7 +279,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, row: str = "doc_id", tex
 
     def score(batches):
         for b in batches:
-            found = list(_run(shared.value, b.column(1).to_pylist()))
+            found = list(_run(shared.value, (t for t, in slowly(b.column(1)))))
             if found:
                 yield batch(_SCORES, b.column(0), *zip(*found))
 
@@ -292,7 +294,7 @@ def keep_harmless(docs: DataFrame, labels: DataFrame, row: str = "doc_id", text:
 
     def keep(batches):
         for b in batches:
-            scores = [s for s, _ in _run(shared.value, b.column(b.schema.get_field_index(text)).to_pylist())]
+            scores = [s for s, _ in _run(shared.value, (t for t, in slowly(b.column(b.schema.get_field_index(text)))))]
             if scores:
                 yield b.filter(pa.array(np.array(scores) < threshold))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, mix64
+from .common import batch, mix64, slowly
 
 #: Cells of the sketch that is kept as a fingerprint, and the hashes of a digest.
 CELLS, HASHES = 15, 3
@@ -174,7 +174,7 @@ def _fingerprint(batches):
                         [len(x) for x, _ in found], [len(y) for _, y in found])
 
     for b in batches:
-        for key, text, of, borrowed in zip(*(c.to_pylist() for c in b.columns)):
+        for key, text, of, borrowed in slowly(*b.columns):
             if of != part:
                 yield from flush(held)
                 held, part, last, size = [], of, False, 0
