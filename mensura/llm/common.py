@@ -43,6 +43,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: hand at most ``BATCH_ROWS`` of them to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def slowly(*columns: pa.Array, step: int = 256):
     """Rows of Arrow columns as Python values, a few at a time: a batch of texts is never held twice."""
     for at in range(0, len(columns[0]), step):

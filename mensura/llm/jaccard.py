@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .common import batch, mix64, slowly, stored, utf8
+from .common import batch, mix64, slowly, small_batches, stored, utf8
 from .components import components
 from .shingles import set_keys, shingle_sets
 
@@ -149,7 +149,7 @@ def _share(batches):
     """Of postings sorted by (gram, salt, key): those of groups with several sets, or of a salted
     n-gram, each with its group's pivot. A group that a batch cuts waits for the next batch."""
     rest = None
-    for b in [*_chained(batches)]:
+    for b in _chained(batches):
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns] if b is not None else None
         if rest is not None:
             cols = rest if cols is None else [np.concatenate(x) for x in zip(rest, cols)]
@@ -251,6 +251,7 @@ def similarity_classes(docs: DataFrame, row: str = "doc_id", text: str = "text",
     id, or null. Other columns of ``docs`` are ignored, whatever their names. No rows, no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
     sets = stored(docs.mapInArrow(_read_sets(width), "row long, n long, key long, parity binary, folded array<long>, chunk int, counts binary"), "sets")
     rows = sets.where("chunk is null").select("row", "n", "key", "parity", "folded")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import batch, slowly, stored
+from .common import batch, slowly, small_batches, stored
 
 #: Samples per image row.
 WIDTH = 192
@@ -168,6 +168,7 @@ def store_media(docs: DataFrame, row: str = "doc_id", text: str = "text", folder
     folder = folder or scratch_path(docs.sparkSession, "media")
     uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     uri = "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    small_batches(docs.sparkSession)
     files, base = pa.fs.FileSystem.from_uri(uri)
     files.create_dir(base, recursive=True)
     docs = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, stored
+from .common import batch, small_batches, stored
 
 #: Pieces of one packing group.
 GROUP = 4096
@@ -143,6 +143,7 @@ def pack(docs: DataFrame, tokenizer: str, row: str = "doc_id", text: str = "text
     alone. Longer ones are cut into pieces of ``size``, the first one shorter. Rows that repeat are packed
     each; a null id is kept. Other columns are ignored. No rows, no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(row).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = stored(docs.mapInArrow(_pieces(tokenizer, size, end_id), "doc_id long, piece int, start long, length int, ids_crc32 long"), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))

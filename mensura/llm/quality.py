@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slowly, stored
+from .common import batch, slowly, small_batches, stored
 
 STATISTICS = ("chars", "words", "word_length", "upper", "digits", "symbols", "exclaims", "spaces", "distinct", "repeats", "top_word",
               "odd_ends", "lines", "line_length", "repeated_lines", "shouted", "symbol_words", "pairs")
@@ -212,6 +212,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, row: str = "doc_id", text
     kept and counts as not held out. Without labels the score is the prior's. Other columns are ignored.
     No rows, no rows.
     """
+    small_batches(docs.sparkSession)
     stats = stored(docs.select(F.col(row).cast("long"), F.col(text)).mapInArrow(_statistics, "doc_id long, x array<double>"), "statistics")
     model = train(stats, labels, label, row)
     scores = stats.mapInArrow(_score(model), "doc_id long, score double")
@@ -221,6 +222,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, row: str = "doc_id", text
 
 def keep_good(docs: DataFrame, labels: DataFrame, row: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``threshold``; all columns stay as they are."""
+    small_batches(docs.sparkSession)
     stats = stored(docs.select(F.col(row).cast("long"), F.col(text)).mapInArrow(_statistics, "doc_id long, x array<double>"), "statistics")
     model = train(stats, labels, label, row)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .common import batch, slowly, stored
+from .common import batch, slowly, small_batches, stored
 from .quality import training_fold
 
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
@@ -33,7 +33,7 @@ BITS, FEATURES = 18, 8
 SEED_DOCS, SEED_SHARE, SEED_CHANCE = 3, 0.05, 0.05
 STARTS = (4, 5, 6, 7)
 #: Words of documents that are decoded together, and of which emissions are remembered.
-RUN_WORDS, REMEMBERED = 1 << 18, 1 << 17
+RUN_WORDS, REMEMBERED = 1 << 19, 1 << 18
 
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&-_"
 _WORD = re.compile(r"\S+")
@@ -222,6 +222,7 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, row: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held_out: int = 2) -> Field:
     """Fit on the sample of labelled rows outside the held-out fold. Rows without id, text or label teach
     nothing; of several labels of one id the largest counts."""
+    small_batches(docs.sparkSession)
     labels = labels.select(F.col(row).alias("id"), F.col(label).cast("int").alias("label"))
     labels = labels.where("id is not null and label in (0, 1)").where(training_fold("id", folds) != held_out)
     labels = stored(labels.groupBy("id").agg(F.max("label").alias("label")), "labels")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, mix64, slowly
+from .common import batch, mix64, slowly, small_batches
 
 #: Cells of the sketch that is kept as a fingerprint, and the hashes of a digest.
 CELLS, HASHES = 15, 3
@@ -201,6 +201,7 @@ def version_fingerprints(docs: DataFrame, row: str = "doc_id", text: str = "text
     the first document of the next range that has any.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(row).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = F.coalesce("doc_id", F.lit(_LEAST)).alias("o")
     # Two ranges per input split; the bounds only balance the work.
