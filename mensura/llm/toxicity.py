@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .common import batch, slowly, small_batches, stored
+from .common import batch, mix64, slowly, small_batches, stored
 from .quality import training_fold
 
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
@@ -133,8 +133,22 @@ def _coded(names: list[str | None]) -> np.ndarray:
     return np.array([-1 if n is None else codes.setdefault(n, len(codes)) for n in names], np.int64)
 
 
+def _families(ids: list[np.ndarray], toxic: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Documents of one label whose least hash of four words in a row agrees are one: words that
+    copies of one document share must not count as often as there are copies."""
+    found: dict[tuple[int, bool], list[np.ndarray]] = {}
+    for own, y in zip(ids, toxic):
+        with np.errstate(over="ignore"):
+            runs = np.zeros(max(1, len(own) - 3), np.uint64)
+            for j in range(min(4, len(own))):
+                runs += own[j : j + len(runs)].astype(np.uint64) * np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64))
+        found.setdefault((int(mix64(runs).min()), bool(y)), []).append(own)
+    return [np.concatenate(v) for v in found.values()], np.array([y for _, y in found], bool)
+
+
 def _marked(vocabulary: list[str], ids: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """The words that tell toxic documents from others, by themselves or by how they begin."""
+    ids, toxic = _families(ids, toxic)
     share = toxic.mean() if len(toxic) else 0.5
     marked = np.zeros(len(vocabulary), bool)
     if not 0 < share < 1:
@@ -237,9 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, row: str = "doc_id", text: str = "
         np.zeros(1 << BITS), np.zeros((2, 2)), np.zeros(4))
 
 
-def _run(field: Field, texts):
-    """Score and offending spans of each text, decoded in runs of bounded size."""
-    known: dict[str, float] = {}
+def _run(field: Field, texts, known: dict[str, float]):
+    """Score and offending spans of each text, decoded in runs of bounded size; ``known`` remembers emissions."""
     held: list[np.ndarray] = []
     whole: list[str | None] = []
     size = 0
@@ -279,8 +292,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, row: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def score(batches):
+        known: dict[str, float] = {}
         for b in batches:
-            found = list(_run(shared.value, (t for t, in slowly(b.column(1)))))
+            found = list(_run(shared.value, (t for t, in slowly(b.column(1))), known))
             if found:
                 yield batch(_SCORES, b.column(0), *zip(*found))
 
@@ -294,8 +308,9 @@ def keep_harmless(docs: DataFrame, labels: DataFrame, row: str = "doc_id", text:
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, row, text, label))
 
     def keep(batches):
+        known: dict[str, float] = {}
         for b in batches:
-            scores = [s for s, _ in _run(shared.value, (t for t, in slowly(b.column(b.schema.get_field_index(text)))))]
+            scores = [s for s, _ in _run(shared.value, (t for t, in slowly(b.column(b.schema.get_field_index(text)))), known)]
             if scores:
                 yield b.filter(pa.array(np.array(scores) < threshold))
 
