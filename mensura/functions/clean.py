@@ -77,7 +77,7 @@ def to_number(c: Column | str) -> Column:
 
 
 def nan_to_null(c: Column | str) -> Column:
-    col = as_column(c).cast("double")
+    col = as_column(c).try_cast("double")
     return F.when(~F.isnan(col), col)
 
 
@@ -287,7 +287,7 @@ def candidate_flags(
 
 
 def text_length(c: Column | str) -> Column:
-    return F.length(normalize_text(c, nfkc=False))
+    return F.length(normalize_text(c))
 
 
 def is_sparse(c: Column | str, minimum: int = 25) -> Column:
@@ -301,7 +301,7 @@ def link_column(template: str, key: Column) -> Column:
 
 
 def is_finite(c: Column | str) -> Column:
-    col = as_column(c).cast("double")
+    col = as_column(c).try_cast("double")
     return F.coalesce(~F.isnan(col) & (F.abs(col) < float("inf")), F.lit(False))
 
 

@@ -25,12 +25,11 @@ from .metrics import partial_spearman, regression_metrics, spearman
 from .ordering import cumulative, with_hash_slots
 
 SEED = 42
-MAX_TREE_DEPTH = 30  # the deepest tree the library trains; deeper requests are cut to it
 
 
 def forest_regressor(trees: int = 500, depth: int = 10, features: str = "features", label: str = "y", seed: int = SEED) -> Estimator:
     return RandomForestRegressor(
-        numTrees=trees, maxDepth=min(depth, MAX_TREE_DEPTH), featuresCol=features, labelCol=label, seed=seed,
+        numTrees=trees, maxDepth=depth, featuresCol=features, labelCol=label, seed=seed,
         featureSubsetStrategy="all", predictionCol="y_pred",
     )
 
@@ -44,19 +43,17 @@ def boosted_regressor(rounds: int = 500, depth: int = 6, step: float = 0.05, fea
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Weight n / (classes · n_class): every class counts the same. The class table is tiny by nature."""
+    """Weight n / (classes · n_class): every class counts the same. The class table is sent to all only if counted small."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
     facts = counts.agg(F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__k")).first()
-    if facts["__k"] > 10_000:
-        raise ValueError("balanced weights expect a class label, not a continuous one")
     per = counts.select(label, (F.lit(float(facts["__n"] or 0)) / (F.lit(facts["__k"]) * F.col("__c"))).alias(out))
-    return df.join(F.broadcast(per), label)
+    return df.join(broadcast_if_small(per), label)
 
 
 def forest_classifier(trees: int = 500, depth: int = 10, features: str = "features", label: str = "y", weight: str | None = "weight", seed: int = SEED) -> Estimator:
     extra = {"weightCol": weight} if weight else {}
     return RandomForestClassifier(
-        numTrees=trees, maxDepth=min(depth, MAX_TREE_DEPTH), featuresCol=features, labelCol=label, seed=seed, **extra
+        numTrees=trees, maxDepth=depth, featuresCol=features, labelCol=label, seed=seed, **extra
     )
 
 

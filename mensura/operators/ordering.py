@@ -10,7 +10,9 @@ from an approximate quantile sketch; they decide only how work is spread, never
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections import Counter
 from collections.abc import Mapping, Sequence
 
@@ -39,7 +41,15 @@ def slot_count(spark: SparkSession) -> int:
 def _sketch(df: DataFrame, value: Column, slots: int) -> list[float]:
     probabilities = [i / slots for i in range(1, slots)]
     row = df.agg(F.percentile_approx(value.cast("double"), probabilities, 10 * slots).alias("q")).first()
-    return [float(v) for v in (row["q"] or [])]
+    # Infinities and NaN lie beyond the first or last edge anyway.
+    return [float(v) for v in (row["q"] or []) if math.isfinite(v)]
+
+
+def _number(df: DataFrame, value: str) -> Column:
+    """The value as a double in the same order; a text by its first six bytes."""
+    if isinstance(df.schema[value].dataType, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.col(value).cast("double")
 
 
 def slot_edges(df: DataFrame, value: Column, slots: int) -> list[float]:
@@ -54,7 +64,7 @@ def with_value_slots(df: DataFrame, value: str, edges: Sequence[float]) -> DataF
     probe = "__probe"
     splits = [float("-inf"), *edges, float("inf")]
     cut = Bucketizer(splits=splits, inputCol=probe, outputCol=_SLOT, handleInvalid="keep")
-    out = cut.transform(df.withColumn(probe, F.col(value).cast("double")))
+    out = cut.transform(df.withColumn(probe, _number(df, value)))
     return out.withColumn(_SLOT, F.col(_SLOT).cast("int")).drop(probe)
 
 
@@ -67,8 +77,10 @@ def with_row_slots(
     as many slots as it filled, so one frequent value does not end up in one task.
     """
     slots = slots or slot_count(df.sparkSession)
-    sketch = Counter(_sketch(df, F.col(value), slots))
-    frequent = {v: m for v, m in sketch.items() if m > 1}
+    sketch = Counter(_sketch(df, _number(df, value), slots))
+    # Texts are compared by their first bytes here: equal ones may still differ, so none is cut by a hash.
+    text = isinstance(df.schema[value].dataType, T.StringType)
+    frequent = {} if text else {v: m for v, m in sketch.items() if m > 1}
     edges = sorted(set(sketch) | {math.nextafter(v, math.inf) for v in frequent})
     out = with_value_slots(df.withColumn("__tie", F.pmod(F.xxhash64(*tie), F.lit(TIE_RANGE))), value, edges)
     if frequent:
@@ -106,7 +118,8 @@ def cumulative(
 ) -> DataFrame:
     """Add ``<m>_before`` (sum over earlier rows of the group) and ``<m>_total`` per measure.
 
-    ``slotted`` carries a slot column whose order agrees with ``order``; keys are not NULL.
+    ``slotted`` carries a slot column whose order agrees with ``order``. NULL keys are a group and NULL values a slot,
+    the first, of their own.
     """
     spread = slotted.repartition(*keys, _SLOT)
     inside = Window.partitionBy(*keys, _SLOT).orderBy(*order)
@@ -124,7 +137,10 @@ def cumulative(
         *[F.coalesce(F.sum(f"__s_{m}").over(before), F.lit(0)).alias(f"__off_{m}") for m in measures],
         *[F.sum(f"__s_{m}").over(group).alias(f"{m}_total") for m in measures],
     )
-    out = numbered.join(offsets, [*keys, _SLOT])
+    names = {k: f"__k{i}" for i, k in enumerate([*keys, _SLOT])}
+    offsets = offsets.withColumnsRenamed(names)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    out = numbered.join(offsets, functools.reduce(operator.and_, same))
     kept = [c for c in slotted.columns if c != _SLOT]
     return out.select(
         *kept,

@@ -64,13 +64,13 @@ def long_value_counts(t):
 
 @query("a06_field_coverage", """
     WITH x AS (SELECT CAST(count(*) AS BIGINT) AS n, count(doc_id) AS a, count(CASE WHEN source <> 'src1' THEN 1 END) AS b,
-                      count(CASE WHEN trim(split_part(text, chr(10), 4), ' ' || chr(10) || chr(9)) <> '' THEN 1 END) AS c, count(n_chars) AS d FROM documents),
-    y AS (SELECT unnest([{'field': 'doc_id', 'p': a}, {'field': 'source', 'p': b}, {'field': 'fourth_line', 'p': c}, {'field': 'n_chars', 'p': d}]) AS s, n FROM x)
+                      count(CASE WHEN trim(text, ' ' || chr(10) || chr(9)) <> '' THEN 1 END) AS c, count(n_chars) AS d FROM documents),
+    y AS (SELECT unnest([{'field': 'doc_id', 'p': a}, {'field': 'source', 'p': b}, {'field': 'text', 'p': c}, {'field': 'n_chars', 'p': d}]) AS s, n FROM x)
     SELECT s.field AS field, s.p AS n_present, n - s.p AS n_missing, round(s.p * 100.0 / n, 3) AS coverage_percent FROM y""")
 def field_coverage(t):
     docs = t.documents.select(
         "doc_id", F.when(F.col("source") == "src1", "  ").otherwise(F.col("source")).alias("source"),
-        F.split_part("text", F.lit("\n"), F.lit(4)).alias("fourth_line"), "n_chars",
+        "text", "n_chars",
     )
     return a.field_coverage(docs)
 

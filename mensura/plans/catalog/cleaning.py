@@ -18,15 +18,15 @@ def normal_sql(x: str) -> str:
     return strip_sql(rf"regexp_replace(lower({x}), '\s+', ' ', 'g')")
 
 
-# A text cell that may be missing: short lines, blanks and the word nan.
-LINE = "split_part(text, chr(10), 2)"
+# A text cell that may be missing: blanks and the word nan.
+LINE = "text"
 
 
 @query("p01_clean_text", f"""
     WITH d AS (SELECT doc_id, {strip_sql(LINE)} AS v FROM documents)
     SELECT doc_id, CASE WHEN v <> '' AND lower(v) <> 'nan' THEN v END AS cleaned FROM d""")
 def clean_text(t):
-    return t.documents.select("doc_id", c.clean_text(F.split_part("text", F.lit("\n"), F.lit(2))).alias("cleaned"))
+    return t.documents.select("doc_id", c.clean_text("text").alias("cleaned"))
 
 
 @query("p02_to_number", """
@@ -42,9 +42,8 @@ def to_number(t):
     WITH d AS (SELECT doc_id, {strip_sql(LINE)} AS a, {strip_sql('source')} AS b FROM documents)
     SELECT doc_id, coalesce(nullif(a, ''), nullif(b, '')) AS found, nullif(b, '') AS only_fallback FROM d""")
 def first_present(t):
-    second = F.split_part("text", F.lit("\n"), F.lit(2))
     return t.documents.select(
-        "doc_id", c.first_present(second, "source").alias("found"), c.first_present(None, "source").alias("only_fallback")
+        "doc_id", c.first_present("text", "source").alias("found"), c.first_present(None, "source").alias("only_fallback")
     )
 
 
@@ -147,7 +146,7 @@ def flagged_documents(t):
     docs = t.texts().join(t.labels, "doc_id", "left")
     flags = c.record_flags(
         comments=[F.col("text"), F.col("source")], kind=F.concat(F.col("lang"), F.lit("inhib")), wanted="ENINHIB",
-        structure=F.split_part("text", F.lit("\n"), F.lit(3)), duplicate=F.col("toxic").cast("string"),
+        structure=F.col("text"), duplicate=F.col("toxic").cast("string"),
         validity=F.nullif("source", F.lit("src3")), organism=F.nullif("lang", F.lit("fr")),
         text_value=F.col("quality").cast("string"), inactive_pattern=r"\bthe\b|\bund\s+die\b",
     )
@@ -157,7 +156,7 @@ def flagged_documents(t):
 EDGE = r"[^\p{L}\p{N}_]"
 FLAGS_SQL = rf"""f AS (SELECT documents.doc_id,
     regexp_matches(lower(text), '(^|{EDGE})(the|und\s+die)($|{EDGE})') AS text_contains_inactive,
-    lang <> 'en' AS single_point, {strip_sql("split_part(text, chr(10), 3)")} = '' AS missing_structure,
+    lang <> 'en' AS single_point, {strip_sql("text")} = '' AS missing_structure,
     coalesce(toxic = 1, false) AS potential_duplicate_true, source <> 'src3' AS has_validity_comment,
     lang = 'fr' AS missing_organism, quality IS NOT NULL AS has_text_value
   FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id)"""

@@ -18,21 +18,21 @@ def one_to_one_left(t):
 
 @query("j02_left_join_zero", """
     WITH o AS (SELECT o_custkey, count(*) AS n_orders, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_closed
-               FROM orders WHERE o_totalprice > 300000 GROUP BY 1)
+               FROM orders GROUP BY 1)
     SELECT c_custkey, coalesce(n_orders, 0) AS n_orders, coalesce(n_closed, 0) AS n_closed FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
 def left_join_zero(t):
-    per = t.orders.where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+    per = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.count(F.lit(1)).alias("n_orders"), F.count_if(F.col("o_orderstatus") == "F").alias("n_closed")
     )
     return j.left_join_zero(t.customer.select("c_custkey"), per, ["c_custkey"], ["n_orders", "n_closed"])
 
 
-OLD_NEW_SQL = """old AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 25 GROUP BY 1),
-    new AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25 GROUP BY 1)"""
+OLD_NEW_SQL = """old AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
+    new AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)"""
 
 
 def old_new(t):
-    rows = t.lineitem.where("l_quantity > 25")
+    rows = t.lineitem
     return [
         rows.where(F.col("l_returnflag") == f).groupBy(F.col("l_partkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
         for f in ("A", "R")

@@ -84,13 +84,12 @@ def seeded_permutation_rows(t):
 
 @query("u01_labelled_union", """
     SELECT o_orderkey AS k, o_totalprice AS v, 1 AS label FROM orders WHERE o_orderstatus = 'F' UNION ALL
-    SELECT o_orderkey, o_totalprice, 0 FROM orders WHERE o_orderstatus = 'P'""")
+    SELECT o_orderkey, o_totalprice, 0 FROM orders WHERE o_orderstatus <> 'F'""")
 def labelled_union(t):
-    def part(status, label):
-        rows = t.orders.where(F.col("o_orderstatus") == status)
+    def part(rows, label):
         return rows.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), F.lit(label).alias("label"))
 
-    return part("F", 1).unionByName(part("P", 0))
+    return part(t.orders.where("o_orderstatus = 'F'"), 1).unionByName(part(t.orders.where("o_orderstatus <> 'F'"), 0))
 
 
 @query("u02_key_sets", f"""WITH {OLD_NEW_SQL}

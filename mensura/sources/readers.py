@@ -27,7 +27,7 @@ def read_table_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
     columns = [n.strip() for n in names if n is not None]
     text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (
-        spark.read.option("header", True).option("enforceSchema", True).option("multiLine", False)
+        spark.read.option("header", True).option("enforceSchema", True).option("multiLine", True)
         .option("escape", '"').schema(text).csv(path)
     )
     cells = [

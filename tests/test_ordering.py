@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from mensura.operators import ordering as o
 from mensura.operators.joins import hot_key_lookup
@@ -114,3 +115,25 @@ def test_sample_is_repeatable_and_excludes(spark):
     a = {r.k for r in o.seeded_sample(df, known, "k", 56, 3).collect()}
     b = {r.k for r in o.seeded_sample(df.repartition(7), known, "k", 56, 3).collect()}
     assert a == b and len(a) == 56 and min(a) >= 100
+
+
+@pytest.mark.parametrize("kind", ["double", "string"])
+def test_positions_agree_beyond_the_window(spark, monkeypatch, kind):
+    """NULL, NaN, infinite and text values, and NULL keys, are numbered alike on both paths."""
+    values = [None, None, 1.0, 2.0, 2.0, float("inf"), float("-inf"), float("nan"), 0.5] * 6
+    rows = [(i, "a" if i % 3 else None, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    if kind == "string":
+        df = df.withColumn("v", F.concat(F.lit("né"), F.col("v").cast("string"), F.lit(" text")))
+    small = {r["id"]: r["at"] for r in o.positions(df, "v", ["id"], ["g"], "at").collect()}
+    monkeypatch.setattr(o, "WINDOW_ROWS", 0)
+    large = {r["id"]: r["at"] for r in o.positions(df, "v", ["id"], ["g"], "at").collect()}
+    assert len(small) == len(rows) and small == large
+
+
+def test_rows_without_label_are_split_too(spark):
+    from mensura.operators import splits
+
+    df = spark.range(20).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, "x").alias("y"))
+    assert splits.stratified_split(df, "k", "y").count() == 20
+    assert splits.stratified_kfold(df, "k", "y", 5).count() == 20

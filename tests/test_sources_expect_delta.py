@@ -127,3 +127,20 @@ def test_entity_aggregate_first_known(spark, request, path):
     df = spark.createDataFrame(rows, "k string, r string, v double, y int, c string, s string, o int")
     (row,) = aggregate.entity_aggregate(df, "k", "v", "y", "c", "s", ["r"], ["o"]).collect()
     assert (row.r, row.value_median, row.n_measurements, row.year_min, row.year_max, row.n_collections, row.n_sources) == ("x", 1.5, 2, 2000, 2001, 2, 2)
+
+
+def test_csv_round_trip_of_line_breaks(spark, tmp_path):
+    from mensura.sources import readers, sinks
+
+    rows = [("a", 'first\nsecond, "quoted"'), ("b", "plain")]
+    df = spark.createDataFrame(rows, "k string, v string")
+    sinks.write_csv(df, str(tmp_path / "t"))
+    back = readers.read_table_csv(spark, str(tmp_path / "t"), df.schema)
+    assert sorted(tuple(r) for r in back.collect()) == rows
+
+
+def test_text_counts_as_missing_number(spark):
+    from mensura.functions import clean
+
+    df = spark.createDataFrame([("1.5",), ("n/a",), (None,)], "v string")
+    assert [r[0] for r in df.select(clean.nan_to_null("v")).collect()] == [1.5, None, None]
