@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.clean import clean_text, information_level, is_present
+from ..functions.clean import clean_text, information_level, is_present, nan_to_null
 from .joins import distinct_over_members
 from .ordering import percentiles
 
@@ -26,8 +26,10 @@ def entity_aggregate(
     """One row per entity: value statistics, years, distinct collections and sources.
 
     Representatives are the first non-missing values in the stated order. The median comes
-    from ranked values, so a hot entity is no single task's burden.
+    from ranked values, so a hot entity is no single task's burden. NaN and text that is no number
+    are missing values.
     """
+    df = df.withColumn(value, nan_to_null(value))
     v = F.col(value)
     aggs = [
         *[F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c)
@@ -79,8 +81,13 @@ def source_aggregate(
     distinct: Mapping[str, str] | None = None,
     lists: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One row per source: rows, entities, optional distinct counts, lists, value and year facts."""
+    """One row per source: rows, entities, optional distinct counts, lists, value and year facts.
+
+    NaN and text that is no number are missing values.
+    """
     rows = df.where(F.col(source).isNotNull())
+    if value:
+        rows = rows.withColumn(value, nan_to_null(value))
     aggs = [F.count(F.lit(1)).alias("n_measurements"), F.countDistinct(entity).alias("n_entities")]
     aggs += [F.countDistinct(c).alias(o) for o, c in (distinct or {}).items()]
     if value:
@@ -220,6 +227,7 @@ def median_by(df: DataFrame, keys: Sequence[str], value: str, out: str = "median
 
 def sized_medians(df: DataFrame, key: str, value: str, minimum: int = 20) -> DataFrame:
     """Median and count of every group with at least ``minimum`` values."""
+    df = df.withColumn(value, nan_to_null(value))
     big = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(value).alias("n")).where(F.col("n") >= minimum)
     return big.join(percentiles(df, value, [key], {"median": 0.5}), key)
 
@@ -235,6 +243,7 @@ def median_range(df: DataFrame, key: str, value: str, minimum: int = 20) -> Data
 
 
 def describe_delta(df: DataFrame, delta: str, thresholds: Sequence[float] = (0.01, 0.10, 0.50)) -> DataFrame:
+    df = df.withColumn(delta, nan_to_null(delta))
     d = F.col(delta)
     stats = df.agg(
         F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"), F.min(d).alias("min"),
@@ -268,7 +277,8 @@ def with_replicate_counts(df: DataFrame, entity: str, source: str) -> DataFrame:
 
 
 def multi_source_range(df: DataFrame, entity: str, source: str, value: str) -> DataFrame:
-    """Entities measured by several sources and the median spread within them."""
+    """Entities measured by several sources and the median spread within them; NaN is missing."""
+    df = df.withColumn(value, nan_to_null(value))
     spread = df.groupBy(entity).agg(
         F.countDistinct(source).alias("k"), (F.max(value) - F.min(value)).alias("spread")
     ).where(F.col("k") >= 2)

@@ -197,19 +197,22 @@ def differing_fields(fields: Sequence[str], a: str, b: str) -> Column:
     )
 
 
-def masked_signatures(fields: Sequence[str]) -> Column:
-    """The signature with one field left out, for every field, plus the whole signature.
+def masked_signatures(fields: Sequence[str], extra_fields: Sequence[str] = ()) -> Column:
+    """The signature with one field left out, for every field, plus the whole signature; each with
+    what it leaves out (the whole one: the extra fields).
 
-    Two rows that differ in exactly field *f* share exactly the signature without *f*.
+    Two rows that differ in exactly field *f* share exactly the signature without *f*, and differ
+    in what it leaves out.
     """
     def text(f: str) -> Column:
         return F.coalesce(F.concat(F.lit("="), F.col(f).cast("string")), F.lit("?"))
 
     def without_field(skip: str | None) -> Column:
         parts = F.struct(*[text(f).alias(f) for f in fields if f != skip])
-        return F.struct(F.lit(skip or "").alias("mask"), F.xxhash64(parts).alias("code"))
+        left_out = text(skip) if skip else F.to_json(F.struct(*[text(f).alias(f"f{i}") for i, f in enumerate(extra_fields)]))
+        return F.struct(F.lit(skip or "").alias("mask"), F.xxhash64(parts).alias("code"), left_out.alias("left_out"))
 
-    return F.array(*[without_field(f) for f in fields], without_field(None))
+    return F.array(*[without_field(f) for f in fields], *([without_field(None)] if extra_fields else []))
 
 
 def near_signature_pairs(
@@ -227,8 +230,9 @@ def near_signature_pairs(
 
     No collection is crossed with itself. Sources meet only on a masked signature *and* a
     shared rare entity: with entities ordered from rare to common, two sets that overlap in
-    ``t`` entities must meet within their first ``size - t + 1`` ones, so common entities
-    never create candidates. Both rules are exact; the surviving pairs are verified.
+    ``t`` entities must meet within their first ``size - t + 1`` ones. What the signature leaves out
+    must differ where they meet, so sources described alike are no candidates of each other. All
+    three rules are exact; the surviving pairs are verified.
     Returns ``source_a, source_b, <collection>, diff, n_shared``.
     """
     known = F.col(source).isNotNull() & F.col(entity).isNotNull()
@@ -242,13 +246,13 @@ def near_signature_pairs(
     weighted = hot_key_lookup(pairs, frequency, [entity])
     prefix = _rare_prefix(weighted.join(big, source), source, entity, min_shared)
     coded = described.select(
-        source, collection, F.explode(masked_signatures(fields)).alias("__m")
-    ).select(source, collection, F.col("__m.mask").alias("__mask"), F.col("__m.code").alias("__code"))
+        source, collection, F.explode(masked_signatures(fields, extra_fields)).alias("__m")
+    ).select(source, collection, F.col("__m.mask").alias("__mask"), F.col("__m.code").alias("__code"), F.col("__m.left_out").alias("__value"))
     tokens = prefix.join(coded, source)
     on = [collection, "__mask", "__code", entity]
-    left = tokens.select(*on, F.col(source).alias("source_a"))
-    right = tokens.select(*on, F.col(source).alias("source_b"))
-    met = left.join(right, on).where("source_a < source_b").select("source_a", "source_b").distinct()
+    left = tokens.select(*on, F.col(source).alias("source_a"), F.col("__value").alias("__value_a"))
+    right = tokens.select(*on, F.col(source).alias("source_b"), F.col("__value").alias("__value_b"))
+    met = left.join(right, on).where("source_a < source_b AND __value_a <> __value_b").select("source_a", "source_b").distinct()
     info = described.select(source, collection, F.struct(*fields, *extra_fields).alias("s"))
     named = met.join(info.withColumnRenamed(source, "source_a").withColumnRenamed("s", "a"), "source_a").join(
         info.withColumnRenamed(source, "source_b").withColumnRenamed("s", "b").drop(collection), "source_b"

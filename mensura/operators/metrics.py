@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.clean import nan_to_null
 from .joins import hot_key_lookup, null_safe_join
 from .ordering import WINDOW_ROWS, largest_group, percentiles, slot_edges, value_ranks, with_value_slots
 
@@ -29,7 +30,8 @@ def regression_aggregates(y: Column, p: Column) -> list[Column]:
 
 
 def regression_metrics(df: DataFrame, keys: Sequence[str], y: str, p: str) -> DataFrame:
-    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    """Errors and R² of the rows with both numbers; NaN counts as missing, as in the rank correlation."""
+    rows = df.withColumns({c: nan_to_null(c) for c in (y, p)}).where(F.col(y).isNotNull() & F.col(p).isNotNull())
     return rows.groupBy(*keys).agg(*regression_aggregates(F.col(y).cast("double"), F.col(p).cast("double")))
 
 

@@ -15,23 +15,19 @@ def read_table_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
     """CSV with a header whose columns are matched by name, with or without a byte-order mark.
 
     Columns are read as text in file order, so a changed order or an extra column is no
-    error; absent ones become NULL and each cell is converted to its stated type.
+    error; absent ones become NULL and each cell is converted to its stated type. Files of one
+    path share one header: a file with another one stops the read, it is never read shifted.
     """
-    line = spark.read.text(path).first()
-    if line is None:
+    if spark.read.text(path).first() is None:
         return spark.createDataFrame([], schema)
-    first = line["value"].lstrip(BOM)
-    names = spark.createDataFrame([(first,)], "v string").select(
-        F.from_csv("v", ", ".join(f"c{i} string" for i in range(first.count(",") + 1))).alias("c")
-    ).select("c.*").first()
-    columns = [n.strip() for n in names if n is not None]
-    text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = (
-        spark.read.option("header", True).option("enforceSchema", True).option("multiLine", True)
-        .option("escape", '"').schema(text).csv(path)
-    )
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    raw = reader.csv(path)
+    # A column without a name gets one that no header holds, so the headers cannot be compared then.
+    nameless = any(c == f"_c{i}" for i, c in enumerate(raw.columns))
+    raw = reader.option("enforceSchema", nameless).schema(raw.schema).csv(path)
+    at = {c.lstrip(BOM).strip(): c for c in raw.columns}
     cells = [
-        (F.col(f.name).try_cast(f.dataType) if f.name in columns else F.lit(None).cast(f.dataType)).alias(f.name)
+        (F.col(f"`{at[f.name]}`").try_cast(f.dataType) if f.name in at else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in schema.fields
     ]
     return raw.select(*cells)
@@ -42,8 +38,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
     A line that is valid JSON but no object is bad too.
     """
+    return parsed_lines(spark.read.text(path), schema)
+
+
+def parsed_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Lines (``value``), read at once or as a stream, by the rules of ``read_jsonl``."""
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = lines.where(F.trim("value") != "")
     parsed = lines.select(
         F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"), "value"
     )

@@ -38,9 +38,12 @@ def manifest(df: DataFrame, key: str, **facts) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 of every file below a path, hashed on the executors."""
+    """SHA-256 of every file below a path, hashed on the executors; files are named relative to the path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString() + "/"
+    below = F.when(F.col("path").startswith(root), F.substr("path", F.lit(len(root) + 1))).otherwise(F.col("path"))
+    return files.select(below.alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
 def write_snapshot(df: DataFrame, path: str, key: str, version: str) -> None:

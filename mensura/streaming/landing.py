@@ -1,7 +1,7 @@
 """Landed JSON lines as a stream: the paged intake with its duplicate-key guard.
 
 New files are picked up as they land; a record key that comes again within the watermark is
-dropped, bad lines are set aside, and records get their censoring and remark flags with the
+dropped, bad lines are set aside by ``bad_lines``, and records get their censoring and remark flags with the
 same expressions as in batch.
 """
 
@@ -13,15 +13,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.overview import Roles, classify
-from ..sources.readers import CORRUPT
+from ..sources.readers import CORRUPT, parsed_lines
 
 
 def landed_lines(spark: SparkSession, folder: str, schema: T.StructType, max_files: int = 1000) -> DataFrame:
-    """Stream of parsed lines; bad ones keep their text in ``_corrupt_record``."""
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder).where(F.trim("value") != "")
-    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return lines.select(parsed.alias("r")).select("r.*")
+    """Stream of parsed lines; bad ones (no JSON, or no object) keep their text in ``_corrupt_record``."""
+    return parsed_lines(spark.readStream.option("maxFilesPerTrigger", max_files).text(folder), schema)
+
+
+def bad_lines(lines: DataFrame) -> DataFrame:
+    """Texts of the lines that ``landed_records`` leaves out: a stream to be written beside it."""
+    return lines.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("value"))
 
 
 def landed_records(lines: DataFrame, wanted: str, landed_at: str, delay: str = "1 hour", roles: Roles = Roles()) -> DataFrame:
