@@ -246,6 +246,17 @@ def fold_summary(oof: DataFrame, keys: Sequence[str], fold: str, y: str, p: str,
     return null_safe_join(named, folds, keys)
 
 
+def class_fold_summary(df: DataFrame, keys: Sequence[str], fold: str, label: str, score: str, threshold: float = 0.5) -> DataFrame:
+    """AUC, and MCC at ``score >= threshold``, per fold: mean and population sd over folds with both classes."""
+    guessed = df.withColumn("__guess", (F.col(score) >= threshold).cast("int"))
+    by = [*keys, fold]
+    each = null_safe_join(
+        roc_auc(guessed, by, label, score).select(*by, "auc"), classification_metrics(guessed, by, label, "__guess").select(*by, "mcc"), by
+    ).where(F.col("auc").isNotNull())
+    over = [f(m).alias(f"{m}_fold{name}") for m in ("auc", "mcc") for f, name in ((F.avg, "mean"), (F.stddev_pop, "sd"))]
+    return each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_folds"), *over)
+
+
 def metric_pivot(results: DataFrame, row: str, column: str, values: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Row × column table of metric means over partitions; the column values are named up front."""
     return results.groupBy(row).pivot(column, list(values)).agg(*[F.avg(m).alias(m) for m in metrics])

@@ -18,10 +18,14 @@ def parseable(t):
 
 
 @query("q02_required_columns", """
-    SELECT 'required_columns' AS "check", CAST(3 - count(*) AS BIGINT) AS n_bad, 'o_missing' AS sample
-    FROM (DESCRIBE orders) WHERE column_name IN ('o_orderkey', 'o_custkey', 'o_missing')""")
+    SELECT 'required_columns' AS "check", CAST(3 - count(*) AS BIGINT) AS n_bad, 'o_missing' AS sample, (SELECT count(*) FROM orders) AS n_rows
+    FROM (DESCRIBE orders) WHERE column_name IN ('o_orderkey', 'o_custkey', 'o_missing') UNION ALL
+    SELECT unnest(['o_orderkey_blank', 'o_custkey_blank']), unnest([count_if(o_orderkey IS NULL), count_if(o_custkey IS NULL)]), NULL, count(*) FROM orders""")
 def required_columns(t):
-    return q.required_columns(t.orders, ["o_orderkey", "o_custkey", "o_missing"])
+    """Columns of the table, and how many of its rows leave a required one that is there blank."""
+    wanted = ["o_orderkey", "o_custkey", "o_missing"]
+    report = q.required_columns(t.orders, wanted).unionByName(q.non_blank(t.orders, [c for c in wanted if c in t.orders.columns]))
+    return report.withColumn("n_rows", t.orders.select(F.count(F.lit(1))).scalar())
 
 
 @query("q03_unique_key", """

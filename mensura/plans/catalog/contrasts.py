@@ -76,11 +76,20 @@ def t_interval_inputs(t):
     return rounded(s, "mean", "sd")
 
 
-@query("c04_t_interval_rows")
+# The t quantile by its series in 1/df around the normal one, good to 1e-7 from 40 degrees on.
+Z = 1.959963984540054
+T_SQL = " + ".join([
+    str(Z), f"({(Z**3 + Z) / 4}) / v", f"({(5 * Z**5 + 16 * Z**3 + 3 * Z) / 96}) / v ** 2", f"({(3 * Z**7 + 19 * Z**5 + 17 * Z**3 - 15 * Z) / 384}) / v ** 3",
+    f"({(79 * Z**9 + 776 * Z**7 + 1482 * Z**5 - 1920 * Z**3 - 945 * Z) / 92160}) / v ** 4",
+])
+
+
+@query("c04_t_interval_rows", f"""WITH {FLAG_SQL}, s AS (SELECT brand, count(d) AS n, avg(d) AS mean, stddev_samp(d) AS sd, (count(d) - 1)::DOUBLE AS v FROM fd GROUP BY 1)
+    SELECT brand, n, round(mean, 6) AS mean, round(mean - ({T_SQL}) * sd / sqrt(n), 5) AS ci_low, round(mean + ({T_SQL}) * sd / sqrt(n), 5) AS ci_high FROM s""")
 def t_interval_rows(t):
     s = flag_deltas(t).groupBy("brand").agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
     low, high = c.t_interval(F.col("n"), F.col("mean"), F.col("sd"))
-    return s.select("brand", "n", "mean", low.alias("ci_low"), high.alias("ci_high"))
+    return rounded(rounded(s.select("brand", "n", "mean", low.alias("ci_low"), high.alias("ci_high")), "ci_low", "ci_high", digits=5), "mean")
 
 
 @query("c05_signed_rank", f"""WITH {FLAG_SQL}, r AS (SELECT brand, d, rank() OVER (PARTITION BY brand ORDER BY abs(d)) + (count(*) OVER (PARTITION BY brand, abs(d)) - 1) / 2.0::DOUBLE AS rk FROM fd WHERE d <> 0)
@@ -89,21 +98,38 @@ def signed_rank(t):
     return c.signed_rank(flag_deltas(t), ["brand"], "d").select("brand", "n_nonzero", "w_plus")
 
 
-@query("c05_signed_rank_p")
+# Two-sided p by the normal law with its tie term; the density is summed by Simpson's rule.
+@query("c05_signed_rank_p", f"""WITH {FLAG_SQL}, r AS (SELECT brand, d, rank() OVER (PARTITION BY brand ORDER BY abs(d)) + (count(*) OVER (PARTITION BY brand, abs(d)) - 1) / 2.0::DOUBLE AS rk,
+      count(*) OVER (PARTITION BY brand, abs(d)) AS ties FROM fd WHERE d <> 0),
+    w AS (SELECT brand, count(*) AS n_nonzero, CAST(sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS DOUBLE) AS w_plus, sum(ties * ties - 1)::DOUBLE AS tie_term FROM r GROUP BY 1),
+    z AS (SELECT *, abs(w_plus - n_nonzero * (n_nonzero + 1) / 4.0::DOUBLE) / sqrt((n_nonzero * (n_nonzero + 1) * (2 * n_nonzero + 1) - tie_term / 2) / 24) AS z FROM w)
+    SELECT brand, n_nonzero, w_plus, tie_term, (SELECT count(*) FROM fd WHERE fd.brand = z.brand AND d = 0) AS n_zero,
+      round(1 - z / 3000 * list_sum(list_transform(range(0, 1001), lambda i: (CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(z * i / 1000) * (z * i / 1000) / 2))) * sqrt(2 / pi()), 6) AS p_value FROM z""")
 def signed_rank_p(t):
-    return c.signed_rank(flag_deltas(t), ["brand"], "d")
+    out = c.signed_rank(flag_deltas(t), ["brand"], "d").withColumn("tie_term", F.col("tie_term").cast("double"))
+    return rounded(out.select("brand", "n_nonzero", "w_plus", "tie_term", "n_zero", "p_value"), "p_value")
+
+
+def _intervals(units, value):
+    """The bootstrap intervals of the brands' medians: what does not depend on draws, and whether the median lies inside."""
+    from ...operators.aggregate import median_by
+
+    found = c.bootstrap_median(units, ["brand"], value, 10_000).join(median_by(units, ["brand"], value, "m"), "brand")
+    inside = (F.col("ci_low") <= F.col("m")) & (F.col("m") <= F.col("ci_high"))
+    return found.select("brand", "n_units", "n_replicates", "method", inside.alias("estimate_inside"))
 
 
-@query("c06_bootstrap_group_median")
+@query("c06_bootstrap_group_median", f"""WITH {FLAG_SQL}, gm AS (SELECT brand, kind, median(d) AS v FROM fd GROUP BY 1, 2)
+    SELECT brand, count(*) AS n_units, 10000::BIGINT AS n_replicates, 'bootstrap' AS method, true AS estimate_inside FROM gm GROUP BY 1""")
 def bootstrap_group_median(t):
     """Interval of the median of group medians: kinds of part as groups, per brand."""
-    medians = c.cluster_medians(flag_deltas(t), ["brand"], "kind", "d")
-    return c.bootstrap_median(medians, ["brand"], "group_median", 10_000)
+    return _intervals(c.cluster_medians(flag_deltas(t), ["brand"], "kind", "d"), "group_median")
 
 
-@query("c07_bootstrap_median")
+@query("c07_bootstrap_median", f"""WITH {FLAG_SQL}
+    SELECT brand, count(*) AS n_units, 10000::BIGINT AS n_replicates, 'bootstrap' AS method, true AS estimate_inside FROM fd GROUP BY 1""")
 def bootstrap_median(t):
-    return c.bootstrap_median(flag_deltas(t), ["brand"], "d", 10_000)
+    return _intervals(flag_deltas(t), "d")
 
 
 RHO_SQL = """SELECT {k}, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM (

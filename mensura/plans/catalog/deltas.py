@@ -93,11 +93,11 @@ NEG_SQL = f"""d AS (SELECT doc_id, lang, {_key('text')} AS entity_key FROM docum
       count(DISTINCT CASE WHEN NOT hb AND NOT hc THEN entity_key END) AS n_clean,
       count(*) / count(DISTINCT CASE WHEN NOT hb AND NOT hc THEN entity_key END) AS ratio FROM k""")
 def negatives_report(t):
-    return d.negatives_report(t.texts(), "text", [(t.benchmark, "text"), (t.texts("conversations", "conv_id"), "text")], nfkc=False)
+    return d.negatives_report(t.texts(), "text", [(t.benchmark, "text"), (t.texts("conversations", "conv_id"), "text")])
 
 
 @query("d06_clean_negatives", f"""WITH {NEG_SQL} SELECT min(doc_id) AS doc_id, entity_key FROM d WHERE entity_key IS NOT NULL
     AND entity_key NOT IN (SELECT entity_key FROM b WHERE entity_key IS NOT NULL) AND entity_key NOT IN (SELECT entity_key FROM c WHERE entity_key IS NOT NULL) GROUP BY 2""")
 def clean_negatives(t):
-    out = d.clean_negatives(t.texts().select("doc_id", "text"), "text", [(t.benchmark, "text"), (t.texts("conversations", "conv_id"), "text")], ["doc_id"], nfkc=False)
+    out = d.clean_negatives(t.texts().select("doc_id", "text"), "text", [(t.benchmark, "text"), (t.texts("conversations", "conv_id"), "text")], ["doc_id"])
     return out.select("doc_id", "entity_key")

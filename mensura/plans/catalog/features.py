@@ -6,17 +6,28 @@ from ...operators import features as f
 from ..registry import query, rounded
 
 
-@query("f01_fingerprint")
+TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+@query("f01_fingerprint", rf"""
+    WITH d AS (SELECT doc_id, {TOKENS} AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+    g AS (SELECT doc_id, unnest([w[i], CASE WHEN i < len(w) THEN w[i] || ' ' || w[i + 1] END, CASE WHEN i < len(w) - 1 THEN w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END]) AS gram FROM p)
+    SELECT d.doc_id AS doc_id, count(DISTINCT gram) AS n_grams, true AS bits_as_hashed FROM d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY 1""")
 def fingerprint(t):
-    """On-bits of the hashed fingerprint, per document."""
+    """Distinct token neighbourhoods of each document, and whether the on-bits are as many as so many hashes
+    into 2,048 places set, within six standard deviations."""
     from pyspark.ml.functions import vector_to_array
 
     out = f.fingerprint(t.texts().select("doc_id", "text"), "text")
     bits = F.aggregate(vector_to_array("fingerprint"), F.lit(0.0), lambda a, x: a + x)
-    return out.select("doc_id", bits.alias("n_bits"))
-
-
-TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    words = f.tokens(F.coalesce("text", F.lit("")))
+    grams = F.size(F.array_distinct(F.concat(*[f.ngrams(F.col("w"), n) for n in (1, 2, 3)])))
+    places, n = F.lit(float(f.FINGERPRINT_BITS)), F.col("n_grams")
+    empty = places * F.pow(1 - 1 / places, n)
+    sd = F.sqrt(F.least(empty, n * n / (2 * places)) + 1)
+    counted = out.withColumn("w", words).select("doc_id", grams.cast("long").alias("n_grams"), bits.alias("b"))
+    fits = (F.col("b") <= n) & (F.abs(F.col("b") - (places - empty)) <= 6 * sd)
+    return counted.select("doc_id", "n_grams", fits.alias("bits_as_hashed"))
 
 
 def kept_sql(cls: str) -> str:
@@ -47,22 +58,23 @@ def concat_features(t):
 
 
 @query("f04_scale_on_train", """
-    WITH e AS (SELECT vec_id, label % 3 AS fold, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
-    s AS (SELECT CAST(j AS INTEGER) AS outer_fold, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM range(3) AS r(j) JOIN e ON e.fold <> j GROUP BY 1)
-    SELECT outer_fold, vec_id, round((a - ma) / sa, 6) AS a, round((b - mb) / sb, 6) AS b FROM s CROSS JOIN e""")
+    WITH e AS (SELECT vec_id, label % 3 AS fold, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) AS p(i)),
+    s AS (SELECT CAST(j AS INTEGER) AS outer_fold, i, avg(x) AS m, stddev_pop(x) AS sd FROM range(3) AS r(j) JOIN e ON e.fold <> j GROUP BY 1, 2)
+    SELECT outer_fold, vec_id, CAST(e.i AS INTEGER) AS position, round((x - m) / sd, 6) AS scaled FROM s JOIN e ON e.i = s.i""")
 def scale_on_train(t):
     rows = t.embeddings.select(
-        "vec_id", (F.col("label") % 3).alias("fold"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("x"),
+        "vec_id", (F.col("label") % 3).alias("fold"), F.transform("embedding", lambda x: x.cast("double")).alias("x"),
         F.explode(F.sequence(F.lit(0), F.lit(2))).alias("outer_fold"),
     )
     out = f.scale_on_train(rows, "vec_id", "x", "fold")
-    return rounded(out.select("outer_fold", "vec_id", F.col("scaled")[0].alias("a"), F.col("scaled")[1].alias("b")), "a", "b")
+    cells = out.select("outer_fold", "vec_id", F.posexplode("scaled").alias("i", "scaled"))
+    return rounded(cells.select("outer_fold", "vec_id", (F.col("i") + 1).alias("position"), "scaled"), "scaled")
 
 
 @query("f05_token_pooling", """
-    SELECT vec_id, 8::BIGINT AS n_tokens, round(embedding[1]::DOUBLE, 6) AS first_0,
-           round((embedding[9]::DOUBLE + embedding[25]::DOUBLE + embedding[41]::DOUBLE + embedding[57]::DOUBLE) / 4, 6) AS mean_0,
-           round((embedding[16]::DOUBLE + embedding[32]::DOUBLE + embedding[48]::DOUBLE + embedding[64]::DOUBLE) / 4, 6) AS mean_7 FROM embeddings""")
+    SELECT vec_id, 8::BIGINT AS n_tokens, CAST(i AS INTEGER) AS position, round(embedding[i + 1]::DOUBLE, 6) AS first,
+           round((embedding[i + 9]::DOUBLE + embedding[i + 25]::DOUBLE + embedding[i + 41]::DOUBLE + embedding[i + 57]::DOUBLE) / 4, 6) AS mean
+    FROM embeddings, range(8) AS p(i)""")
 def token_pooling(t):
     """The 64 numbers of a row read as eight token vectors, every second one masked."""
     spots = F.sequence(F.lit(0), F.lit(7))
@@ -71,7 +83,7 @@ def token_pooling(t):
     pooled = t.embeddings.select("vec_id", vectors.alias("v"), mask.alias("k")).select(
         "vec_id", F.size("v").cast("long").alias("n_tokens"), f.first_token(F.col("v")).alias("a"), f.masked_mean(F.col("v"), F.col("k")).alias("m")
     )
+    cells = pooled.select("vec_id", "n_tokens", F.posexplode(F.arrays_zip("a", "m")).alias("position", "z"))
     return rounded(
-        pooled.select("vec_id", "n_tokens", F.col("a")[0].alias("first_0"), F.col("m")[0].alias("mean_0"), F.col("m")[7].alias("mean_7")),
-        "first_0", "mean_0", "mean_7",
+        cells.select("vec_id", "n_tokens", "position", F.col("z.a").alias("first"), F.col("z.m").alias("mean")), "first", "mean"
     )

@@ -79,14 +79,24 @@ def mcc_balanced_accuracy(t):
     return rounded(m.classification_metrics(labelled(t), ["lang"], "quality", "guess").select("lang", "bacc", "mcc"), "bacc", "mcc")
 
 
-@query("m06_bootstrap_r2")
+def _around(interval, estimate):
+    """How many replicates gave a value, and whether the estimate lies inside their interval."""
+    inside = (F.col("ci_low") < estimate) & (estimate < F.col("ci_high"))
+    return interval.select("n_replicates", inside.alias("estimate_inside"))
+
+
+@query("m06_bootstrap_r2", "SELECT 1000::BIGINT AS n_replicates, count(*) > 0 AS estimate_inside FROM lineitem")
 def bootstrap_r2(t):
-    return m.bootstrap_r2(forecast(t), "key", "y", "p", replicates=1000)
+    rows = forecast(t)
+    estimate = m.regression_metrics(rows, [], "y", "p").select("r2").scalar()
+    return _around(m.bootstrap_r2(rows, "key", "y", "p", replicates=1000), estimate)
 
 
-@query("m06_bootstrap_auc")
+@query("m06_bootstrap_auc", "SELECT 1000::BIGINT AS n_replicates, count(*) > 0 AS estimate_inside FROM labels")
 def bootstrap_auc(t):
-    return m.bootstrap_auc(labelled(t), "quality", "n_chars", replicates=1000)
+    rows = labelled(t)
+    estimate = m.roc_auc(rows, [], "quality", "n_chars").select("auc").scalar()
+    return _around(m.bootstrap_auc(rows, "quality", "n_chars", replicates=1000), estimate)
 
 
 @query("m07_fold_summary", f"""WITH {FORECAST_SQL},
@@ -102,6 +112,20 @@ def fold_summary(t):
     return rounded(out, *[c for c in out.columns if c not in ("rep", "n", "r2_per_fold")])
 
 
+@query("m07_class_fold_summary", """
+    WITH d AS (SELECT lang, d.doc_id % 5 AS fold, quality AS y, n_chars AS s, CAST(n_chars >= 1000 AS INTEGER) AS g FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+    r AS (SELECT *, rank() OVER (PARTITION BY lang, fold ORDER BY s) + (count(*) OVER (PARTITION BY lang, fold, s) - 1) / 2.0 AS rk FROM d),
+    c AS (SELECT lang, fold, count(*) AS n, sum(y)::DOUBLE AS p, sum(y * rk)::DOUBLE AS rs, count_if(y = 1 AND g = 1)::DOUBLE AS tp, count_if(y = 0 AND g = 0)::DOUBLE AS tn,
+      count_if(y = 0 AND g = 1)::DOUBLE AS fp, count_if(y = 1 AND g = 0)::DOUBLE AS fn FROM r GROUP BY 1, 2),
+    e AS (SELECT lang, (rs - p * (p + 1) / 2) / (p * (n - p)) AS auc, coalesce((tp * tn - fp * fn) / nullif(sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn), 0), 0) AS mcc
+      FROM c WHERE p > 0 AND p < n)
+    SELECT lang, count(*) AS n_folds, round(avg(auc), 6) AS auc_foldmean, round(stddev_pop(auc), 6) AS auc_foldsd, round(avg(mcc), 6) AS mcc_foldmean, round(stddev_pop(mcc), 6) AS mcc_foldsd FROM e GROUP BY 1""")
+def class_fold_summary(t):
+    rows = labelled(t).withColumn("fold", F.col("doc_id") % 5)
+    out = m.class_fold_summary(rows, ["lang"], "fold", "quality", "n_chars", 1000)
+    return rounded(out, "auc_foldmean", "auc_foldsd", "mcc_foldmean", "mcc_foldsd")
+
+
 RESULTS_SQL = f"{FORECAST_SQL}, res AS (SELECT rep, alg, fold, {REG} FROM f GROUP BY 1, 2, 3)"
 
 

@@ -51,7 +51,7 @@ KEYWORD_SQL = f"""n AS (SELECT doc_id, lang, source, {normal_sql('text')} AS nor
 def keyword_documents(t):
     from ...functions.clean import normalize_text
 
-    docs = t.texts().select("doc_id", "lang", "source", normalize_text("text", nfkc=False).alias("normal"))
+    docs = t.texts().select("doc_id", "lang", "source", normalize_text("text").alias("normal"))
     return r.keyword_matrix(docs, "normal", RULEBOOK).drop("normal")
 
 

@@ -22,19 +22,37 @@ def read_table_csv(t):
     return readers.read_table_csv(t.spark, path, schema)
 
 
-def _broken_lines(t):
-    """Events as JSON lines; one kind loses its closing brace, one is no object, one is blank."""
+def _broken_lines(t, broken=True):
+    """Events as JSON lines; one kind is blank, and if ``broken`` one loses its closing brace and one is no object."""
     line = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
-    kind = F.col("event_type")
+    kind, spoil = F.col("event_type"), F.lit(broken)
     path = scratch_path(t.spark, "jsonl")
     t.events.select(
-        F.when(kind == "error", F.rtrim(line, F.lit("}"))).when(kind == "signup", F.lit("[1]"))
+        F.when(spoil & (kind == "error"), F.rtrim(line, F.lit("}"))).when(spoil & (kind == "signup"), F.lit("[1]"))
         .when(kind == "view", F.lit("  ")).otherwise(line).alias("value")
     ).write.text(path)
     return path
 
 
 @query("s02_read_jsonl_strict", """
+    SELECT event_type, count(*) AS n, round(sum(value), 4) AS total,
+           (SELECT count(*) > 0 FROM events WHERE event_type IN ('error', 'signup')) AS broken_file_refused
+    FROM events WHERE event_type <> 'view' GROUP BY 1""")
+def read_jsonl_strict(t):
+    """The whole file reads strictly; the file with bad lines is refused."""
+    schema = T.StructType.fromDDL(EVENT)
+    try:
+        readers.read_jsonl_strict(t.spark, _broken_lines(t), schema)
+        refused = False
+    except ValueError:
+        refused = True
+    rows = readers.read_jsonl_strict(t.spark, _broken_lines(t, broken=False), schema)
+    return rows.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.lit(refused).alias("broken_file_refused")
+    )
+
+
+@query("s02_read_jsonl", """
     SELECT CASE WHEN event_type IN ('error', 'signup') THEN '<BAD>' ELSE event_type END AS event_type,
            count(*) AS n, round(sum(CASE WHEN event_type IN ('error', 'signup') THEN 0 ELSE value END), 4) AS total
     FROM events WHERE event_type <> 'view' GROUP BY 1""")
