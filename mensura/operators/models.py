@@ -99,6 +99,20 @@ def pending_jobs(plan: DataFrame, done: DataFrame, keys: Sequence[str] = ("repre
     return without(plan, done.select(*keys).distinct(), keys)
 
 
+JOB = ["representation", "algorithm", "partition"]
+
+
+def finished_rows(plan: DataFrame, done: DataFrame, folds: DataFrame, key: str) -> DataFrame:
+    """Rows of those jobs of the plan that have one usable prediction for every row of their partition."""
+    rows = done.select(key, "partition", "fold", "representation", "algorithm", *[F.col(c).cast("double").alias(c) for c in ("y_true", "y_pred")])
+    usable = F.when(F.col("y_pred").isNotNull() & ~F.isnan("y_pred"), F.col(key))
+    have = rows.groupBy(*JOB).agg(F.countDistinct(usable).alias("__have"), F.count(F.lit(1)).alias("__rows"))
+    want = folds.groupBy("partition").agg(F.count(F.lit(1)).alias("__want"))
+    whole = have.join(want, "partition").where("__have = __want AND __rows = __want")
+    # One row per job on the right: small by construction.
+    return rows.join(plan.select(*JOB).distinct().join(whole, JOB, "left_semi"), JOB, "left_semi").select(*rows.columns)
+
+
 def model_grid(
     data: DataFrame,
     folds: DataFrame,
@@ -115,15 +129,19 @@ def model_grid(
 
     ``representations`` maps a name to its vector column, ``algorithms`` a name to a factory
     taking that column. The driver only submits jobs; features and predictions stay on the
-    executors. Finished (representation, algorithm, partition) jobs in ``done`` are skipped;
-    ``sink`` receives each finished batch.
+    executors. Finished (representation, algorithm, partition) jobs in ``done`` are not trained
+    again: their rows come back with the new ones, so the table is whole however often a run
+    was stopped. A job that lacks predictions is not finished and is trained anew. ``sink``
+    receives each newly finished batch.
     """
     spark = data.sparkSession
     shape = folds.agg(F.max("partition").alias("p"), F.max("fold").alias("k")).first()
     n_partitions, n_folds = int(shape["p"]) + 1, int(shape["k"]) + 1
     plan = job_plan(spark, list(representations), list(algorithms), n_partitions, n_folds)
+    kept = None
     if done is not None:
-        plan = pending_jobs(plan, done)
+        kept = finished_rows(plan, done, folds, key)
+        plan = pending_jobs(plan, kept)
     # The plan has one row per model to train: small by construction.
     jobs = sorted({(r["representation"], r["algorithm"], r["partition"]) for r in plan.collect()})
     table = data.select(key, F.col(y).cast("double").alias("y_true"), F.col(y).cast("double").alias("y"), *representations.values())
@@ -154,8 +172,8 @@ def model_grid(
 
     with ThreadPool(max(1, min(parallel, len(jobs) or 1))) as pool:
         batches = pool.map(run, jobs)
-    if not batches:
-        raise ValueError("no pending jobs")
+    if kept is not None:
+        batches = [kept, *batches]
     oof = batches[0]
     for batch in batches[1:]:
         oof = oof.unionByName(batch)

@@ -91,8 +91,16 @@ def with_row_slots(
     return out, [value, "__tie", *tie]
 
 
-def with_hash_slots(df: DataFrame, hash_col: str, bits: int = 8) -> DataFrame:
-    """Slots of a 64-bit hash: its leading bits, already evenly spread."""
+def hash_bits(df: DataFrame) -> int:
+    """Leading bits that cut a hash order into slots of some 8 MB by Catalyst's estimate of the size: 256 to a million
+    slots. The order of the hashes is that of the slots, so their number decides balance, never a result."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(8, min(20, (size >> 23).bit_length()))
+
+
+def with_hash_slots(df: DataFrame, hash_col: str, bits: int | None = None) -> DataFrame:
+    """Slots of a 64-bit hash: its leading bits, already evenly spread; as many as the size asks for."""
+    bits = bits or hash_bits(df)
     return df.withColumn(_SLOT, F.shiftright(F.col(hash_col), 64 - bits).cast("int"))
 
 

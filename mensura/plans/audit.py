@@ -12,6 +12,7 @@ from ..functions.rulebook import MANUAL_DEFAULTS, PRIORITY_ORDER, keyword_rules
 from ..functions.rules import keyword_matrix
 from ..operators import aggregate, joins
 from ..operators.ordering import order_by_map
+from ..session import cut_lineage
 
 SEARCHED = ("description", "organism", "cell_type", "tissue", "label", "variant_mutation")
 CANDIDATES = ("candidate_signal_trigger", "candidate_functional_direction", "candidate_strict")
@@ -59,6 +60,8 @@ def audit(
         table = joins.preserve_annotations(table, prior, source, MANUAL_DEFAULTS)
     else:
         table = table.withColumns({k: F.lit(v) for k, v in MANUAL_DEFAULTS.items()})
+    # The scanned texts serve the table, its sort and the summary: they are searched once.
+    table = cut_lineage(table)
     flags = [*[f"flag_{x}" for x in rulebook], "flag_functional_metadata", "flag_sparse_description", *CANDIDATES]
     summary = aggregate.flag_coverage(table, rows, source, entity, flags, "n_entities", "n_measurements")
     order = order_by_map(F.col("review_priority"), PRIORITY_ORDER)

@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from ...functions.rulebook import keyword_rules
 from ...session import cut_lineage
 from .. import audit as audit_flow
 from .. import overview as overview_flow
 from .. import protocol as protocol_flow
 from .. import release as release_flow
 from ..registry import MEASUREMENTS, query, rounded
+from .cleaning import normal_sql
 
 KINDS = """r AS (SELECT event_id, user_id, event_type = 'purchase' AS p, value, CAST(props->>'k' AS INT) AS k FROM events),
   f AS (SELECT *, p AND k % 3 = 0 AND k <= 90 AS exact, p AND k > 90 AS ranged, p AND k % 3 = 1 AS rightc, p AND k % 3 = 2 AS leftc FROM r)"""
@@ -54,14 +56,39 @@ def protocol_signatures(t):
     return out.drop("description", *[c for c in out.columns if c.endswith("__evidence")])
 
 
-@query("e03_source_audit", """
-    SELECT lang AS source_id, count(*) AS n_measurements, count(DISTINCT source) AS n_entities, 'unreviewed' AS review_status FROM documents GROUP BY 1""")
+AUDIT_RULES = keyword_rules("XYZ1")
+RAISED_SQL = ", ".join(
+    f"CASE WHEN {' OR '.join(f'regexp_matches(s, {chr(39)}{p}{chr(39)})' for _, p in rules)} THEN '{name}' END" for name, rules in AUDIT_RULES.items())
+
+
+@query("e03_source_audit", f"""
+    WITH d AS (SELECT doc_id, {normal_sql('text')} AS s FROM documents),
+    f AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, length(s) AS description_length, concat_ws(';', {RAISED_SQL}) AS flags FROM d)
+    SELECT source_id, 1::BIGINT AS n_measurements, 1::BIGINT AS n_entities, 'unreviewed' AS review_status, description_length, flags,
+      CASE WHEN description_length < 25 THEN 'high' ELSE 'normal' END AS review_priority FROM f""")
 def source_audit(t):
-    """Languages as sources, described by their longest text; fixed keyword rules on the whole text."""
-    docs = t.documents.select(F.col("lang").alias("source_id"), F.col("source").alias("entity_id"), "text", "n_chars", "doc_id")
-    longest = docs.groupBy("source_id").agg(F.max_by("text", F.struct("n_chars", "doc_id")).alias("description"))
-    table, _ = audit_flow.audit(docs.select("source_id", "entity_id"), longest, "XYZ1")
-    return table.select("source_id", "n_measurements", "n_entities", "review_status")
+    """Documents as sources, described by their whole texts: all keyword flags, triage and review columns."""
+    table, _ = audited(t)
+    flags = F.concat_ws(";", *[F.when(F.col(f"flag_{x}"), F.lit(x)) for x in AUDIT_RULES])
+    return table.select(
+        "source_id", "n_measurements", "n_entities", "review_status", F.col("description_length").cast("long").alias("description_length"),
+        flags.alias("flags"), "review_priority",
+    )
+
+
+def audited(t):
+    docs = t.texts().select(F.col("doc_id").cast("string").alias("source_id"), F.col("lang").alias("entity_id"), F.col("text").alias("description"))
+    return audit_flow.audit(docs.select("source_id", "entity_id"), docs.drop("entity_id"), "XYZ1")
+
+
+@query("e03_audit_summary", f"""
+    WITH d AS (SELECT lang, {normal_sql('text')} AS s FROM documents), f AS (SELECT lang, concat_ws(';', {RAISED_SQL}, CASE WHEN length(s) < 25 THEN 'sparse_description' END) AS flags FROM d),
+    u AS (SELECT lang, unnest(string_split(flags, ';')) AS flag FROM f WHERE flags <> '')
+    SELECT 'flag_' || flag AS category, count(*) AS n_sources, count(DISTINCT lang) AS entities_union FROM u GROUP BY 1""")
+def audit_summary(t):
+    """Coverage of the flags over all documents; those that some document raises."""
+    _, summary = audited(t)
+    return summary.where("n_sources > 0 AND category LIKE 'flag%'").select("category", "n_sources", "entities_union")
 
 
 ENTITY = """SELECT entity, median(value) AS value_median, count(value) AS n_measurements, max(year) AS year_max FROM m WHERE year <= {y} GROUP BY 1"""

@@ -77,9 +77,11 @@ def seeded_permutation(t):
     return p.agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first"), F.max("position").alias("last"), F.countDistinct("position").alias("n_positions"))
 
 
-@query("w07_seeded_permutation_rows")
+@query("w07_seeded_permutation_rows", "SELECT o_orderkey, true AS in_range FROM orders")
 def seeded_permutation_rows(t):
-    return o.seeded_permutation(t.orders.select("o_orderkey"), "o_orderkey", 7)
+    rows = t.orders.select("o_orderkey")
+    n = t.orders.select(F.count(F.lit(1))).scalar()
+    return o.seeded_permutation(rows, "o_orderkey", 7).select("o_orderkey", F.col("position").between(1, n).alias("in_range"))
 
 
 @query("u01_labelled_union", """

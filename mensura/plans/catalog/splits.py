@@ -30,9 +30,16 @@ def shuffled_partitions(t):
     return no_leakage(folds, "o_orderkey", "o_custkey", 5).drop("sample")
 
 
-@query("k02_partition_rows")
+@query("k02_partition_rows", """
+    SELECT o_orderkey, o_custkey, CAST(p AS INTEGER) AS partition, true AS fold_of_group FROM orders, range(3) AS r(p)""")
 def partition_rows(t):
-    return s.group_kfold(t.orders, "o_orderkey", "o_custkey", 5, partitions=3)
+    """Every row in every partition, and whether its fold is one of the five and that of its whole group."""
+    folds = s.group_kfold(t.orders, "o_orderkey", "o_custkey", 5, partitions=3)
+    group = folds.groupBy("o_custkey", "partition").agg(F.min("fold").alias("low"), F.max("fold").alias("high"))
+    placed = (F.col("low") == F.col("high")) & F.col("low").between(0, 4)
+    return folds.join(group, ["o_custkey", "partition"]).select(
+        "o_orderkey", "o_custkey", F.col("partition").cast("int").alias("partition"), placed.alias("fold_of_group")
+    )
 
 
 @query("k03_stratified_split", """

@@ -109,9 +109,13 @@ def test_grid_resumes(spark):
     assert sorted(seen) == [120, 120]
     done = out["oof"].where("representation = 'plain'")
     again = mo.model_grid(data, out["folds"], "k", "y", {"plain": "x"}, algorithms, done=done)
-    assert [r.representation for r in again.select("representation").distinct().collect()] == ["__baseline__"]
-    with pytest.raises(ValueError, match="no pending"):
-        mo.model_grid(data, out["folds"], "k", "y", {"plain": "x"}, algorithms, done=out["oof"])
+    whole = sorted(map(tuple, out["oof"].select("representation", "k", "fold", "y_pred").collect()))
+    assert sorted(map(tuple, again.select("representation", "k", "fold", "y_pred").collect())) == whole
+    trained = []
+    for rows, new in ((out["oof"], []), (done, [120]), (done.where("k <> 5"), [120, 120])):
+        trained.clear()
+        full = mo.model_grid(data, out["folds"], "k", "y", {"plain": "x"}, algorithms, done=rows, sink=lambda df: trained.append(df.count()))
+        assert full.count() == 240 and trained == new
 
 
 def test_permuted_copies_keep_values(spark):
