@@ -146,3 +146,19 @@ def test_blank_group_takes_no_part(spark):
     row = c.cluster_summary(c.cluster_medians(df)).first()
     assert (row.n_groups, row.group_mean) == (1, 3.0)
     assert c.paired_summary(df).select(F.col("n_entities")).first()[0] == 3
+
+
+def test_alike_sources_are_no_candidates(spark):
+    """Many sources described alike that share one entity, and two that differ in one field and share 25."""
+    from mensura.operators import joins
+
+    rows = [(s, e) for s in range(400) for e in ["all", *(f"{s}-{i}" for i in range(30))]]
+    rows += [(s, f"pair-{i}") for s in (1000, 1001) for i in range(25)]
+    records = spark.createDataFrame(rows, "source int, entity string")
+    described = [(s, "c", "x", 1, None) for s in range(400)] + [(1000, "c", "x", 1, "t"), (1001, "c", None, 1, "t")]
+    sources = spark.createDataFrame(described, "source int, collection string, f string, g int, time string")
+    found = joins.near_signature_pairs(records, sources, "source", "collection", "entity", ["f", "g"], ["time"], 20)
+    assert [(r.source_a, r.source_b, r["diff"], r.n_shared) for r in found.collect()] == [(1000, 1001, ["f"], 25)]
+    joined = records.join(sources, "source").select("source", "entity", "collection", F.inline(joins.masked_signatures(["f", "g"], ["time"])))
+    other = joined.select(F.col("source").alias("other"), "entity", "collection", "mask", "code", F.col("left_out").alias("out"))
+    assert joined.join(other, ["entity", "collection", "mask", "code"]).where("source < other AND left_out <> out").count() == 25

@@ -146,3 +146,7 @@ def test_landing_stream(spark, tmp_path):
     run()
     got = sorted((r.record_id, r.exact, r.right_censored) for r in spark.read.parquet(out).collect())
     assert got == [("1", True, False), ("2", False, True)]
+    land("c.jsonl", "[1]", "{broken", ("3", "IC50", "=", "5", "2024-01-01T00:04:00"))
+    aside, seen = str(tmp_path / "aside"), str(tmp_path / "seen")
+    landing.append(landing.bad_lines(landing.landed_lines(spark, folder, schema)), aside, seen).awaitTermination(120)
+    assert sorted(r.value for r in spark.read.parquet(aside).collect()) == ["[1]", "{broken", "{broken"]

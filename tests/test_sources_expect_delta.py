@@ -144,3 +144,38 @@ def test_text_counts_as_missing_number(spark):
 
     df = spark.createDataFrame([("1.5",), ("n/a",), (None,)], "v string")
     assert [r[0] for r in df.select(clean.nan_to_null("v")).collect()] == [1.5, None, None]
+
+
+def test_csv_files_share_one_header(spark, tmp_path):
+    for name, text in (("a.csv", "\ufeffid,n\nx,1\n"), ("b.csv", "\ufeffid,n\ny,2\n")):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    assert sorted(tuple(r) for r in readers.read_table_csv(spark, str(tmp_path), SCHEMA).collect()) == [("x", 1), ("y", 2)]
+    (tmp_path / "c.csv").write_text("n,id\n3,z\n")
+    with pytest.raises(Exception, match="(?s)read"):
+        readers.read_table_csv(spark, str(tmp_path), SCHEMA).collect()
+
+
+def test_csv_with_nameless_column(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(",id,n\n0,x,1\n1,y,2\n")
+    assert sorted(tuple(r) for r in readers.read_table_csv(spark, str(tmp_path), SCHEMA).collect()) == [("x", 1), ("y", 2)]
+
+
+def test_hashes_of_a_partitioned_snapshot(spark, tmp_path):
+    path = f"{tmp_path}/parts"
+    spark.range(10).withColumn("k", F.col("id") % 2).repartition(1).write.partitionBy("k").parquet(path)
+    found = snapshots.file_hashes(spark, path, "*.parquet")
+    assert sorted(r.file.split("/")[0] for r in found.collect()) == ["k=0", "k=1"]
+    assert {r.check: r.n_bad for r in snapshots.hashes_match(found, found).collect()} == {"file_missing": 0, "file_extra": 0, "hash_differs": 0}
+
+
+def test_nan_is_missing_in_roll_ups(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("e", "s", 1.0), ("e", "s", nan), ("e", "t", 3.0), ("e", "t", None)], "e string, s string, v double")
+    row = aggregate.entity_aggregate(df, "e", "v").first()
+    assert (row.n_measurements, row.value_min, row.value_max, row.value_median) == (2, 1.0, 3.0, 2.0) and row.value_sd == pytest.approx(2**0.5)
+    got = {r.s: (r.n_measurements, r.value_n, r.value_max, r.value_median) for r in aggregate.source_aggregate(df, "s", "e", "v").collect()}
+    assert got == {"s": (2, 1, 1.0, 1.0), "t": (2, 1, 3.0, 3.0)}
+    row = aggregate.multi_source_range(df, "e", "s", "v").first()
+    assert (row.n_entities, row.max_range, row.median_range) == (1, 2.0, 2.0)
+    row = aggregate.describe_delta(df, "v").first()
+    assert (row.n, row.mean, row.max, row.p50) == (2, 2.0, 3.0, 2.0)

@@ -127,3 +127,25 @@ def test_confusion_zero_guard_and_leaderboard(spark):
     got = {r.label: (round(r.delta, 9), r.is_best) for r in m.leaderboard(table, "label", "r2", "a").collect()}
     assert got == {"a": (0.0, False), "b": (0.3, True)}
     assert m.metric_stability(table.withColumn("x", F.lit(1)), ["x"], "r2").first().highest == 0.5
+
+
+def test_class_fold_summary_leaves_one_class_folds_out(spark):
+    rows = [(0, 0, 0.1), (0, 1, 0.9), (0, 1, 0.4), (1, 0, 0.6), (1, 1, 0.7), (2, 1, 0.2), (2, 1, 0.8)]
+    df = spark.createDataFrame([("k", *r) for r in rows], "k string, fold int, y int, s double")
+    row = m.class_fold_summary(df, ["k"], "fold", "y", "s").first()
+    mcc = [(1 * 1 - 0 * 1) / math.sqrt(1 * 2 * 1 * 2), 0.0]
+    assert (row.n_folds, row.auc_foldmean, row.auc_foldsd) == (2, 1.0, 0.0)
+    assert row.mcc_foldmean == pytest.approx(np.mean(mcc)) and row.mcc_foldsd == pytest.approx(np.std(mcc))
+
+
+def test_number_of_hash_slots_changes_nothing(spark, monkeypatch):
+    from mensura.operators import ordering
+
+    df = spark.range(500).withColumn("g", F.col("id") % 37)
+    found = []
+    for bits in (1, 8, 16):
+        monkeypatch.setattr(ordering, "hash_bits", lambda _, b=bits: b)
+        order = ordering.seeded_permutation(df, "id", 3)
+        folds = s.group_kfold(df, "id", "g", 5)
+        found.append((sorted(map(tuple, order.collect())), sorted(map(str, folds.collect()))))
+    assert found[0] == found[1] == found[2]
