@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import vector_to_array, array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import confound_level, direction_arrow, partial_verdict
@@ -200,6 +200,23 @@ def impurity_importance(
     )
 
 
+def ranked_importance(impurity: DataFrame, permutation: DataFrame, associations: DataFrame) -> DataFrame:
+    """One row per feature: impurity and permutation importance with their ranks, signed correlation and direction.
+
+    A feature that one table lacks keeps its row with NULL there. Few rows: one per feature.
+    """
+    def part(df: DataFrame, name: str) -> DataFrame:
+        rank = F.rank().over(Window.partitionBy().orderBy(F.col("importance_mean").desc_nulls_last()))
+        return df.select(
+            "feature", F.col("importance_mean").alias(f"{name}_mean"), F.col("importance_sd").alias(f"{name}_sd"), rank.alias(f"{name}_rank")
+        )
+
+    both = part(impurity, "impurity").join(part(permutation, "permutation"), "feature", "full_outer")
+    return both.join(associations.select("feature", "rho", "direction"), "feature", "full_outer").orderBy(
+        F.col("permutation_rank").asc_nulls_last(), "feature"
+    )
+
+
 def permuted_copies(test: DataFrame, key: str, values: str, size: int, repeats: int, seed: int = SEED) -> DataFrame:
     """Test rows with one array position shuffled, for every position and repeat.
 

@@ -187,3 +187,18 @@ def confound_screen(t):
     return rounded(m.confound_screen(assoc(t), list(ASSOC), "y", "z"), "rho_xz", "rho_xy")
 
 
+@query("l10_ranked_importance", f"""SELECT unnest({INPUTS}) AS feature, n > 0 AS ranked, n > 0 AS direction_of_sign FROM (SELECT count(*) AS n FROM documents)""")
+def ranked_importance(t):
+    """Impurity, permutation and correlation side by side; whether ranks lie in 1..k and the direction follows the sign."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = cut_lineage(described(t).withColumn("x", vector_to_array("features")))
+    folds = cut_lineage(group_kfold(rows, "doc_id", "grp", 3))
+    out = m.ranked_importance(
+        m.impurity_importance(rows, folds, "doc_id", INPUTS, lambda v: m.forest_regressor(10, 5, v)),
+        m.permutation_importance(rows, folds, "doc_id", "y", "x", INPUTS, lambda v: m.forest_regressor(10, 5, v), repeats=10),
+        m.feature_associations(rows, INPUTS, "y"),
+    )
+    ranked = F.col("impurity_rank").between(1, len(INPUTS)) & F.col("permutation_rank").between(1, len(INPUTS))
+    sign = F.when(F.col("rho") > 0.05, "up").when(F.col("rho") < -0.05, "down").otherwise("neutral")
+    return out.select("feature", ranked.alias("ranked"), (F.col("direction") == sign).alias("direction_of_sign"))

@@ -150,3 +150,12 @@ def test_landing_stream(spark, tmp_path):
     aside, seen = str(tmp_path / "aside"), str(tmp_path / "seen")
     landing.append(landing.bad_lines(landing.landed_lines(spark, folder, schema)), aside, seen).awaitTermination(120)
     assert sorted(r.value for r in spark.read.parquet(aside).collect()) == ["[1]", "{broken", "{broken"]
+
+
+def test_ranked_importance(spark):
+    cols = "feature string, importance_mean double, importance_sd double"
+    impurity = spark.createDataFrame([("a", 0.2, 0.0), ("b", 0.5, 0.1), ("c", 0.2, 0.0)], cols)
+    permutation = spark.createDataFrame([("a", 0.4, 0.0), ("b", 0.1, 0.1)], cols)
+    signs = spark.createDataFrame([("a", -0.5, "down"), ("b", 0.01, "neutral"), ("d", 0.9, "up")], "feature string, rho double, direction string")
+    got = [(r.feature, r.impurity_rank, r.permutation_rank, r.direction) for r in mo.ranked_importance(impurity, permutation, signs).collect()]
+    assert got == [("a", 2, 1, "down"), ("b", 1, 2, "neutral"), ("c", 2, None, None), ("d", None, None, "up")]
