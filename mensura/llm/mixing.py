@@ -1,9 +1,10 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 The words of a source are laid end to end and packed into blocks of fixed length. Every slot of the
-output takes one block. Which source a slot takes is a multinomial draw per output shard, drawn
-jointly for all shards: a pseudorandom permutation deals the slots of all sources out to the shards, so
-counts per shard scatter as multinomial counts do while their totals meet the targets. Slots of
+output takes one block. How many slots of a shard a source gets is a multinomial draw per output shard, drawn
+jointly for all shards given that the totals meet the targets: a pseudorandom permutation deals the slots of all
+sources out to the shards (multinomial counts with given totals are multivariate hypergeometric, which is
+what such a deal gives). A block's words stand in the shard of its slot. Slots of
 a source walk through pseudorandom permutations of its block numbers, a new one each time all its blocks are used,
 and are joined with the blocks by number. So no block is taken more often than its source's target asks for,
 rounded up, and every draw is a hash: reruns agree.
@@ -108,7 +109,8 @@ def mix_documents(docs: DataFrame, row: str = "doc_id", text: str = "text", sour
     Texts that are null, empty or blank have size 0 and nothing is taken of them; a null source is a source
     of its own, the last. Rows that repeat are documents of their own. Other columns are ignored. No rows, no rows.
     """
-    laid, times, targets = _plan(docs, row, text, source, block_words, shard_slots, weights, most, seed)
+    laid, dealt, targets = _plan(docs, row, text, source, block_words, shard_slots, weights, most, seed)
+    times = dealt.groupBy("key", "block").agg(F.sum(F.size("slots")).alias("times"))
     touched = _touched(laid, block_words).join(times, ["key", "block"]).groupBy("rid", "copy").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     laid = laid.join(touched, ["rid", "copy"], "left").join(targets, "key")
     return laid.select(F.col("doc_id").alias(row), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -136,8 +138,9 @@ def _plan(docs, row, text, source, block_words, shard_slots, weights, most, seed
     targets = stored(blocks_and_slots(source_targets(base, weights, most), block_words), "targets")
     laid = stored(numbered(base.withColumn("key", _key())), "laid")
     slots = mixture(targets, shard_slots, seed)
-    times = stored(slots.groupBy(_key().alias("key"), "block").agg(F.count("*").alias("times")), "times")
-    return laid, times, targets.withColumn("key", _key()).drop("source")
+    # At most ``most`` slots per block in all.
+    dealt = slots.groupBy(_key().alias("key"), "block", "shard").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+    return laid, stored(dealt, "dealt"), targets.withColumn("key", _key()).drop("source")
 
 
 def _touched(laid: DataFrame, block_words: int) -> DataFrame:
@@ -150,27 +153,35 @@ def _touched(laid: DataFrame, block_words: int) -> DataFrame:
 
 
 def mix_corpus(docs: DataFrame, row: str = "doc_id", text: str = "text", source: str = "source", length: str | None = "n_chars",
-               block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
-    """The mixed corpus with the columns of ``docs``: a document whose words are taken k times over comes k times.
-
-    A block that is taken once only leaves the other words of a document out of its second coming; what is
-    taken keeps its words in order, with the white space behind each. A document that is taken whole keeps its text
-    as it is. ``length`` is set to the new text's characters. Documents of size 0 are not taken. Rows that repeat, nulls
-    and clashing column names as in ``mix_documents``.
+               block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0,
+               shard: str | None = None) -> DataFrame:
+    """The mixed corpus with the columns of ``docs``, sorted by shard and by slot inside it; ``shard`` names a
+    further column for the shard's number.
+
+    A document comes once for each shard that its blocks are dealt to, with the words of those blocks in order, each with
+    the white space behind it; a block that a shard holds k times makes it come k times there. A document that lies
+    whole in a shard keeps its text as it is. ``length`` is set to the new text's characters. Documents of size 0
+    are not taken. Rows that repeat, nulls and clashing column names as in ``mix_documents``.
     """
-    laid, times, _ = _plan(docs, row, text, source, block_words, shard_slots, weights, most, seed)
-    parts = _touched(laid, block_words).join(times, ["key", "block"]).select(
-        "rid", F.struct("copy", "times", "low", "words").alias("__part")).groupBy("rid").agg(F.sort_array(F.collect_list("__part")).alias("__parts"))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), _identity(row, text, source).alias("rid"), F.col(text).alias("__text"))
+    laid, dealt, _ = _plan(docs, row, text, source, block_words, shard_slots, weights, most, seed)
+    parts = _touched(laid, block_words).join(dealt, ["key", "block"])
+    parts = parts.select("rid", "copy", "shard", "low", "words", F.posexplode("slots").alias("turn", "slot"))
+    parts = parts.groupBy("rid", "copy", "shard", "turn").agg(F.min("slot").alias("slot"), F.sort_array(F.collect_list(F.struct("low", "words"))).alias("mine"))
+    parts = parts.select("rid", F.struct("copy", "slot", "shard", "mine").alias("__part")).groupBy("rid").agg(F.collect_list("__part").alias("__parts"))
+    rest = [c for c in docs.columns if c not in (text, length)]
+    rows = docs.select(F.struct(F.lit(0), *rest).alias("__row"), _identity(row, text, source).alias("rid"), F.col(text).alias("__text"))
     rows = rows.withColumn("__copy", F.row_number().over(_copies())).join(parts, "rid")
-    rows = rows.withColumn("__parts", F.filter("__parts", lambda p: p["copy"] == F.col("__copy")))
-    most_often = F.array_max(F.transform("__parts", lambda p: p["times"]))
-    rows = rows.where(F.size("__parts") > 0).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), most_often)))
-    rows = rows.withColumn("__mine", F.array_sort(F.transform(F.filter("__parts", lambda p: p["times"] >= F.col("__turn")),
-                                                             lambda p: F.struct(p["low"].alias("low"), p["words"].alias("words")))))
+    own = F.filter("__parts", lambda p: p["copy"] == F.col("__copy"))
+
+    def cut(pieces: Column, part: Column) -> Column:
+        taken = F.aggregate(part["mine"], F.lit(0).cast("long"), lambda n, p: n + p["words"])
+        words_of = F.flatten(F.transform(part["mine"], lambda p: F.slice(pieces, (p["low"] + 1).cast("int"), p["words"].cast("int"))))
+        return F.when(taken == F.size(pieces), F.col("__text")).otherwise(F.array_join(words_of, ""))
+
+    # Bound by a lambda, so that a text is taken apart once, whatever the number of its shards.
     pieces = F.regexp_extract_all("__text", F.lit(WORD_AND_GAP), F.lit(0))
-    taken = F.aggregate("__mine", F.lit(0).cast("long"), lambda n, p: n + p["words"])
-    cut = F.array_join(F.flatten(F.transform("__mine", lambda p: F.slice(F.col("__pieces"), (p["low"] + 1).cast("int"), p["words"].cast("int")))), "")
-    rows = rows.withColumn("__pieces", pieces).withColumn("__new", F.when(taken == F.size("__pieces"), F.col("__text")).otherwise(cut))
-    columns = {text: F.col("__new"), **({length: F.length("__new")} if length in docs.columns else {})}
-    return rows.select(*(columns[c].cast(t).alias(c) if c in columns else F.col("__row")[c].alias(c) for c, t in docs.dtypes))
+    cuts = F.transform(F.array(pieces), lambda w: F.transform(own, lambda p: F.struct(p["slot"].alias("slot"), p["shard"].alias("shard"), cut(w, p).alias("new"))))
+    rows = rows.select("__row", F.explode(cuts[0]).alias("__cut")).orderBy("__cut.slot", F.xxhash64("__row"))
+    columns = {text: F.col("__cut.new"), **({length: F.length("__cut.new")} if length in docs.columns else {})}
+    out = [columns[c].cast(t).alias(c) if c in columns else F.col("__row")[c].alias(c) for c, t in docs.dtypes]
+    return rows.select(*out, *([F.col("__cut.shard").alias(shard)] if shard else []))

@@ -133,6 +133,31 @@ def test_mixing_meets_targets_and_repeats(spark):
     assert mixing.mix_documents(docs_of(spark, [])).count() == 0
 
 
+def test_mixing_deals_drawn_counts_to_shards(spark):
+    docs = docs_of(spark, [(k, f"word{k} " * (k % 90 + 1), "abc"[k % 3]) for k in range(900)])
+    _, dealt, targets = mixing._plan(docs, "doc_id", "text", "source", 8, 64, mixing.WEIGHTS, mixing.MOST, 0)
+    want = Counter()
+    for r in dealt.collect():
+        want[r.shard, r.key] += len(r.slots)
+    slots = {r.key: r.slots for r in targets.collect()}
+    total = sum(slots.values())
+    shards = total // 64  # whole ones
+    assert shards > 50 and all(sum(want[s, k] for k in "abc") == 64 for s in range(shards))
+    # Drawn, not dealt out evenly: counts spread as multinomial ones do.
+    for k, n in slots.items():
+        p = n / total
+        spread = sum((want[s, k] - 64 * p) ** 2 for s in range(shards)) / (shards * 64 * p * (1 - p))
+        assert 0.5 < spread < 1.7
+    # The corpus has these counts: words of each shard and source, but for each source's last block.
+    got, at = Counter(), []
+    for r in mixing.mix_corpus(docs, block_words=8, shard_slots=64, shard="shard").collect():
+        got[r.shard, r.source] += len(words_of(r.text))
+        at.append(r.shard)
+    assert at == sorted(at)
+    assert all(0 <= 8 * n - got[key] < 8 * mixing.MOST for key, n in want.items())
+    assert sum(8 * n - got[key] for key, n in want.items()) < 3 * 8 * mixing.MOST
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("s")).alias("p"))
