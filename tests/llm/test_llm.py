@@ -243,6 +243,18 @@ def test_main_text_of_pages(spark):
     assert htmltext.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_repeated_pages_without_article_keep_their_text(spark):
+    page = "<html><body><div><p>First words</p><p>Second words</p></div></body></html>"
+    rows = [(1, "http://two.org/a", page), (2, "http://two.org/b", page), (3, None, page), (3, None, page)]
+    # 18 copies among 22 rows are one page of five.
+    own = [f"<html><body><div class=x>Same</div><p>Own {k}</p></body></html>" for k in range(5)]
+    rows += [(k, f"http://many.org/{k}", own[min(k - 10, 4)]) for k in range(10, 32)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r.page_id, r.text) for r in htmltext.extract_main_text(pages).collect()]
+    want = [(k, "First words\nSecond words") for k in (1, 2, 3, 3)] + [(k, f"Own {min(k - 10, 4)}") for k in range(10, 32)]
+    assert Counter(got) == Counter(want)
+
+
 def test_main_text_of_generated_pages_equals_a_plain_reading(spark):
     for (page,) in spark.read.parquet(f"{FOLDER}/pages.parquet").select("html").collect():
         body = re.search(r"<article>(.*?)(?:</article>|$)", page, re.S)[1]
