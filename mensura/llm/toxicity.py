@@ -8,7 +8,8 @@ is a logistic curve over its largest marginal and their sum, fitted to documents
 not learn from; words with a marginal of at least 0.5 are the offending spans.
 
 The fit uses a bounded sample of labelled rows: at most ``SAMPLE`` documents of each label with at most
-``SAMPLE_CHARS`` characters, chosen by a hash of the id. Every document is scored whole.
+``SAMPLE_CHARS`` characters, chosen by a hash of the id. In the curve a sampled document weighs as many as it stands
+for, so scores do not depend on how much of a label the sample holds. Every document is scored whole.
 """
 
 from __future__ import annotations
@@ -174,8 +175,9 @@ def _marked(vocabulary: list[str], ids: list[np.ndarray], toxic: np.ndarray) ->
     return marked
 
 
-def fit_field(texts, toxic: np.ndarray, folds: np.ndarray, epochs: int = 5, rate: float = 0.3, keep: float = 1e-4) -> Field:
-    """From labelled texts; the documents of the last of the ``folds`` fit the curve only."""
+def fit_field(texts, toxic: np.ndarray, folds: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0), epochs: int = 5, rate: float = 0.3, keep: float = 1e-4) -> Field:
+    """From labelled texts; the documents of the last of the ``folds`` fit the curve only, in which a harmless and
+    a toxic one weigh ``stands_for``."""
     numbers: dict[str, int] = {}
     ids = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in t.split()), np.int32) for t in texts]
     vocabulary = list(numbers)
@@ -215,18 +217,18 @@ def fit_field(texts, toxic: np.ndarray, folds: np.ndarray, epochs: int = 5, rate
     check = np.flatnonzero(~learn) if not learn.all() else np.arange(len(docs))
     if len(check):
         x = _summary(field.marginals([field.weights[at[ids[i]]].sum(axis=1) for i in check]))
-        field.curve = _curve(x, toxic[check].astype(float))
+        field.curve = _curve(x, toxic[check].astype(float), np.where(toxic[check], stands_for[1], stands_for[0]))
     return field
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A logistic regression with a little shrinkage."""
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A weighted logistic regression with a little shrinkage."""
     c = np.zeros(x.shape[1])
     pull = np.array([1e-3, 0.05, 0.05, 1.0])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x.T * w) @ x + np.diag(pull), x.T @ (y - p) - pull * c)
+        w = weight * np.maximum(p * (1 - p), 1e-6)
+        step = np.linalg.solve((x.T * w) @ x + np.diag(pull), x.T @ (weight * (y - p)) - pull * c)
         c = c + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-7:
             break
@@ -245,9 +247,13 @@ def train(docs: DataFrame, labels: DataFrame, row: str = "doc_id", text: str = "
     drawn = F.pmod(F.xxhash64("id", F.lit("drawn")), F.lit(1_000_000))
     labels = labels.where(F.lit(False) if not share else F.coalesce(*(F.when((F.col("label") == k) & (drawn < round(v * 1_000_000)), True) for k, v in share.items())))
     known = docs.select(F.col(row).cast("long").alias("id"), F.col(text).alias("t")).where(F.length("t").between(1, SAMPLE_CHARS))
-    known = known.join(broadcast_if_small(labels), "id").withColumn("h", F.xxhash64("id"))
+    # What is drawn is bounded; it gives the sample and how many usable rows of each label there are.
+    known = stored(known.join(broadcast_if_small(labels), "id").withColumn("h", F.xxhash64("id")), "known")
+    usable = {r["label"]: r["count"] / share[r["label"]] for r in known.groupBy("label").count().collect()}
     rows = [r for k in (0, 1) for r in known.where(F.col("label") == k).orderBy("h", "t").limit(SAMPLE).select("t", "label", training_fold("id", folds).alias("f")).toLocalIterator()]
-    return fit_field([r["t"] for r in rows], np.array([r["label"] for r in rows], bool), np.array([r["f"] for r in rows], int)) if rows else Field(
+    toxic = np.array([r["label"] for r in rows], bool)
+    stands_for = tuple(usable.get(k, 0) / max(1, int((toxic == k).sum())) for k in (0, 1))
+    return fit_field([r["t"] for r in rows], toxic, np.array([r["f"] for r in rows], int), stands_for) if rows else Field(
         np.zeros(1 << BITS), np.zeros((2, 2)), np.zeros(4))
 
 

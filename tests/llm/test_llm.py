@@ -317,6 +317,25 @@ def test_toxic_offsets():
     assert score > 0.5 > low and spans == [[3, 9]] and none == []
 
 
+def test_toxicity_scores_do_not_depend_on_the_cap(spark, monkeypatch):
+    # A tenth is labelled toxic, half of it without a toxic word: a clean text is toxic in one of nineteen cases.
+    rng = np.random.default_rng(5)
+    bad = [k % 20 == 0 for k in range(3000)]
+    texts = [" ".join([f"t{i}" for i in rng.integers(0, 3000, 12)] + ["awful"] * b) for b in bad]
+    docs = docs_of(spark, [(k, t, "a") for k, t in enumerate(texts)])
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(3000)], "doc_id long, toxic int")
+
+    def run():
+        rows = toxicity.toxicity_scores(docs, labels).collect()
+        return [np.mean([r.score for r in rows if bad[r.doc_id] == b]) for b in (False, True)], sum(r.predicted for r in rows if not bad[r.doc_id])
+
+    whole, flagged = run()
+    monkeypatch.setattr(toxicity, "SAMPLE", 120)
+    capped, flagged_capped = run()
+    assert abs(whole[0] - capped[0]) < 0.05 and abs(whole[1] - capped[1]) < 0.1
+    assert whole[0] < 0.1 and whole[1] > 0.8 and max(flagged, flagged_capped) < 30
+
+
 def test_media_round_trip(spark):
     got = media.media_columns(media.store_media(docs_of(spark, ODD)))
     texts = {k: t for k, t, _ in ODD}
