@@ -243,6 +243,17 @@ def test_main_text_of_pages(spark):
     assert htmltext.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_names_do_not_drop_whole_articles():
+    for page in ("<body class='page has-sidebar'><article>Text</article></body>", "<main class='with-sidebar'>Text</main>",
+                 "<article class='post related'>Text</article>", "<html id=header><body class=menu>Text</body></html>",
+                 "<div class='layout with-sidebar'><main><p>Text</p></main></div>", "<div class='page social'><article>Text</article></div>",
+                 "<article>Text</article><div class=related><article>Teaser</article></div>",
+                 "<title-bar></title-bar><article>Text</article>", "<video-player></video-player><article>Text</article>",
+                 "<svg width='1'/><article>Text</article>", "<math/><article>Text</article>", "<svg><path/></svg><article>Text</article>",
+                 "<article>Text<div class=sidebar>Side</div></article>", "<article>Text<script/>var x</script></article>"):
+        assert htmltext.main_text(page) == "Text", page
+
+
 def test_repeated_pages_without_article_keep_their_text(spark):
     page = "<html><body><div><p>First words</p><p>Second words</p></div></body></html>"
     rows = [(1, "http://two.org/a", page), (2, "http://two.org/b", page), (3, None, page), (3, None, page)]
