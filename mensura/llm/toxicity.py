@@ -214,7 +214,7 @@ def fit_field(texts, toxic: np.ndarray, folds: np.ndarray, stands_for: tuple[flo
             field.weights += rate * gradient / np.sqrt(squares)
             move_squares += move**2
             field.moves += rate * move / np.sqrt(move_squares)
-    check = np.flatnonzero(~learn) if not learn.all() else np.arange(len(docs))
+    check = np.flatnonzero(~learn) if not learn.all() else np.arange(len(ids))
     if len(check):
         x = _summary(field.marginals([field.weights[at[ids[i]]].sum(axis=1) for i in check]))
         field.curve = _curve(x, toxic[check].astype(float), np.where(toxic[check], stands_for[1], stands_for[0]))
@@ -254,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, row: str = "doc_id", text: str = "
     toxic = np.array([r["label"] for r in rows], bool)
     stands_for = tuple(usable.get(k, 0) / max(1, int((toxic == k).sum())) for k in (0, 1))
     return fit_field([r["t"] for r in rows], toxic, np.array([r["f"] for r in rows], int), stands_for) if rows else Field(
-        np.zeros(1 << BITS), np.zeros((2, 2)), np.zeros(4))
+        np.zeros(1 << BITS), np.zeros((2, 2)), np.array([-30.0, 0.0, 0.0, 0.0]))  # nothing learnt: nothing is toxic
 
 
 def _run(field: Field, texts, known: dict[str, float]):

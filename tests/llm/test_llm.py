@@ -347,6 +347,14 @@ def test_toxicity_scores_do_not_depend_on_the_cap(spark, monkeypatch):
     assert whole[0] < 0.1 and whole[1] > 0.8 and max(flagged, flagged_capped) < 30
 
 
+def test_harmless_documents_stay_without_labels(spark):
+    docs = docs_of(spark, ODD)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.keep_harmless(docs, none).count() == len(ODD)
+    one_fold = spark.createDataFrame([(6, 0)], "doc_id long, toxic int")
+    assert toxicity.keep_harmless(docs, one_fold).count() == len(ODD)
+
+
 def test_media_round_trip(spark):
     got = media.media_columns(media.store_media(docs_of(spark, ODD)))
     texts = {k: t for k, t, _ in ODD}
