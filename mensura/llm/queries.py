@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .chat import chat_digests
 from .common import table
 from .divergence import source_divergence
 from .htmltext import extract_main_text
 from .jaccard import similarity_classes
+from .linededup import LineIndex
 from .media import media_columns, store_media
 from .mixing import mix_documents
 from .packing import pack
@@ -164,3 +166,25 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_lanczos_whitening")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"))
+
+
+LINES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT k, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+n AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS top FROM n WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT n.*, top IS NOT NULL AND top <> doc_id AS gone FROM n LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY k, doc_id
+"""
+
+
+@query("op11_cuckoo_line_dedup", LINES_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    index = LineIndex(spark, scratch_path(spark, "lines"))
+    index.insert(documents)
+    out = index.clean(documents)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
