@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ...operators import features as f
+from ...operators import similarity
 from ..registry import query, rounded
 
 
@@ -87,3 +88,34 @@ def token_pooling(t):
     return rounded(
         cells.select("vec_id", "n_tokens", "position", F.col("z.a").alias("first"), F.col("z.m").alias("mean")), "first", "mean"
     )
+
+
+# Bits of a document: the first 32 bits of each token's MD5, in 2,048 places.
+BITS_SQL = rf"""d AS (SELECT doc_id, {TOKENS} AS w, doc_id IN (SELECT doc_id FROM labels) AS known FROM documents),
+    b AS (SELECT DISTINCT doc_id, known, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 2048 AS bit FROM (SELECT doc_id, known, unnest(w) AS tok FROM d)),
+    n AS (SELECT doc_id, known, count(*) AS n FROM b GROUP BY 1, 2),
+    o AS (SELECT x.doc_id, y.doc_id AS other, count(*) AS shared FROM b x JOIN b y ON x.bit = y.bit AND NOT x.known AND y.known GROUP BY 1, 2),
+    s AS (SELECT o.doc_id, other, shared / (a.n + c.n - shared) AS sim FROM o JOIN n a ON a.doc_id = o.doc_id JOIN n c ON c.doc_id = o.other),
+    m AS (SELECT doc_id, max(sim) AS sim, arg_min(other, (-sim, other)) AS nearest FROM s GROUP BY 1),
+    r AS (SELECT d.doc_id, CAST(coalesce(n.n, 0) AS INTEGER) AS n_bits, coalesce(sim, 0) AS sim, nearest
+          FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id WHERE NOT d.known)"""
+
+
+def _nearest(t):
+    """The documents without label against those with one, as sets of hashed tokens."""
+    rows = t.texts().select("doc_id", f.tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    rows = rows.select("doc_id", similarity.hashed_bits(F.col("w")).alias("bits"))
+    known = t.labels.select("doc_id").distinct()
+    return similarity.max_similarity(rows.join(known, "doc_id", "left_anti"), rows.join(known, "doc_id", "left_semi"), "doc_id", "bits")
+
+
+@query("f06_max_similarity", f"WITH {BITS_SQL} SELECT doc_id, n_bits, round(sim, 9) AS similarity, nearest FROM r")
+def max_similarity(t):
+    return rounded(_nearest(t), "similarity", digits=9)
+
+
+@query("f06_similarity_bands", f"""WITH {BITS_SQL} SELECT CAST(least(9, floor(sim / 0.1 + 1e-9)) AS INTEGER) AS band, count(*) AS n,
+    round(avg(sim), 6) AS mean_similarity, round(avg(n_bits), 6) AS mean_value FROM r GROUP BY 1""")
+def similarity_bands(t):
+    """How many documents lie how far from the labelled ones, and how many bits they have."""
+    return rounded(similarity.similarity_bands(_nearest(t), "similarity", "n_bits"), "mean_similarity", "mean_value")
