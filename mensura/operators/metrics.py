@@ -188,7 +188,7 @@ def bootstrap_auc(df: DataFrame, label: str, score: str, replicates: int = 1000,
     """Percentile interval of the AUC; replicates with a single class are skipped.
 
     Rows of one (score, label) need only their number: the sum of their Poisson weights is
-    Poisson(number). Scores are cut into slots of bounded size; a slot reports its inner
+    Poisson(number), drawn from a stream of the score's own, so the draw does not depend on the slots. Scores are cut into slots of bounded size; a slot reports its inner
     pairs and class weights per replicate, and running sums over slots add the rest.
     """
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
@@ -196,20 +196,19 @@ def bootstrap_auc(df: DataFrame, label: str, score: str, replicates: int = 1000,
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q")
     )
     slots = max(1, -(-table.count() // slot_rows))
-    edges = slot_edges(rows, F.col(score), slots) if slots > 1 else []
+    edges = slot_edges(rows, score, slots) if slots > 1 else []
     slotted = with_value_slots(table, "s", edges).withColumnRenamed("__slot", "slot")
 
     def inside(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("s", kind="stable")
-        slot = int(part["slot"].iloc[0])
-        p, q = part["p"].to_numpy(), part["q"].to_numpy()
-        out = np.zeros((replicates, 3))
-        for b in range(replicates):
-            rng = np.random.default_rng([seed, slot, b])
-            wp, wq = rng.poisson(p), rng.poisson(q)
-            below = np.cumsum(wq) - wq
-            out[b] = ((wp * (below + wq / 2.0)).sum(), wp.sum(), wq.sum())
-        return pd.DataFrame({"slot": slot, "b": np.arange(replicates), "i": out[:, 0], "wp": out[:, 1], "wq": out[:, 2]})
+        inner, below, wp_all = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates)
+        for s, p, q in zip(part["s"] + 0.0, part["p"], part["q"]):
+            rng = np.random.default_rng([seed, int(np.float64(s).view(np.uint64))])
+            wp, wq = rng.poisson(p, replicates), rng.poisson(q, replicates)
+            inner += wp * (below + wq / 2.0)
+            wp_all += wp
+            below += wq
+        return pd.DataFrame({"slot": int(part["slot"].iloc[0]), "b": np.arange(replicates), "i": inner, "wp": wp_all, "wq": below})
 
     per_slot = slotted.groupBy("slot").applyInPandas(inside, "slot int, b long, i double, wp double, wq double")
     earlier = Window.partitionBy("b").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)

@@ -46,15 +46,20 @@ def _sketch(df: DataFrame, value: Column, slots: int) -> list[float]:
 
 
 def _number(df: DataFrame, value: str) -> Column:
-    """The value as a double in the same order; a text by its first six bytes."""
-    if isinstance(df.schema[value].dataType, T.StringType):
+    """The value as a double in the same order; a text by its first six bytes, a date by its day."""
+    kind = df.schema[value].dataType
+    if isinstance(kind, T.StringType):
         return F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.col(value).cast("timestamp").cast("double")
     return F.col(value).cast("double")
 
 
-def slot_edges(df: DataFrame, value: Column, slots: int) -> list[float]:
+def slot_edges(df: DataFrame, value: str, slots: int) -> list[float]:
     """Interior slot edges: an approximate quantile sketch merged map-side, ``slots - 1`` numbers."""
-    return sorted(set(_sketch(df, value, slots)))
+    return sorted(set(_sketch(df, _number(df, value), slots)))
 
 
 def with_value_slots(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
@@ -85,7 +90,7 @@ def with_row_slots(
     out = with_value_slots(df.withColumn("__tie", F.pmod(F.xxhash64(*tie), F.lit(TIE_RANGE))), value, edges)
     if frequent:
         pairs = [F.lit(x) for item in frequent.items() for x in item]
-        cuts = F.try_element_at(F.create_map(*pairs), F.col(value).cast("double"))
+        cuts = F.try_element_at(F.create_map(*pairs), _number(df, value))
         part = F.coalesce(F.floor(F.col("__tie") * cuts / TIE_RANGE), F.lit(0))
         out = out.withColumn(_SLOT, F.col(_SLOT) * (slots + 1) + part)
     return out, [value, "__tie", *tie]
@@ -210,7 +215,7 @@ def value_ranks(
             *[F.sum(m).over(group).alias(f"{m}_total") for m in measures],
         )
     else:
-        edges = slot_edges(rows, F.col(value), slot_count(df.sparkSession))
+        edges = slot_edges(rows, value, slot_count(df.sparkSession))
         out = cumulative(with_value_slots(counted, value, edges), keys, [value], measures)
     return out.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / 2)
 
@@ -246,7 +251,8 @@ def percentiles_of_ranks(
             F.first(spot - low).alias(f"__f_{name}"),
         ]
         lo, hi, part = F.col(f"__l_{name}"), F.col(f"__h_{name}"), F.col(f"__f_{name}")
-        out.append((lo + (hi - lo) * part).alias(name))
+        # As ``percentile`` does it; equal ends stay as they are, infinite ones too.
+        out.append(F.when(lo == hi, lo).otherwise((1 - part) * lo + part * hi).alias(name))
     # The interpolation weight depends on the group total only, so any row supplies it.
     return ranked.groupBy(*keys).agg(*aggs).select(*keys, *out)
 

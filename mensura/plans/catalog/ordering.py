@@ -114,3 +114,19 @@ def append_batches(t):
         )
     found = t.spark.read.parquet(path)
     return found.groupBy("representation", "algorithm").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("u03_committed_batches", """
+    SELECT o_orderstatus AS representation, 'sum' AS algorithm, o_orderstatus || '/sum' AS batch, count(*) AS n, round(sum(o_totalprice), 2) AS total
+    FROM orders GROUP BY 1""")
+def committed_batches(t):
+    """Each batch is sent twice and one of the runs is lost before its record: readers see each batch once."""
+    path = scratch_path(t.spark, "batches")
+    for status in ("F", "O", "P"):
+        rows = t.orders.where(F.col("o_orderstatus") == status)
+        rows = rows.select(F.col("o_orderstatus").alias("representation"), F.lit("sum").alias("algorithm"), "o_totalprice")
+        sinks.commit_batch(rows, path, f"{status}/sum")
+        sinks.commit_batch(rows, path, f"{status}/sum")
+        rows.write.parquet(f"{path}/data/batch={status}%2Fsum/attempt=lost")
+    found = sinks.read_batches(t.spark, path, rows.schema)
+    return found.groupBy("representation", "algorithm", "batch").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,5 +49,36 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def append_results(df: DataFrame, path: str, partition_by: Sequence[str] = ("representation", "algorithm")) -> None:
-    """Append one job's batch; readers see all batches as one table."""
+    """Append one job's batch; readers see all batches as one table. A batch that is sent again is there twice:
+    ``commit_batch`` is for batches that may be."""
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
+
+
+def commit_batch(df: DataFrame, path: str, batch: str, attempt: str | None = None) -> str:
+    """Write the result of job ``batch`` as an attempt of its own and then its commit record; returns the attempt.
+
+    A run that is lost before the record leaves files that no reader sees. A batch sent again, by a retry or by
+    another worker, is a further attempt, of which ``read_batches`` takes one.
+    """
+    attempt = attempt or uuid.uuid4().hex
+    df.write.mode("errorifexists").parquet(f"{path}/data/batch={quote(batch, safe='')}/attempt={attempt}")
+    record = df.sparkSession.createDataFrame([(batch, attempt)], "batch string, attempt string")
+    record = record.withColumn("committed_at", F.current_timestamp())
+    record.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return attempt
+
+
+def committed_batches(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, attempt, committed_at): the first committed attempt of each batch."""
+    records = spark.read.schema("batch string, attempt string, committed_at timestamp").parquet(f"{path}/commits")
+    first = F.min(F.struct("committed_at", "attempt")).alias("c")
+    return records.groupBy("batch").agg(first).select("batch", "c.attempt", "c.committed_at")
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All committed batches as one table of ``schema`` plus ``batch``, each batch once."""
+    kept = committed_batches(spark, path).select("batch", "attempt")
+    names = T.StructType([*schema.fields, T.StructField("batch", T.StringType()), T.StructField("attempt", T.StringType())])
+    rows = spark.read.schema(names).option("basePath", f"{path}/data").parquet(f"{path}/data")
+    # One row per job of the plan on the right; folders of other attempts are not read.
+    return rows.join(F.broadcast(kept), ["batch", "attempt"], "left_semi").drop("attempt")
