@@ -8,7 +8,10 @@ How it stays linear in a large group of near copies: classes only need the links
 them. In a first round every set meets one pivot per n-gram (the smallest key of its group), which
 connects tight groups with one link per set; in two more those outside an n-gram's largest component meet
 a member of it, drawn anew. Sets that share a prefix n-gram and are still in different components then
-all meet, so no link between components is lost. Posting lists
+all meet, so no link between components is lost. Each posting of that meeting carries the open n-grams just
+before it, and two sets do not meet on an n-gram if one before it is common as well, since they meet there:
+the first common one has none before it, and most near misses meet once however much they share. A pair that
+was tried in an earlier round is not tried again. Posting lists
 expected to be long are split by salts, whose pivots meet in turn.
 
 Equal sets are one node, a 64-bit key of the set (chance that any two of n different sets share a
@@ -22,8 +25,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import broadcast_if_small
 from .common import batch, mix64, slowly, small_batches, stored, utf8
@@ -40,6 +44,8 @@ PARITY_BITS = 2048
 FOLDED = 4
 #: Rounds with drawn pivots before what is left meets in full.
 DRAWN_ROUNDS = 2
+#: Earlier open n-grams that a posting of the full meeting carries along.
+EARLIER = 8
 
 _SETS = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("parity", pa.binary()), ("folded", pa.list_(pa.int64())),
                    ("chunk", pa.int32()), ("counts", pa.binary())])
@@ -250,6 +256,12 @@ def similarity_classes(docs: DataFrame, row: str = "doc_id", text: str = "text",
     ids or not, are each returned. A null id is kept; the component then takes the smallest known
     id, or null. Other columns of ``docs`` are ignored, whatever their names. No rows, no rows.
     """
+    out = _classes(docs, row, text, width, num, den)
+    return out.select(F.col("row").alias(row), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _classes(docs: DataFrame, row: str, text: str, width: int, num: int, den: int) -> DataFrame:
+    """(row, n, key, root, component_id) of every row, ``key`` that of its set and ``root`` that of its class."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
@@ -271,8 +283,8 @@ def similarity_classes(docs: DataFrame, row: str = "doc_id", text: str = "text",
         first, "gram").select("key", "n", "pos", "p.pkey", "p.pn", "p.ppos")
     stars = _pair(shared.select("key", "n", "pos", "pkey", "pn", "ppos").union(heads)).where("a <> b")
     stars = stars.where(_similar_length(num, den)).where(_reachable(possible, num, den))
-    stars = stars.select("a", "b", "na", "nb").distinct()
-    links = _verified(docs, nodes, stars, width, num, den)
+    tried = stored(stars.select("a", "b", "na", "nb").distinct(), "tried")
+    links = _verified(docs, nodes, tried, width, num, den)
 
     # Sets outside their n-gram's main component meet a member of it that is drawn for the n-gram.
     rows_left = _open(shared.select("gram", "key", "n", "pos").distinct(), links)
@@ -282,13 +294,19 @@ def similarity_classes(docs: DataFrame, row: str = "doc_id", text: str = "text",
         drawn = rows_left.where("root <> main").join(drawn, "gram").select(
             "key", "n", "pos", F.col("p.key").alias("pkey"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
         drawn = _pair(drawn).where(_similar_length(num, den)).where(_reachable(possible, num, den))
-        links = links.union(_verified(docs, nodes, drawn.select("a", "b", "na", "nb").distinct(), width, num, den))
+        drawn = drawn.select("a", "b", "na", "nb").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        drawn = stored(drawn, "tried")
+        tried = tried.union(drawn)
+        links = links.union(_verified(docs, nodes, drawn, width, num, den))
         rows_left = _open(rows_left.select("gram", "key", "n", "pos"), links, nodes if turn == DRAWN_ROUNDS - 1 else None)
 
     # Whatever still lies in different components and shares a prefix n-gram. Of the smaller set (of equal
     # ones, that of the smaller key) a shorter prefix does.
-    minor = rows_left.where("root <> main").select("gram", F.col("key").alias("pkey"), F.col("n").alias("pn"),
-                                                   F.col("pos").alias("ppos"), F.col("root").alias("proot"), F.col("folded").alias("pfolded"))
+    # A set's own open n-grams are at most its prefix.
+    before = F.collect_list("gram").over(Window.partitionBy("key").orderBy("pos").rowsBetween(-EARLIER, -1))
+    rows_left = rows_left.withColumn("before", before)
+    minor = rows_left.where("root <> main").select(
+        "gram", *[F.col(c).alias(f"p{c}") for c in ("key", "n", "pos", "root", "folded", "before")])
     near = F.expr(f"{den}L * least(n, pn) >= {num}L * greatest(n, pn)")
     both_minor = (F.col("root") == F.col("main")) | (F.col("key") < F.col("pkey"))
     smaller = (F.col("n") < F.col("pn")) | ((F.col("n") == F.col("pn")) & (F.col("key") < F.col("pkey")))
@@ -297,20 +315,19 @@ def similarity_classes(docs: DataFrame, row: str = "doc_id", text: str = "text",
     reach = F.expr(f"{den + num}L * (least(pos, ppos) + 1 + least(n - pos - 1, pn - ppos - 1)) >= {num}L * (n + pn)")
     apart = " + ".join(f"bit_count(folded[{k}] ^ pfolded[{k}])" for k in range(FOLDED))
     alike = F.expr(f"{den + num}L * (n + pn - ({apart})) >= {2 * num}L * (n + pn)")
-    across = rows_left.join(minor, "gram").where((F.col("root") != F.col("proot")) & near & both_minor & in_short & reach & alike)
-    across = _pair(across).groupBy("a", "b").agg(
-        F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("c"), F.max(F.struct("pa", "pb")).alias("p"))
-    across = across.select("a", "b", "na", "nb", "c", "p.pa", "p.pb").where(
-        _reachable("c + least(na - pa - 1, nb - pb - 1)", num, den)).select("a", "b", "na", "nb")
+    met_before = F.arrays_overlap("before", "pbefore")
+    across = rows_left.join(minor, "gram").where(
+        (F.col("root") != F.col("proot")) & near & both_minor & in_short & reach & alike & ~met_before)
+    across = _pair(across).select("a", "b", "na", "nb").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(docs, nodes, across, width, num, den)
 
     roots = stored(components(links.union(more)), "roots").withColumnRenamed("node", "key")
     placed = nodes.select("key", "row").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = stored(placed.groupBy("root").agg(F.min("row").alias("component_id")), "least")
-    placed = stored(placed.join(least, "root").select("key", "component_id"), "classes")
+    placed = stored(placed.join(least, "root").select("key", "root", "component_id"), "classes")
     out = rows.select("row", "n", "key").join(placed, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("row"))
-    return out.select(F.col("row").alias(row), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("row", "n", "key", "root", component.alias("component_id"))
 
 
 def _open(rows: DataFrame, links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -356,12 +373,33 @@ def _confirm(width: int):
 
 def keep_one(docs: DataFrame, row: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without those documents whose class has another one with a smaller id (five words
-    and 0.8 unless told otherwise). Texts without words and rows without id all stay; of rows that
-    repeat with one id and text, one stays. All columns of ``docs`` stay as they are."""
-    classes = stored(similarity_classes(docs, row, text, width, num, den), "kept")
-    gone = classes.where(f"n_shingles > 0 and {row} <> component_id").select(F.col(row).alias("__id")).distinct()
-    again = classes.where(f"n_shingles > 0 and {row} is not null").groupBy(F.col(row).alias("__id")).count().where("count > 1").select("__id")
-    gone, again = broadcast_if_small(stored(gone, "gone")), broadcast_if_small(stored(again, "again"))
-    docs = docs.join(gone, F.col(row) == F.col("__id"), "left_anti")
-    once = docs.join(again, F.col(row) == F.col("__id"), "left_anti")
-    return once.union(docs.join(again, F.col(row) == F.col("__id"), "left_semi").dropDuplicates([row, text]))
+    and 0.8 unless told otherwise). Texts without words and rows without id all stay, but rows that repeat with
+    one id and such a text stay once. If an id repeats with several texts, each is judged in its own class, and of
+    those in one class one stays. All columns of ``docs`` stay as they are."""
+    classes = stored(_classes(docs, row, text, width, num, den).withColumnRenamed("row", "__id"), "kept")
+    classes = classes.where("__id is not null")
+    again = stored(classes.groupBy("__id").count().where("count > 1").select("__id"), "again")
+    gone = stored(classes.where("n > 0 and __id <> component_id").select("__id").distinct(), "gone")
+    # Of a class's smallest id the smallest key stays.
+    chosen = classes.where("n > 0 and __id = component_id").join(again, "__id", "left_semi").groupBy("__id", "root").agg(
+        F.min("key").alias("__key")).select("__id", "__key")
+    again, same = broadcast_if_small(again), F.col(row) == F.col("__id")
+    once = docs.join(again, same, "left_anti").join(broadcast_if_small(gone), same, "left_anti")
+    several = docs.join(again, same, "left_semi")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__of", T.LongType()), T.StructField("__empty", T.StringType())])
+    keyed = several.withColumn("__text", F.col(text)).mapInArrow(_with_key(width), schema)
+    kept = keyed.join(chosen, (F.col(row) == F.col("__id")) & (F.col("__of") == F.col("__key")), "left_semi").union(keyed.where("__of = 0"))
+    return once.union(kept.dropDuplicates([row, "__of", "__empty"]).select(*docs.columns))
+
+
+def _with_key(width: int):
+    """Rows whose last column is their text, with the key of its set instead, and the text again if its set is empty."""
+
+    def run(batches):
+        for b in batches:
+            data, offsets = utf8(b.column(b.num_columns - 1))
+            keys = np.concatenate([np.zeros(0, np.int64), *(set_keys(h, bounds) for _, h, bounds in shingle_sets(data, offsets, width))])
+            texts = pa.array([t if k == 0 else None for k, (t,) in zip(keys.tolist(), slowly(b.column(b.num_columns - 1)))], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(keys), texts], names=[*b.schema.names[:-1], "__of", "__empty"])
+
+    return run

@@ -77,7 +77,7 @@ def _run(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray,
         odd = [np.uint64(pow(_BASE, 3 * j + 2, 1 << 64)) for j in range(width)]
         full = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
         for j in range(width):
-            full += hashes[j : len(hashes) - width + 1 + j] * odd[j]
+            full += hashes[j : j + len(full)] * odd[j]
         out = np.empty(bounds[-1], np.uint64)
         # The position of each shingle's first word: document start plus place in the document.
         first_words = np.repeat(word_ends - counts - bounds[:-1], sizes) + np.arange(bounds[-1])
