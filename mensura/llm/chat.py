@@ -1,8 +1,9 @@
 """Chat formatting of reply trees, with DataFrame operations only.
 
-Messages point to the message they answer. Self-joins that double the distance each time find all
-ancestors of each leaf, so a tree of depth d takes log2(d) joins; each leaf is one root-to-leaf path. Paths of a tree
-are ranked by the mean score of their messages, and each chosen path is formatted as one conversation.
+Messages point to the message they answer. Self-joins that double the distance each time sum the scores between
+each leaf and its root, so a tree of depth d takes log2(d) joins; each leaf is one root-to-leaf path. Paths of a tree
+are ranked by the mean score of their messages; the same joins list the messages of the chosen paths, and each is
+formatted as one conversation.
 
 Template: every turn is an opening mark, the escaped text, a closing mark. In texts a backslash becomes \\b, an
 opening angle bracket \\l and an opening square bracket \\q, so no control string can appear in them
@@ -41,24 +42,40 @@ def _mark(role: Column, marks: dict[str, str], other: Column) -> Column:
     return out.otherwise(other)
 
 
-def leaf_paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, above) for every message on the path to every leaf, itself at above = 0.
+def climb(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, leaf, mean) of every leaf below a root, and the steps (tree, node, ahead) over 1, 2, 4, ... messages.
 
-    ``messages`` has tree, node, parent; a node without a known parent is a root. Ancestors at
-    distance 1, 2, 4, ... are joined to what is already on the path. A cycle has no leaf.
+    ``messages`` has tree, node, parent, score; a node without a known parent is a root. Each round doubles how far a
+    node sees and adds up the scores on the way, so leaves are judged before any path is listed. No way up is longer
+    than the largest tree has messages: what has not met a root by then answers itself in a cycle, and no path holds it.
     """
-    known = messages.select("tree", F.col("node").alias("parent"))
-    steps = messages.where("parent is not null").select("tree", "node", "parent").join(known, ["tree", "parent"]).select("tree", "node", "parent")
-    steps = stored(steps, "steps")
-    inner = steps.select("tree", F.col("parent").alias("node")).distinct()
-    paths = messages.select("tree", "node").join(inner, ["tree", "node"], "left_anti")
-    paths = stored(paths.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above")), "paths")
-    reach = 1
-    while not steps.isEmpty():
-        further = paths.join(steps, ["tree", "node"]).select("tree", "leaf", F.col("parent").alias("node"), (F.col("above") + reach).alias("above"))
-        paths = stored(paths.union(further), "paths")
-        ahead = steps.select("tree", F.col("node").alias("parent"), F.col("parent").alias("next"))
-        steps = stored(steps.join(ahead, ["tree", "parent"]).select("tree", "node", F.col("next").alias("parent")), "steps")
+    known = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
+    state = messages.select("tree", "node", "parent", "score").join(known, ["tree", "parent"], "left")
+    state = stored(state.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("ahead"),
+                                F.col("score").alias("total"), F.lit(1).cast("long").alias("n")), "climb")
+    first, levels, reach = state, [], 1
+    most = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while reach < most and not state.where("ahead is not null").isEmpty():
+        levels.append(state.where("ahead is not null").select("tree", "node", "ahead"))
+        above = state.select("tree", F.col("node").alias("ahead"), F.col("ahead").alias("next"), F.col("total").alias("more"), F.col("n").alias("further"))
+        state = stored(state.join(above, ["tree", "ahead"], "left").select(
+            "tree", "node", F.col("next").alias("ahead"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
+            (F.col("n") + F.coalesce("further", F.lit(0))).alias("n")), "climb")
+        reach *= 2
+    inner = first.select("tree", F.col("ahead").alias("node")).distinct()
+    leaves = state.where("ahead is null").join(inner, ["tree", "node"], "left_anti")
+    return leaves.select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("n")).alias("mean")), levels
+
+
+def leaf_paths(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``leaves`` (tree, leaf, ...) with node and above for every message on their paths, the leaf itself at above = 0.
+
+    Ancestors at distance 1, 2, 4, ... are joined to what is already on the path.
+    """
+    paths, reach = leaves.withColumn("node", F.col("leaf")).withColumn("above", F.lit(0).cast("long")), 1
+    for steps in levels:
+        further = paths.join(steps, ["tree", "node"]).withColumn("node", F.col("ahead")).withColumn("above", F.col("above") + reach)
+        paths = stored(paths.unionByName(further.select(*paths.columns)), "paths")
         reach *= 2
     return paths
 
@@ -66,19 +83,21 @@ def leaf_paths(messages: DataFrame) -> DataFrame:
 def format_reply_trees(messages: DataFrame, best: int = 1) -> DataFrame:
     """(tree, path, formatted, loss) for the ``best`` paths of each tree, the best first.
 
-    ``messages`` has tree, node (string or number, unique in its tree), parent, role, text, score. Ties of mean
-    scores go to the smaller leaf; null scores count as 0, null roles and texts are empty. loss holds
-    the (start, length) places of assistant texts in ``formatted``, counted in characters from 0.
+    ``messages`` has tree, node (string or number), parent, role, text, score. Ties of mean scores go to the
+    smaller leaf; null scores count as 0, null roles and texts are empty. Of rows that repeat a node the smallest counts
+    (by parent, role, text, score); rows without tree or node, and messages that answer themselves, directly or over
+    others, are on no path. loss holds the (start, length) places of assistant texts in ``formatted``, counted in
+    characters from 0.
     """
-    messages = stored(messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"),
-                                      F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "messages")
-    paths = leaf_paths(messages)
-    scored = paths.join(messages.select("tree", "node", "score"), ["tree", "node"])
-    leaves = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"))
+    said = F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+                    F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    messages = messages.where("tree is not null and node is not null").groupBy("tree", "node").agg(F.min(said).alias("m"))
+    messages = stored(messages.select("tree", "node", "m.*"), "messages")
+    leaves, levels = climb(messages)
     # The best few of each tree are kept while aggregating, so a tree of any size is no window.
-    ranked = leaves.groupBy("tree").agg(F.max_by(F.struct("leaf"), F.struct("mean", -F.col("leaf"))).alias("l")).select(
-        "tree", "l.leaf", F.lit(1).alias("path")) if best == 1 else _ranked(leaves, best)
-    turns = paths.join(ranked, ["tree", "leaf"]).join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
+    ranked = leaves.groupBy("tree").agg(F.min_by("leaf", F.struct(-F.col("mean"), "leaf")).alias("leaf")).withColumn(
+        "path", F.lit(1)) if best == 1 else _ranked(leaves, best)
+    turns = leaf_paths(stored(ranked, "chosen"), levels).join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
     turns = turns.groupBy("tree", "path").agg(F.sort_array(F.collect_list(F.struct((-F.col("above")).alias("place"), "role", "text"))).alias("turns"))
     return turns.select("tree", "path", *_formatted(F.col("turns")))
 

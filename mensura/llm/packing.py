@@ -22,17 +22,20 @@ from .common import batch, small_batches, stored
 #: Pieces of one packing group.
 GROUP = 4096
 
+# Fixed value: the added token of byte_bpe_50k.json.
+BYTE_BPE_ADDED = {"<|endoftext|>": 50256}
+
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
 
 
-def encoder(path: str):
-    """Function from a list of texts to lists of ids. A ``.json`` file is read by tokenizers, a
-    ``.tiktoken`` file of ranks by tiktoken; strings of special tokens in a text are ordinary text."""
+def encoder(path: str, added: dict[str, int] | None = None):
+    """Function from a list of texts to lists of ids. A ``.json`` file is read by tokenizers, a ``.tiktoken`` file of
+    ranks by tiktoken. A json file names its added tokens, a file of ranks does not: ``added`` holds their strings
+    and ids. Where a text says such a string, it is that one token."""
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     import base64
 
@@ -41,13 +44,13 @@ def encoder(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [own.encode_ordinary(t) for t in texts]
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added or {})
+    return lambda texts: [own.encode(t, allowed_special="all") for t in texts]
 
 
-def _pieces(path: str, size: int, end_id: int):
+def _pieces(path: str, added: dict[str, int] | None, size: int, end_id: int):
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path, added)
         for b in batches:
             out = []
             for at in range(0, b.num_rows, 256):
@@ -71,7 +74,7 @@ def best_two_fit(lengths, size: int) -> tuple[np.ndarray, np.ndarray]:
     ``free`` says that a piece of length ``l`` is left, ``turned`` holds the same bits reversed, which finds
     two lengths of a given sum in one operation.
     """
-    lengths = np.asarray(lengths)
+    lengths = np.asarray(lengths, np.int64)
     order = np.argsort(-lengths, kind="stable")
     left = np.bincount(lengths, minlength=size + 1).tolist()
     free = turned = 0
@@ -136,16 +139,17 @@ def _pack_group(size: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, row: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, row: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 0,
+         added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: (row, piece, start, length, ids_crc32, sequence_id, offset).
 
     A document is the ids of its text and then ``end_id``; null and empty texts are the end id
     alone. Longer ones are cut into pieces of ``size``, the first one shorter. Rows that repeat are packed
-    each; a null id is kept. Other columns are ignored. No rows, no rows.
+    each; a null id is kept. ``added`` are the added tokens of a file of ranks, see ``encoder``. Other columns are ignored. No rows, no rows.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(row).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = stored(docs.mapInArrow(_pieces(tokenizer, size, end_id), "doc_id long, piece int, start long, length int, ids_crc32 long"), "pieces")
+    pieces = stored(docs.mapInArrow(_pieces(tokenizer, added, size, end_id), "doc_id long, piece int, start long, length int, ids_crc32 long"), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))
     # Rows of the stored table are numbered by file and place, which is the same when a task runs again.
     pieces = pieces.withColumn("row", F.monotonically_increasing_id())

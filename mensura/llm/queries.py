@@ -17,7 +17,7 @@ from .jaccard import similarity_classes
 from .linededup import LineIndex
 from .media import media_columns, store_media
 from .mixing import mix_documents
-from .packing import pack
+from .packing import BYTE_BPE_ADDED, pack
 from .quality import quality_scores
 from .toxicity import toxicity_scores
 from .urlfilter import judge_urls
@@ -46,7 +46,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_best_two_fit_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     # The ranks of byte_bpe_50k are the vocabulary of byte_bpe_50k.json; tests hold both against each other.
-    return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), added=BYTE_BPE_ADDED)
 
 
 URL_RULES = [

@@ -36,9 +36,12 @@ def split_url(url: str | None) -> tuple[str, str]:
     return rest[:cut].translate(_LOWER), path[:end]
 
 
-def url_keys(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Candidate keys, the longest first; of equally long ones that of the longer host."""
-    labels = host.split(".") if host else []
+def url_keys(host: str, path: str, lengths: list[int], most: int) -> list[str]:
+    """Candidate keys, the longest first; of equally long ones that of the longer host.
+
+    ``most`` is the number of labels of the longest rule's host: no longer end of a host can be listed.
+    """
+    labels = host.rsplit(".", most)[-most:] if host and most else []
     hosts = [".".join(labels[i:]) for i in range(len(labels))]
     keys = [(len(h) + n, len(h), h + "\n" + path[:n]) for h in hosts for n in lengths if n <= len(path)]
     return [k for *_, k in sorted(keys, reverse=True)]
@@ -116,11 +119,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], row: str = "
     """
     pages = pages.select(F.col(row).cast("long").alias("page_id"), F.col(url).alias("url"))
     lengths = sorted({len(path) for _, _, path in rules})
+    most = max((host.count(".") + 1 for _, host, _ in rules), default=0)
     lists = {v: {h + "\n" + p for w, h, p in rules if w == v} for v in ("allow", "block")}
 
     def keys_of(batches):
         for b in batches:
-            keys = {k for u in set(b.column(0).to_pylist()) for k in url_keys(*split_url(u), lengths)}
+            keys = {k for u in set(b.column(0).to_pylist()) for k in url_keys(*split_url(u), lengths, most)}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(keys), pa.string())], names=["key"])
 
     universe = stored(pages.select("url").mapInArrow(keys_of, "key string").distinct(), "keys")
@@ -133,7 +137,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], row: str = "
             for page, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 host, path = split_url(u)
                 rule, verdict = None, otherwise
-                for key in url_keys(host, path, lengths):
+                for key in url_keys(host, path, lengths, most):
                     if key in block or key in allow:
                         rule, verdict = key.replace("\n", "", 1), "block" if key in block else "allow"
                         break

@@ -373,7 +373,7 @@ def test_media_round_trip(spark):
 def test_packing_places_every_piece(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 64)
     rows = ODD + [(k, "token " * (k * 37 % 900), "a") for k in range(100, 300)]
-    got = packing.pack(docs_of(spark, rows), public_tokenizers.path("byte_bpe_50k.tiktoken"), size=256).collect()
+    got = packing.pack(docs_of(spark, rows), public_tokenizers.path("byte_bpe_50k.tiktoken"), size=256, added=packing.BYTE_BPE_ADDED).collect()
     encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))  # ids of the other library
     want = Counter()
     for k, t, _ in rows:
