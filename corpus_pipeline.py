@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mensura.llm.common import stored, table
 from mensura.llm.jaccard import keep_one
 from mensura.llm.mixing import mix_corpus
-from mensura.llm.packing import pack
+from mensura.llm.packing import BYTE_BPE_ADDED, pack
 from mensura.llm.quality import keep_good
 from mensura.llm.toxicity import keep_harmless
 
@@ -39,7 +39,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mixed documents and their places in sequences of 2048 tokens."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), added=BYTE_BPE_ADDED)
 
 
 STAGES = [
