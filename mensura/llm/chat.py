@@ -12,6 +12,8 @@ and reading back is exact.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,17 +55,20 @@ def climb(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     state = messages.select("tree", "node", "parent", "score").join(known, ["tree", "parent"], "left")
     state = stored(state.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("ahead"),
                                 F.col("score").alias("total"), F.lit(1).cast("long").alias("n")), "climb")
-    first, levels, reach = state, [], 1
+    inner = state.select("tree", F.col("ahead").alias("node")).distinct()
+    arrived, under_way, levels, reach = [state.where("ahead is null")], state.where("ahead is not null"), [], 1
     most = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while reach < most and not state.where("ahead is not null").isEmpty():
-        levels.append(state.where("ahead is not null").select("tree", "node", "ahead"))
-        above = state.select("tree", F.col("node").alias("ahead"), F.col("ahead").alias("next"), F.col("total").alias("more"), F.col("n").alias("further"))
-        state = stored(state.join(above, ["tree", "ahead"], "left").select(
-            "tree", "node", F.col("next").alias("ahead"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-            (F.col("n") + F.coalesce("further", F.lit(0))).alias("n")), "climb")
+    while reach < most and not under_way.isEmpty():
+        levels.append(under_way.select("tree", "node", "ahead"))
+        above = reduce(DataFrame.unionByName, arrived, under_way).select(
+            "tree", F.col("node").alias("ahead"), F.col("ahead").alias("next"), F.col("total").alias("more"), F.col("n").alias("further"))
+        # Only nodes that have not met their root are joined and written again.
+        moved = stored(under_way.join(above, ["tree", "ahead"]).select(
+            "tree", "node", F.col("next").alias("ahead"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("further")).alias("n")), "climb")
+        arrived.append(moved.where("ahead is null"))
+        under_way = moved.where("ahead is not null")
         reach *= 2
-    inner = first.select("tree", F.col("ahead").alias("node")).distinct()
-    leaves = state.where("ahead is null").join(inner, ["tree", "node"], "left_anti")
+    leaves = reduce(DataFrame.unionByName, arrived).join(inner, ["tree", "node"], "left_anti")
     return leaves.select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("n")).alias("mean")), levels
 
 
