@@ -46,20 +46,35 @@ def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     return files.select(below.alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def _mark(spark: SparkSession, path: str, version: str, complete: bool, mode: str) -> None:
+    marker = spark.createDataFrame([(version, complete, not complete)], f"version string, {COMPLETE} boolean, {FAILED} boolean")
+    marker.write.mode(mode).json(f"{path}/marker")
+
+
 def write_snapshot(df: DataFrame, path: str, key: str, version: str) -> None:
     """Data, per-group counts, file hashes, and last the marker row.
 
     Spark's file commit makes each write all-or-nothing; a snapshot without its marker is
-    unfinished and never chosen.
+    unfinished and never chosen. A run that breaks leaves a failed marker and raises what broke it; a folder
+    that was there before keeps its own marker.
     """
     spark = df.sparkSession
-    df.write.mode("errorifexists").parquet(f"{path}/data")
-    written = spark.read.parquet(f"{path}/data")
-    group_counts(written, key).write.mode("errorifexists").parquet(f"{path}/counts")
-    file_hashes(spark, f"{path}/data", "*.parquet").write.mode("errorifexists").parquet(f"{path}/hashes")
-    spark.createDataFrame([(version, True, False)], f"version string, {COMPLETE} boolean, {FAILED} boolean").write.mode(
-        "errorifexists"
-    ).json(f"{path}/marker")
+    fresh = not _exists(spark, path)
+    try:
+        df.write.mode("errorifexists").parquet(f"{path}/data")
+        written = spark.read.parquet(f"{path}/data")
+        group_counts(written, key).write.mode("errorifexists").parquet(f"{path}/counts")
+        file_hashes(spark, f"{path}/data", "*.parquet").write.mode("errorifexists").parquet(f"{path}/hashes")
+        _mark(spark, path, version, True, "errorifexists")
+    except Exception:
+        if fresh:
+            _mark(spark, path, version, False, "overwrite")
+        raise
 
 
 def verify_snapshot(spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -88,12 +103,9 @@ def read_snapshot(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 def snapshot_versions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Marker rows of several snapshot folders; a folder without marker is incomplete."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     rows = []
     for path in paths:
-        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/marker/_SUCCESS")
-        if not marker.getFileSystem(conf).exists(marker):
+        if not _exists(spark, f"{path}/marker/_SUCCESS"):
             rows.append((path, None, False, False))
             continue
         mark = spark.read.json(f"{path}/marker").first()
