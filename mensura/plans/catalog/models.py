@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ...operators import features as f
 from ...operators import models as m
+from ...operators.boosting import SecondOrderBoosting
 from ...operators.kernel import KernelMargin
 from ...operators.metrics import classification_metrics, fold_summary, regression_metrics, roc_auc
 from ...operators.network import DropoutNetwork
@@ -63,6 +64,12 @@ def boosted_regression(t):
     return _regression(t, lambda v: m.boosted_regressor(10, 4, 0.1, v))
 
 
+@query("l03_second_order_regression", REGRESSION_SQL)
+def second_order_regression(t):
+    """Depth 6, curvature-weighted leaves, 80 % of rows and features a round; 12 rounds of step 0.2 in each of five folds."""
+    return _regression(t, lambda v: SecondOrderBoosting("doc_id", 12, 6, 0.2, rows=0.8, columns=0.8, features=v))
+
+
 def _classification(t, estimator, balanced=False, rows=None):
     """The test documents of both classes, and whether scores and labels tell them apart better than chance."""
     rows = classed(t) if rows is None else rows
@@ -92,6 +99,12 @@ def boosted_classification(t):
     return _classification(t, m.boosted_classifier(rounds=10, depth=4, step=0.1))
 
 
+@query("l05_second_order_classification", CLASS_SQL)
+def second_order_classification(t):
+    """Leaf-wise trees of up to 31 leaves and six levels, 80 % of rows and features a round; 60 rounds of step 0.1."""
+    return _classification(t, SecondOrderBoosting("doc_id", 60, 6, 0.1, leaves=31, rows=0.8, columns=0.8, classes=True))
+
+
 @query("l06_margin_classifier", CLASS_SQL)
 def margin_classifier(t):
     return _classification(t, m.margin_classifier(50))
