@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
+from urllib.parse import quote
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.expect import counts_match, enforce, row_rules
 
 COMPLETE, FAILED = "complete", "failed"
+#: Bytes of a file that a task holds while it hashes.
+HASH_BLOCK = 1 << 20
+#: Schemes of paths that tasks open themselves, and the names under which they do.
+BLOCK_SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
 
 
 def latest_complete(versions: DataFrame, version: str, path: str) -> DataFrame:
@@ -38,12 +46,39 @@ def manifest(df: DataFrame, key: str, **facts) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 of every file below a path, hashed on the executors; files are named relative to the path."""
+    """SHA-256 of every file below a path, hashed on the executors; files are named relative to the path.
+
+    A task opens its files itself and feeds blocks of ``HASH_BLOCK`` bytes to the digest, so files may have any size.
+    In a store that only Spark can open (a scheme not in ``BLOCK_SCHEMES``) Spark's reader hands over whole files,
+    which it does up to 2 GB. Spark lists no empty files, so they have no row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     root = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString() + "/"
     below = F.when(F.col("path").startswith(root), F.substr("path", F.lit(len(root) + 1))).otherwise(F.col("path"))
-    return files.select(below.alias("file"), F.sha2("content", 256).alias("sha256"))
+    if root.partition(":")[0] not in BLOCK_SCHEMES:
+        return files.select(below.alias("file"), F.sha2("content", 256).alias("sha256"))
+    # Without its content column the reader only lists files.
+    return files.select(below.alias("file"), "path").mapInPandas(_digests, "file string, sha256 string")
+
+
+def _digests(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame({"file": frame["file"], "sha256": [_digest(p) for p in frame["path"]]})
+
+
+def _digest(path: str) -> str:
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        store, place = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        # The path is plain text; only an address needs escapes.
+        store, place = fs.FileSystem.from_uri(f"{BLOCK_SCHEMES[scheme]}:{quote(rest, safe='/=:@')}")
+    digest = hashlib.sha256()
+    with store.open_input_stream(place) as stream:
+        while block := stream.read(HASH_BLOCK):
+            digest.update(block)
+    return digest.hexdigest()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,6 +170,21 @@ def test_hashes_of_a_partitioned_snapshot(spark, tmp_path):
     assert {r.check: r.n_bad for r in snapshots.hashes_match(found, found).collect()} == {"file_missing": 0, "file_extra": 0, "hash_differs": 0}
 
 
+def test_hashes_by_blocks(spark, tmp_path, monkeypatch):
+    """Files of many blocks and with odd names (empty ones are not listed); the reader's whole files give the same digests."""
+    monkeypatch.setattr(snapshots, "HASH_BLOCK", 64)
+    (tmp_path / "in k=a b").mkdir()
+    texts = {"plain": bytes(range(256)) * 9 + b"end", "empty": b"", "in k=a b/50% \u00fc+x": b"x" * 64}
+    for name, content in texts.items():
+        (tmp_path / name).write_bytes(content)
+    want = {name: hashlib.sha256(content).hexdigest() for name, content in texts.items() if content}
+    found = snapshots.file_hashes(spark, str(tmp_path))
+    assert {r.file: r.sha256 for r in found.collect()} == want
+    assert "content" not in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(snapshots, "BLOCK_SCHEMES", {})
+    assert {r.file: r.sha256 for r in snapshots.file_hashes(spark, str(tmp_path)).collect()} == want
+
+
 def test_nan_is_missing_in_roll_ups(spark):
     nan = float("nan")
     df = spark.createDataFrame([("e", "s", 1.0), ("e", "s", nan), ("e", "t", 3.0), ("e", "t", None)], "e string, s string, v double")
