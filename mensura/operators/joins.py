@@ -197,6 +197,10 @@ def differing_fields(fields: Sequence[str], a: str, b: str) -> Column:
     )
 
 
+def _field_text(f: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(f).cast("string")), F.lit("?"))
+
+
 def masked_signatures(fields: Sequence[str], extra_fields: Sequence[str] = ()) -> Column:
     """The signature with one field left out, for every field, plus the whole signature; each with
     what it leaves out (the whole one: the extra fields).
@@ -204,17 +208,20 @@ def masked_signatures(fields: Sequence[str], extra_fields: Sequence[str] = ()) -
     Two rows that differ in exactly field *f* share exactly the signature without *f*, and differ
     in what it leaves out.
     """
-    def text(f: str) -> Column:
-        return F.coalesce(F.concat(F.lit("="), F.col(f).cast("string")), F.lit("?"))
-
     def without_field(skip: str | None) -> Column:
-        parts = F.struct(*[text(f).alias(f) for f in fields if f != skip])
-        left_out = text(skip) if skip else F.to_json(F.struct(*[text(f).alias(f"f{i}") for i, f in enumerate(extra_fields)]))
+        parts = F.struct(*[_field_text(f).alias(f) for f in fields if f != skip])
+        left_out = _field_text(skip) if skip else F.to_json(F.struct(*[_field_text(f).alias(f"f{i}") for i, f in enumerate(extra_fields)]))
         return F.struct(F.lit(skip or "").alias("mask"), F.xxhash64(parts).alias("code"), left_out.alias("left_out"))
 
     return F.array(*[without_field(f) for f in fields], *([without_field(None)] if extra_fields else []))
 
 
+def whole_signature(fields: Sequence[str]) -> Column:
+    """A signature that leaves everything out, in the form of ``masked_signatures``: all rows share it."""
+    left_out = F.to_json(F.struct(*[_field_text(f).alias(f"f{i}") for i, f in enumerate(fields)]))
+    return F.struct(F.lit("").alias("mask"), F.lit(0).cast("long").alias("code"), left_out.alias("left_out"))
+
+
 def near_signature_pairs(
     records: DataFrame,
     sources: DataFrame,
@@ -228,56 +235,72 @@ def near_signature_pairs(
     """Source pairs of one collection that share at least ``min_shared`` entities and differ in
     exactly one signature field, or in none but in an extra (time) field.
 
-    No collection is crossed with itself. Sources meet only on a masked signature *and* a
-    shared rare entity: with entities ordered from rare to common, two sets that overlap in
-    ``t`` entities must meet within their first ``size - t + 1`` ones. What the signature leaves out
-    must differ where they meet, so sources described alike are no candidates of each other. All
-    three rules are exact; the surviving pairs are verified.
+    No collection is crossed with itself. Sources meet only on a masked signature *and* a shared entity that
+    is rare for one of the two: with entities ordered from rare to common, two sets that overlap in ``t``
+    entities must meet within their first ``size - t + 1`` ones. What the signature leaves out must differ
+    where they meet, so sources described alike are no candidates of each other. The meetings of a pair are
+    counted, and the fewer than ``min_shared`` common entities at the end of both are compared as arrays, so
+    no pair is joined to its entities again. Where collections hold few sources per entity (measured), the
+    signature is left to the check of the pairs. All rules are exact; the surviving pairs are verified.
     Returns ``source_a, source_b, <collection>, diff, n_shared``.
     """
     known = F.col(source).isNotNull() & F.col(entity).isNotNull()
-    # Read six times below, so the distinct is paid for once.
+    # Read five times below, so the distinct is paid for once.
     pairs = cut_lineage(records.select(source, entity).where(known).distinct())
     sizes = pairs.groupBy(source).agg(F.count(F.lit(1)).alias("__size"))
     big = sizes.where(F.col("__size") >= min_shared)
-    # Only fields of comparable sources take part from here on.
-    described = sources.join(big, source).select(source, collection, "__size", *fields, *extra_fields)
+    # Only fields of comparable sources take part from here on; a source described twice is two of them.
+    described = sources.where(F.col(collection).isNotNull()).join(big, source).select(source, collection, *fields, *extra_fields)
+    described = cut_lineage(described.withColumn("__id", F.monotonically_increasing_id()))
     frequency = pairs.groupBy(entity).agg(F.count(F.lit(1)).alias("__freq"))
     weighted = hot_key_lookup(pairs, frequency, [entity])
-    prefix = _rare_prefix(weighted.join(big, source), source, entity, min_shared)
-    coded = described.select(
-        source, collection, F.explode(masked_signatures(fields, extra_fields)).alias("__m")
-    ).select(source, collection, F.col("__m.mask").alias("__mask"), F.col("__m.code").alias("__code"), F.col("__m.left_out").alias("__value"))
-    tokens = prefix.join(coded, source)
-    on = [collection, "__mask", "__code", entity]
-    left = tokens.select(*on, F.col(source).alias("source_a"), F.col("__value").alias("__value_a"))
-    right = tokens.select(*on, F.col(source).alias("source_b"), F.col("__value").alias("__value_b"))
-    met = left.join(right, on).where("source_a < source_b AND __value_a <> __value_b").select("source_a", "source_b").distinct()
-    info = described.select(source, collection, F.struct(*fields, *extra_fields).alias("s"))
-    named = met.join(info.withColumnRenamed(source, "source_a").withColumnRenamed("s", "a"), "source_a").join(
-        info.withColumnRenamed(source, "source_b").withColumnRenamed("s", "b").drop(collection), "source_b"
+    placed = cut_lineage(_rare_first(weighted.join(big, source), source, entity, min_shared))
+    members = placed.join(described.select(source, collection), source)
+    crowds = members.groupBy(collection, entity).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    facts = crowds.agg(F.sum(F.col("n") * F.col("n")).alias("meetings"), F.sum("n").alias("rows")).first()
+    masked = (facts["meetings"] or 0) > 2 * (len(fields) + 2) * (facts["rows"] or 0)
+    signature = F.explode(masked_signatures(fields, extra_fields) if masked else F.array(whole_signature([*fields, *extra_fields])))
+    coded = described.select(source, "__id", collection, signature.alias("m")).select(
+        source, "__id", F.col("m.mask").alias("__mask"), F.xxhash64(collection, "m.mask", "m.code").alias("__key"), F.col("m.left_out").alias("__out")
     )
+    tokens = placed.join(coded, source)
+    every = tokens.select("__key", entity, F.col(source).alias("__s"), F.col("__id").alias("__i"), "__mask", "__out", "__rare")
+    rare = tokens.where("__rare").select("__key", entity, F.col(source).alias("__t"), F.col("__id").alias("__j"), F.col("__out").alias("__other"))
+    # An entity that is rare for both is met from both sides and counted from the smaller source's.
+    met = every.join(rare, ["__key", entity]).where(
+        (F.col("__out") != F.col("__other")) & (F.col("__s") != F.col("__t")) & (~F.col("__rare") | (F.col("__s") < F.col("__t")))
+    )
+    ahead = F.col("__s") < F.col("__t")
+    met = met.groupBy(
+        F.when(ahead, F.col("__i")).otherwise(F.col("__j")).alias("__a"), F.when(ahead, F.col("__j")).otherwise(F.col("__i")).alias("__b"), "__mask"
+    ).agg(F.count(F.lit(1)).alias("__met"), F.max("__rare").alias("__both")).where("__both")
+    common = placed.where("NOT __rare").groupBy(source).agg(F.collect_list(entity).alias("__common"))
+    info = described.join(common, source, "left").select(
+        "__id", source, collection, F.struct(*fields, *extra_fields).alias("s"), F.coalesce("__common", F.array().cast(common.schema["__common"].dataType)).alias("c")
+    )
+    sides = [info.select(F.col("__id").alias(f"__{x}"), F.col(source).alias(f"source_{x}"), F.col(collection).alias(collection if x == "a" else "__collection"),
+                         F.col("s").alias(x), F.col("c").alias(f"__common_{x}")) for x in "ab"]
+    named = met.join(sides[0], "__a").join(sides[1], "__b").where(F.col(collection) == F.col("__collection"))
     diff = named.withColumn("diff", differing_fields(fields, "a", "b")).withColumn(
         "extra_diff", differing_fields(extra_fields, "a", "b") if extra_fields else F.array().cast("array<string>")
     )
-    ok = diff.where((F.size("diff") == 1) | ((F.size("diff") == 0) & (F.size("extra_diff") > 0)))
-    shared = (
-        ok.select("source_a", "source_b")
-        .join(pairs.select(F.col(source).alias("source_a"), entity), "source_a")
-        .join(pairs.select(F.col(source).alias("source_b"), entity), ["source_b", entity])
-        .groupBy("source_a", "source_b")
-        .agg(F.count(F.lit(1)).alias("n_shared"))
-        .where(F.col("n_shared") >= min_shared)
-    )
-    return ok.join(shared, ["source_a", "source_b"])
-
-
-def _rare_prefix(weighted: DataFrame, source: str, entity: str, min_shared: int) -> DataFrame:
-    """The ``size - min_shared + 1`` rarest entities of each source, in one order for all."""
+    one, none = F.size("diff") == 1, (F.size("diff") == 0) & (F.size("extra_diff") > 0)
+    if masked:
+        # Codes are hashes: the count of the mask that the pair does share.
+        one, none = one & (F.get("diff", F.lit(0)) == F.col("__mask")), none & (F.col("__mask") == "")
+    shared = F.col("__met") + F.size(F.array_intersect("__common_a", "__common_b"))
+    ok = cut_lineage(diff.where(one | none).select("source_a", "source_b", collection, "a", "b", "diff", "extra_diff", shared.alias("__shared")))
+    # A pair of sources that are described several times counts its entities as often.
+    counts = ok.groupBy("source_a", "source_b").agg(F.sum("__shared").alias("n_shared")).where(F.col("n_shared") >= min_shared)
+    return ok.drop("__shared").join(counts, ["source_a", "source_b"])
+
+
+def _rare_first(weighted: DataFrame, source: str, entity: str, min_shared: int) -> DataFrame:
+    """The entities of each source; ``__rare`` marks the ``size - min_shared + 1`` rarest, in one order for all."""
     from .ordering import positions
 
     placed = positions(weighted, "__freq", [entity], [source], "__pos")
-    return placed.where(F.col("__pos") < F.col("__size") - min_shared + 1).select(source, entity)
+    return placed.select(source, entity, (F.col("__pos") < F.col("__size") - min_shared + 1).alias("__rare"))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
