@@ -21,19 +21,43 @@ from .ordering import percentiles, value_ranks
 PAIR = ["source_a", "source_b"]
 
 
-def pair_deltas(pairs: DataFrame, records: DataFrame, source: str, entity: str, value: str, group: str | None = None) -> DataFrame:
-    """One row per pair and shared entity: both medians and their difference B − A."""
+def pair_deltas(
+    pairs: DataFrame, records: DataFrame, source: str, entity: str, value: str, group: str | None = None, collection: str | None = None
+) -> DataFrame:
+    """One row per pair and shared entity: both medians and their difference B − A.
+
+    Where ``pairs`` say the ``collection`` of both sources, sources may meet on collection and entity and are
+    then looked up among the pairs; otherwise each pair is joined to all entities of A. The way with fewer rows
+    is taken, by counting both.
+    """
     rows = records.where(F.col(value).isNotNull() & F.col(entity).isNotNull())
-    medians = median_by(rows, [source, entity], value, "m")
+    named = pairs.select(*PAIR, *([collection] if collection else []))
+    sources = named.select(F.explode(F.array(*PAIR)).alias(source)).distinct()
+    medians = cut_lineage(median_by(rows.join(sources, source, "left_semi"), [source, entity], value, "m"))
     a = medians.select(F.col(source).alias("source_a"), entity, F.col("m").alias("value_a"))
     b = medians.select(F.col(source).alias("source_b"), entity, F.col("m").alias("value_b"))
-    out = pairs.select(*PAIR).join(a, "source_a").join(b, ["source_b", entity])
+    if collection and _meetings(named, medians, source, entity, collection):
+        members = [named.select(x, collection).distinct() for x in PAIR]
+        met = a.join(members[0], "source_a").join(b.join(members[1], "source_b"), [collection, entity]).where("source_a < source_b")
+        out = named.join(met, [*PAIR, collection]).drop(collection)
+    else:
+        out = named.select(*PAIR).join(a, "source_a").join(b, ["source_b", entity])
     if group:
         groups = rows.where(clean_text(group).isNotNull()).groupBy(entity).agg(F.min(group).alias("group"))
         out = out.join(groups, entity, "left")
     return out.withColumn("delta", F.col("value_b") - F.col("value_a"))
 
 
+def _meetings(named: DataFrame, medians: DataFrame, source: str, entity: str, collection: str) -> bool:
+    """Whether fewer rows meet on collection and entity than pairs have entities of A."""
+    sizes = medians.groupBy(F.col(source).alias("source_a")).agg(F.count(F.lit(1)).alias("n"))
+    walked = named.join(sizes, "source_a").agg(F.sum("n")).first()[0] or 0
+    members = named.select(collection, F.explode(F.array(*PAIR)).alias(source)).distinct()
+    crowds = medians.join(members, source).groupBy(collection, entity).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    met = crowds.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    return met < walked
+
+
 def paired_summary(deltas: DataFrame, keys: Sequence[str] = PAIR, delta: str = "delta") -> DataFrame:
     """n, mean, median, sd, sign consistency, dominant direction, share of large differences.
 
@@ -196,7 +220,7 @@ def paired_contrasts(
     """All contrasts of one collection: matched pairs, differences, row- and group-level statistics."""
     usable = records.where(F.col(value).isNotNull())
     pairs = cut_lineage(near_signature_pairs(usable, sources, source, collection, entity, fields, extra_fields, min_shared))
-    deltas = cut_lineage(pair_deltas(pairs, usable, source, entity, value, group))
+    deltas = cut_lineage(pair_deltas(pairs, usable, source, entity, value, group, collection))
     medians = cut_lineage(cluster_medians(deltas))
     named = name_contrasts(pairs, fields, extra_fields).select(
         *PAIR, collection, "differing_field", "value_a", "value_b", "confidence"

@@ -19,7 +19,7 @@ SUMMARY = """count(d) AS n_entities, round(avg(d), 6) AS delta_mean, round(stdde
 
 
 def deltas(t):
-    return cut_lineage(c.pair_deltas(near_pairs(t), t.measurements(), "source", "entity", "value", "group"))
+    return cut_lineage(c.pair_deltas(near_pairs(t), t.measurements(), "source", "entity", "value", "group", "collection"))
 
 
 @query("c01_paired_contrasts", f"""WITH {DELTA_SQL}, gm AS (SELECT source_a, source_b, g, median(d) AS md FROM dl GROUP BY 1, 2, 3),

@@ -162,3 +162,30 @@ def test_alike_sources_are_no_candidates(spark):
     joined = records.join(sources, "source").select("source", "entity", "collection", F.inline(joins.masked_signatures(["f", "g"], ["time"])))
     other = joined.select(F.col("source").alias("other"), "entity", "collection", "mask", "code", F.col("left_out").alias("out"))
     assert joined.join(other, ["entity", "collection", "mask", "code"]).where("source < other AND left_out <> out").count() == 25
+
+
+def test_pairs_meet_by_entity_as_they_do_by_walking(spark):
+    """Deltas of sources that meet on collection and entity are those of pairs joined to all entities of A, and few rows meet."""
+    rows = [(s, e, float(s * e % 7), "g") for s in range(12) for e in range(s * 40, s * 40 + 90)]
+    records = spark.createDataFrame(rows, "source int, entity int, value double, grp string")
+    pairs = spark.createDataFrame([(s, s + 1, "c") for s in range(11)], "source_a int, source_b int, coll string")
+    met = c.pair_deltas(pairs, records, "source", "entity", "value", "grp", "coll")
+    walked = c.pair_deltas(pairs, records, "source", "entity", "value", "grp")
+    assert sorted(map(tuple, met.select(*walked.columns).collect())) == sorted(map(tuple, walked.collect()))
+    medians = records.select("source", "entity", F.col("value").alias("m"))
+    assert not c._meetings(pairs, medians, "source", "entity", "coll")
+    apart = records.withColumn("entity", F.col("entity") + F.col("source") * 50)
+    many = spark.createDataFrame([(a, b, "c") for a in range(12) for b in range(a + 1, 12)], "source_a int, source_b int, coll string")
+    assert c._meetings(many, apart.select("source", "entity", F.col("value").alias("m")), "source", "entity", "coll")
+    both = [c.pair_deltas(many, apart, "source", "entity", "value", None, x) for x in (None, "coll")]
+    assert both[0].count() == both[1].select(*both[0].columns).intersectAll(both[0]).count()
+
+
+def test_pairs_of_sources_described_twice(spark):
+    """Copies of a description count the shared entities again; a second description of a source is a row of its own."""
+    records = spark.createDataFrame([(s, e) for s in (1, 2, 3) for e in range(25)], "source int, entity int")
+    rows = [(1, "c", "x", 1, 0), (1, "c", "x", 1, 0), (2, "c", "y", 1, 0), (3, "c", "y", 2, 0), (3, "d", "x", 2, 0)]
+    sources = spark.createDataFrame(rows, "source int, collection string, f string, g int, time int")
+    got = near_signature_pairs(records, sources, "source", "collection", "entity", ["f", "g"], ["time"], 20)
+    assert sorted((r.source_a, r.source_b, r.collection, r["diff"], r.n_shared) for r in got.collect()) == [
+        (1, 2, "c", ["f"], 50), (1, 2, "c", ["f"], 50), (2, 3, "c", ["g"], 25)]
