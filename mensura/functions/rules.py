@@ -6,7 +6,9 @@ flag asks the JVM for the same one. A field is a struct of value, evidence and c
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,44 @@ def java(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iU)" if ignore_case else "(?U)") + pattern
 
 
+def required_words(pattern: str) -> list[str]:
+    """ASCII texts of which every match of ``pattern`` holds at least one; empty where none can be told."""
+    kinds = re._constants
+
+    def of(items) -> list[str]:
+        choices, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            if op is kinds.LITERAL and arg < 128:
+                run += chr(arg)
+                continue
+            choices.append([run] if run else [])
+            run = ""
+            if op is kinds.SUBPATTERN:
+                choices.append(of(arg[-1]))
+            elif op is kinds.BRANCH:
+                parts = [of(b) for b in arg[1]]
+                choices.append([w for p in parts for w in p] if all(parts) else [])
+            elif op in (kinds.MAX_REPEAT, kinds.MIN_REPEAT) and arg[0] >= 1:
+                choices.append(of(arg[2]))
+        return max((c for c in choices if c), key=lambda c: min(map(len, c)), default=[])
+
+    return list(dict.fromkeys(of(re._parser.parse(pattern))))
+
+
+# Letters outside ASCII that match one of it where case is ignored: long s, dotless i, I with dot, Kelvin sign.
+FOLDED = "\u017f\u0131\u0130\u212a"
+
+
 def found(text: Column, pattern: str, ignore_case: bool = True) -> Column:
-    return F.coalesce(text.rlike(java(pattern, ignore_case)), F.lit(False))
+    """Whether ``pattern`` occurs; only texts that hold a word which it needs are scanned for it."""
+    hit = text.rlike(java(pattern, ignore_case))
+    words = required_words(pattern)
+    if words:
+        low = F.lower(text) if ignore_case else text
+        hints = [low.contains(w.lower() if ignore_case else w) for w in words]
+        hints += [text.contains(x) for x in FOLDED] if ignore_case else []
+        hit = reduce(lambda x, y: x | y, hints) & hit
+    return F.coalesce(hit, F.lit(False))
 
 
 def matched_labels(text: Column, rules: Sequence[Rule], ignore_case: bool = False) -> Column:
@@ -70,13 +108,12 @@ def evidence_of(text: Column, pattern: str, ignore_case: bool = True) -> Column:
 
     Lengths are taken from extracted text, hence in characters, also beyond the BMP.
     """
-    flags = "iU" if ignore_case else "U"
     whole = java(f"(?s)^(.*?)((?-s){pattern})", ignore_case)
     head = F.length(F.regexp_extract(text, whole, 1))
     match = F.length(F.regexp_extract(text, whole, 2))
     lead = F.least(head, F.lit(EVIDENCE_MARGIN))
     window = F.substring(text, head - lead + 1, lead + match + EVIDENCE_MARGIN)
-    return F.when(text.rlike(f"(?{flags}){pattern}"), strip(F.translate(window, "\n", " ")))
+    return F.when(found(text, pattern, ignore_case), strip(F.translate(window, "\n", " ")))
 
 
 def extract_field(text: Column, pattern: str, group: int = 1, ignore_case: bool = True) -> Column:
@@ -97,6 +134,7 @@ def extract_value(text: Column, pattern: str, group: int = 1, ignore_case: bool
 def extract_all(text: Column, pattern: str, group: int = 1, normalize=None) -> Column:
     """Sorted distinct matches as an array; ``normalize`` maps one match to its stored form."""
     hits = F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(group))
+    hits = F.when(text.isNull() | found(text, pattern), hits).otherwise(F.array().cast("array<string>"))
     if normalize is not None:
         hits = F.transform(hits, normalize)
     return F.array_sort(F.array_distinct(hits))

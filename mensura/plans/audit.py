@@ -12,7 +12,7 @@ from ..functions.rulebook import MANUAL_DEFAULTS, PRIORITY_ORDER, keyword_rules
 from ..functions.rules import keyword_matrix
 from ..operators import aggregate, joins
 from ..operators.ordering import order_by_map
-from ..session import cut_lineage
+from ..session import cut_lineage, spread_wide
 
 SEARCHED = ("description", "organism", "cell_type", "tissue", "label", "variant_mutation")
 CANDIDATES = ("candidate_signal_trigger", "candidate_functional_direction", "candidate_strict")
@@ -34,8 +34,10 @@ def annotate(sources: DataFrame, rulebook: Mapping[str, Sequence[tuple[str, str]
         return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in sources.columns else F.lit("")
 
     functional = (F.upper(col("type")) == "F") | F.lower(col("label")).contains("functional")
+    # A lone description is the searched text, which is normalised once.
+    length = F.length("search_text") if available == ["description"] else F.length(c.normalize_text(col("description")))
     out = out.withColumns({
-        "description_length": F.length(c.normalize_text(col("description"))),
+        "description_length": length,
         "flag_functional_metadata": functional,
     }).withColumn("flag_sparse_description", F.col("description_length") < 25)
     flags = c.candidate_flags(
@@ -53,7 +55,8 @@ def audit(
     """Review-ready source table and the flag coverage summary."""
     rows = usable_records(records, source, entity)
     counts = aggregate.source_aggregate(rows, source, entity, value if value in rows.columns else None, year if year in rows.columns else None)
-    joined = joins.one_to_one_left(counts, sources, [source])
+    # Counts are few bytes and would leave the scan of the texts to few tasks.
+    joined = spread_wide(joins.one_to_one_left(counts, sources, [source]), source)
     rulebook = keyword_rules(symbol)
     table = annotate(joined, rulebook)
     if prior is not None:

@@ -92,3 +92,40 @@ def test_signature_and_priority(spark):
     df = spark.createDataFrame(cases, "n int, a int, u int")
     got = [v.p for v in df.select(r.review_priority(F.col("n"), F.col("a"), F.col("u")).alias("p")).collect()]
     assert got == ["critical", "high", "high", "medium", "medium", "low"]
+
+
+def test_required_words_lose_no_match(spark):
+    """Every pattern finds the same texts with and without the words it needs, also where letters outside ASCII fold to it."""
+    from mensura.functions.rulebook import keyword_rules, protocol_patterns
+    from mensura.functions.rules import found, java, required_words
+
+    assert required_words(r"\bcalcium[ -]flux\b") == ["calcium"]
+    assert required_words(r"\bmutant\b|\b[A-Z]\d{2,4}[A-Z]\b") == []
+    assert required_words(r"x?(?:ab)*") == []
+    flat, stack = [], [list(keyword_rules("XYZ1").values()), list(protocol_patterns("XYZ1").values())]
+    while stack:
+        one = stack.pop()
+        stack.extend(one) if isinstance(one, (list, tuple)) else flat.append(one)
+    patterns = sorted(set(flat))
+    texts = ["", "Calcium FLUX by FLIPR", "Kelvin patıent", "CALCİUM", "ca 2+ a whole cell", "Mouse r XYZ1 hXYZ1 rat", "epſilon before adding",
+             "blocKed by a cho-k1 F-11 H2O2", "WILD type µM EC 50 concentration", "agoniſt evoKed", "at patch clamp muſtard oil", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    for ignore in (True, False):
+        got = df.select(*[found(t, p, ignore).alias(f"a{i}") for i, p in enumerate(patterns)],
+                        *[F.coalesce(t.rlike(java(p, ignore)), F.lit(False)).alias(f"b{i}") for i, p in enumerate(patterns)]).collect()
+        for row in got:
+            assert row[: len(patterns)] == row[len(patterns):]
+        assert any(row[i] for row in got for i in range(len(patterns)))
+
+
+def test_audit_scans_texts_in_all_partitions(spark):
+    """The join with small counts does not leave the scan of the texts to one task."""
+    from mensura.plans.audit import audit
+
+    docs = spark.range(200).select(F.col("id").cast("string").alias("source_id"), F.lit("calcium flux").alias("description"))
+    table, _ = audit(docs.select("source_id", F.lit("e").alias("entity_id")), docs, "XYZ1")
+    assert table.count() == 200 and table.where("flag_calcium AND description_length = 12").count() == 200
+    from mensura.session import spread_wide
+
+    assert spread_wide(docs.limit(5), "source_id").rdd.getNumPartitions() >= 8
