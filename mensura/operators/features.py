@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import HashingTF, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +27,23 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
-def fingerprint(df: DataFrame, text: str, out: str = "fingerprint", bits: int = FINGERPRINT_BITS, longest: int = 3) -> DataFrame:
-    """Binary hashed fingerprint: each token with its neighbourhood of up to ``longest`` tokens."""
+def fingerprint(df: DataFrame, text: str, out: str = "fingerprint", bits: int = FINGERPRINT_BITS, longest: int = 3,
+                count: str | None = None) -> DataFrame:
+    """Binary hashed fingerprint: each token with its neighbourhood of up to ``longest`` tokens; ``count`` names a
+    column for the number of distinct ones (0 without text)."""
     grams = F.array_distinct(F.concat(*[ngrams(F.col("__tok"), n) for n in range(1, longest + 1)]))
     staged = df.withColumn("__tok", tokens(text)).withColumn("__grams", grams)
     hashed = HashingTF(numFeatures=bits, binary=True, inputCol="__grams", outputCol=out).transform(staged)
+    if count:
+        hashed = hashed.withColumn(count, F.coalesce(F.size("__grams"), F.lit(0)).cast("long"))
     return hashed.drop("__tok", "__grams")
 
 
+def on_bits(vector: Column | str) -> Column:
+    """Number of entries of a vector that are not 0."""
+    return F.size(F.array_remove(vector_to_array(vector, "float32"), F.lit(0.0).cast("float")))
+
+
 DESCRIPTORS = (
     "n_chars", "n_tokens", "n_lines", "digit_share", "upper_share", "punct_share", "blank_share", "accent_share",
     "vowel_share", "mean_token", "longest_token", "distinct_share", "short_share", "long_share", "lines_per_kchar",

@@ -17,18 +17,13 @@ TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lam
 def fingerprint(t):
     """Distinct token neighbourhoods of each document, and whether the on-bits are as many as so many hashes
     into 2,048 places set, within six standard deviations."""
-    from pyspark.ml.functions import vector_to_array
-
-    out = f.fingerprint(t.texts().select("doc_id", "text"), "text")
-    bits = F.aggregate(vector_to_array("fingerprint"), F.lit(0.0), lambda a, x: a + x)
-    words = f.tokens(F.coalesce("text", F.lit("")))
-    grams = F.size(F.array_distinct(F.concat(*[f.ngrams(F.col("w"), n) for n in (1, 2, 3)])))
+    texts = t.texts().select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = f.fingerprint(texts, "text", count="n_grams").select("doc_id", "n_grams", f.on_bits("fingerprint").cast("double").alias("b"))
     places, n = F.lit(float(f.FINGERPRINT_BITS)), F.col("n_grams")
     empty = places * F.pow(1 - 1 / places, n)
     sd = F.sqrt(F.least(empty, n * n / (2 * places)) + 1)
-    counted = out.withColumn("w", words).select("doc_id", grams.cast("long").alias("n_grams"), bits.alias("b"))
     fits = (F.col("b") <= n) & (F.abs(F.col("b") - (places - empty)) <= 6 * sd)
-    return counted.select("doc_id", "n_grams", fits.alias("bits_as_hashed"))
+    return out.select("doc_id", "n_grams", fits.alias("bits_as_hashed"))
 
 
 def kept_sql(cls: str) -> str:
