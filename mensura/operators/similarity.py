@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-#: Training rows of a block, and test rows that visit it in one task.
-BLOCK_ROWS, VISIT_ROWS = 10_000, 1_000
+#: Training rows of a block, and test rows that visit it in one task. A block goes to as many tasks as test rows fill, and a
+#: test row to the blocks it visits, so both decide how much is moved.
+BLOCK_ROWS, VISIT_ROWS = 50_000, 100_000
 #: Bits read before the best score is looked at again.
 FIRST_BITS = 4
 
@@ -102,6 +103,8 @@ def max_similarity(test: DataFrame, train: DataFrame, key: str, bit_set: str, bi
     kind = train.schema[key].dataType.simpleString()
     clean = F.array_distinct(F.filter(F.coalesce(F.col(bit_set).cast("array<int>"), F.array().cast("array<int>")),
                                       lambda b: b.isNotNull() & (b >= 0) & (b < bits)))
+    if bits <= 1 << 15:
+        clean = clean.cast("array<smallint>")
     train = train.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), clean.alias("set")).where(F.size("set") > 0)
     train = cut_lineage(train.withColumn("n", F.size("set")))
     test = cut_lineage(test.select(F.col(key).alias("own"), clean.alias("set"), F.monotonically_increasing_id().alias("row"))
@@ -127,12 +130,13 @@ def max_similarity(test: DataFrame, train: DataFrame, key: str, bit_set: str, bi
         by_size = F.broadcast(places)  # one row per set size
         spread = F.col("home_from") + F.pmod(F.xxhash64("key"), F.col("home_to") - F.col("home_from") + 1).cast("int")
         blocks = cut_lineage(train.join(by_size, train["n"] == places["size"]).withColumn("block", spread).select("key", "set", "block"))
-        salts = max(1, -(-test.count() // VISIT_ROWS))
+        # Few blocks are cut into more visits, so that all cores have some.
+        salts = max(1, -(-test.count() // VISIT_ROWS), -(-3 * spark.sparkContext.defaultParallelism // (last + 1)))
         home = F.col("home_from") + F.pmod(F.xxhash64("row"), F.col("home_to") - F.col("home_from") + 1).cast("int")
         asked = test.where("n > 0")
         visits = asked.join(by_size, asked["n"] == places["size"]).select(
             "row", "set", "n", home.alias("block"), home.alias("home"), F.lit(0.0).alias("score"))
-        best = _round(visits, blocks, salts, bits, out_type)
+        best = _round(visits, blocks, last + 1, salts, bits, out_type)
         homes = visits.select("row", "home")
         left = asked.join(best.select("row", "score"), "row", "left").fillna(0.0, ["score"]).join(homes, "row")
         low = F.greatest(F.lit(1), F.ceil(F.col("score") * F.col("n") - 1e-9)).cast("int")
@@ -142,7 +146,7 @@ def max_similarity(test: DataFrame, train: DataFrame, key: str, bit_set: str, bi
         left = left.join(by_size.select(F.col("size").alias("high"), F.col("to_block").alias("block_to")), "high")
         left = left.where("block_from <= block_to").withColumn("block", F.explode(F.sequence("block_from", "block_to")))
         left = left.where("block <> home").select("row", "set", "n", "block", "home", "score")
-        more = _round(left, blocks, salts, bits, out_type)
+        more = _round(left, blocks, last + 1, salts, bits, out_type)
         best = best.union(more).groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("least"), "nearest")).alias("b"))
         best = best.select("row", (-F.col("b.least")).alias("score"), "b.nearest")
     out = test.join(best, "row", "left")
@@ -162,11 +166,14 @@ def _blocks(sizes: dict[int, int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _round(visits: DataFrame, blocks: DataFrame, salts: int, bits: int, out_type: str) -> DataFrame:
+def _round(visits: DataFrame, blocks: DataFrame, spread: int, salts: int, bits: int, out_type: str) -> DataFrame:
     """The best row of each visited block; many test rows visit it in several tasks."""
     visits = visits.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    tasks = max(8, min(2000, 2 * spread * salts))
     blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = blocks.groupBy("block", "salt").cogroup(visits.groupBy("block", "salt"))
+    # A set number of partitions, which adaptive execution does not merge: groups are small data but long work.
+    pairs = blocks.repartition(tasks, "block", "salt").groupBy("block", "salt").cogroup(
+        visits.repartition(tasks, "block", "salt").groupBy("block", "salt"))
     return cut_lineage(pairs.applyInPandas(_search(bits), out_type))
 
 
