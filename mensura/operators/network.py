@@ -24,8 +24,9 @@ from ..session import scratch_path
 CHUNK = 512
 #: Lanes of a batch hold about so many rows; there are at most LANES of them, and so many partial sums at a time.
 LANE_ROWS = 4096
-LANES = 1024
-GROUPS = 32
+LANES = 24
+#: Pieces of a gradient that are added up apart.
+GROUPS = 8
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -93,8 +94,12 @@ def logistic(f: np.ndarray) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, weights: np.ndarray, sizes: Sequence[int], dropout: float, seed: int, lanes: int) -> np.ndarray:
-    """[loss, number of rows, gradient] over ``rows`` (lane, h, y, n, x)."""
-    spark = rows.sparkSession
+    """[loss, number of rows, gradient] over ``rows`` (lane, h, y, n, x).
+
+    Lanes add up in double precision and hand over slices of single precision, which are added up over lanes slice by
+    slice: the driver gets one gradient, whatever the number of lanes.
+    """
+    spark, groups = rows.sparkSession, GROUPS
     sent = spark.sparkContext.broadcast(weights)  # as large as the network, whatever the number of rows
 
     def tasks(batches):
@@ -116,34 +121,41 @@ def _summed(rows: DataFrame, weights: np.ndarray, sizes: Sequence[int], dropout:
                         sums[one] = [int(h[at[0]]), part]
                         # A task may read several lanes; it holds one sum, since lanes come one after the other.
                         for done in [k for k in sums if k != one]:
-                            yield _batch(done, *sums.pop(done))
+                            yield _batch(done, *sums.pop(done), groups)
         for k, (first, part) in sums.items():
-            yield _batch(k, first, part)
+            yield _batch(k, first, part, groups)
 
     def several(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["lane", "first"])
-        return pd.DataFrame({"lane": frame["lane"].iloc[:1], "first": frame["first"].iloc[:1], "sums": [_total(frame["sums"])]})
+        out = frame.iloc[:1].copy()
+        out["loss"], out["n"], out["sums"] = frame["loss"].sum(), frame["n"].sum(), [_total(frame["sums"]).astype("<f4").tobytes()]
+        return out
 
-    form = "lane int, first long, sums binary"
+    form = "lane int, first long, slice int, loss double, n double, sums binary"
     parts = rows.select("lane", "h", "y", "n", "x").mapInArrow(tasks, form)
-    if lanes > GROUPS:
-        parts = parts.groupBy(F.pmod("lane", F.lit(GROUPS))).applyInPandas(several, form)
-    got = sorted(parts.toArrow().to_pylist(), key=lambda r: (r["lane"], r["first"]))
+    if lanes > 1:
+        parts = parts.groupBy("slice").applyInPandas(several, form)
+    got = sorted(parts.toArrow().to_pylist(), key=lambda r: (r["slice"], r["lane"], r["first"]))
     sent.destroy()
-    return np.frombuffer(_total([r["sums"] for r in got]), "<f8")
+    slices = [_total([r["sums"] for r in got if r["slice"] == i]) for i in range(groups)]
+    return np.concatenate([[sum(r["loss"] for r in got), sum(r["n"] for r in got)], *slices])
 
 
-def _batch(lane: int, first: int, part: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([int(lane)], pa.int32()), pa.array([first], pa.int64()), pa.array([part.astype("<f8").tobytes()], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["lane", "first", "sums"])
+def _batch(lane: int, first: int, part: np.ndarray, groups: int) -> pa.RecordBatch:
+    """The sums of a lane, one row per slice of the gradient; loss and number of rows go with the first."""
+    pieces = [p.astype("<f4").tobytes() for p in np.array_split(part[2:], groups)]
+    head = [[float(v)] + [0.0] * (groups - 1) for v in part[:2]]
+    columns = [pa.array([int(lane)] * groups, pa.int32()), pa.array([first] * groups, pa.int64()), pa.array(range(groups), pa.int32()),
+               pa.array(head[0], pa.float64()), pa.array(head[1], pa.float64()), pa.array(pieces, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["lane", "first", "slice", "loss", "n", "sums"])
 
 
-def _total(parts) -> bytes:
+def _total(parts) -> np.ndarray:
     total = None
     for p in parts:
-        values = np.frombuffer(p, "<f8")
-        total = values.copy() if total is None else total + values
-    return total.astype("<f8").tobytes()
+        values = np.frombuffer(p, "<f4").astype(float)
+        total = values if total is None else total + values
+    return total
 
 
 def known_array(vector: str, kind: str = "float64") -> Column:
