@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -182,14 +182,16 @@ def model_grid(
 
 def impurity_importance(
     data: DataFrame, folds: DataFrame, key: str, names: Sequence[str], estimator: Callable[[str], Estimator],
-    features: str = "features",
+    features: str = "features", fitted: dict[int, Model] | None = None,
 ) -> DataFrame:
-    """Mean and population sd of a tree model's importances over folds."""
+    """Mean and population sd of a tree model's importances over folds; ``fitted`` receives the model of each fold."""
     rows = cut_lineage(folds.where(F.col("partition") == 0).select(key, "fold").join(data, key))
     n_folds = int(rows.agg(F.max("fold")).first()[0]) + 1
 
     def one(fold: int) -> list[tuple[str, int, float]]:
         model = estimator(features).fit(rows.where(F.col("fold") != fold))
+        if fitted is not None:
+            fitted[fold] = model
         return [(n, fold, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
 
     with ThreadPool(min(4, n_folds)) as pool:
@@ -242,11 +244,12 @@ def permuted_copies(test: DataFrame, key: str, values: str, size: int, repeats:
 
 def permutation_importance(
     data: DataFrame, folds: DataFrame, key: str, y: str, values: str, names: Sequence[str],
-    estimator: Callable[[str], Estimator], repeats: int = 10, seed: int = SEED,
+    estimator: Callable[[str], Estimator], repeats: int = 10, seed: int = SEED, fitted: Mapping[int, Model] | None = None,
 ) -> DataFrame:
     """Loss of R² on the held-out fold when one feature is shuffled; mean and sd over folds.
 
-    ``values`` is an array column. All features and repeats of a fold are scored in one job.
+    ``values`` is an array column. All features and repeats of a fold are scored in one job. ``fitted`` may hold the
+    models of these folds, fitted to the same values in a column ``features``; a fold without one is fitted here.
     """
     vector = "features"
     rows = cut_lineage(
@@ -258,7 +261,7 @@ def permutation_importance(
         def vec(df: DataFrame) -> DataFrame:
             return df.withColumn(vector, array_to_vector(F.col(values)))
 
-        model = estimator(vector).fit(vec(rows.where(F.col("fold") != fold)))
+        model = (fitted or {}).get(fold) or estimator(vector).fit(vec(rows.where(F.col("fold") != fold)))
         test = rows.where(F.col("fold") == fold)
         base = regression_metrics(model.transform(vec(test)), [], "y", "y_pred").select(F.col("r2")).first()["r2"]
         shuffled = model.transform(vec(permuted_copies(test, key, values, len(names), repeats, seed + fold)))

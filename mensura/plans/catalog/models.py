@@ -246,9 +246,10 @@ def ranked_importance(t):
 
     rows = cut_lineage(described(t).withColumn("x", vector_to_array("features")))
     folds = cut_lineage(group_kfold(rows, "doc_id", "grp", 3))
+    models = {}  # the same forest, folds and features for both importances
     out = m.ranked_importance(
-        m.impurity_importance(rows, folds, "doc_id", INPUTS, lambda v: m.forest_regressor(10, 5, v)),
-        m.permutation_importance(rows, folds, "doc_id", "y", "x", INPUTS, lambda v: m.forest_regressor(10, 5, v), repeats=10),
+        m.impurity_importance(rows, folds, "doc_id", INPUTS, lambda v: m.forest_regressor(10, 5, v), fitted=models),
+        m.permutation_importance(rows, folds, "doc_id", "y", "x", INPUTS, lambda v: m.forest_regressor(10, 5, v), repeats=10, fitted=models),
         m.feature_associations(rows, INPUTS, "y"),
     )
     ranked = F.col("impurity_rank").between(1, len(INPUTS)) & F.col("permutation_rank").between(1, len(INPUTS))
