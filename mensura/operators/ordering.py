@@ -192,13 +192,15 @@ def value_ranks(
     keys: Sequence[str] = (),
     extra: Mapping[str, Column] | None = None,
     running: Sequence[str] = (),
+    large: bool | None = None,
 ) -> DataFrame:
     """One row per distinct (keys, value): ``n``, ``n_before``, ``n_total`` and ``avg_rank``.
 
     Missing values and missing keys take no part. ``extra`` aggregates further columns at
     the same level; those named in ``running`` get their own ``_before`` and ``_total``.
     Tied rows share the mean of the ranks they cover. The largest group is measured first:
-    up to ``WINDOW_ROWS`` a window per group numbers the values, beyond it slots do.
+    up to ``WINDOW_ROWS`` a window per group numbers the values, beyond it slots do. ``large`` says what a
+    caller has already measured.
     """
     keys = list(keys)
     rows = _usable(df, value, keys)
@@ -206,7 +208,9 @@ def value_ranks(
         F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (extra or {}).items()]
     )
     measures = ["n", *running]
-    if largest_group(rows, keys) <= WINDOW_ROWS:
+    if large is None:
+        large = largest_group(rows, keys) > WINDOW_ROWS
+    if not large:
         group = Window.partitionBy(*(keys or [F.lit(0)]))
         earlier = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         out = counted.select(

@@ -149,3 +149,37 @@ def test_number_of_hash_slots_changes_nothing(spark, monkeypatch):
         folds = s.group_kfold(df, "id", "g", 5)
         found.append((sorted(map(tuple, order.collect())), sorted(map(str, folds.collect()))))
     assert found[0] == found[1] == found[2]
+
+
+def test_ranks_of_few_values_are_sent_to_the_rows(spark, slots_only, monkeypatch):
+    """In large groups no rank is joined to the rows by a shuffle, unless all columns have many values; the sums agree."""
+    import numpy as np
+
+    from mensura.operators import metrics
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b"], 600), "x": rng.integers(0, 9, 600).astype(float), "y": rng.normal(size=600).round(2), "z": rng.integers(1, 5, 600)})
+    pdf["y"] += pdf["x"] / 5
+    pdf.loc[:5, "x"] = None
+    df = spark.createDataFrame(pdf)
+    want = {}
+    for k, part in pdf.dropna().groupby("k"):
+        r = part[["x", "y", "z"]].rank().corr()
+        xy, xz, yz = r.loc["x", "y"], r.loc["x", "z"], r.loc["y", "z"]
+        want[k] = (len(part), xy, xz, yz, (xy - xz * yz) / np.sqrt((1 - xz**2) * (1 - yz**2)))
+
+    def check():
+        got = metrics.partial_spearman(df, ["k"], "x", "y", "z").select("k", "n", "rho_xy", "rho_xz", "rho_yz", "partial").collect()
+        assert {r[0]: pytest.approx(tuple(r)[1:], abs=1e-9) for r in got} == {k: v for k, v in want.items()}
+        assert metrics.spearman(df, ["k"], "y", "x").count() == 2
+
+    def refused(*_):
+        raise AssertionError("joined to large tables")
+
+    with monkeypatch.context() as m:
+        m.setattr(metrics, "joint_ranks", refused)
+        check()
+    monkeypatch.setattr(metrics, "BROADCAST_ROW_LIMIT", 2)
+    check()
+    constant = metrics.spearman(df.withColumn("z", F.lit(1)), ["k"], "y", "z").collect()
+    assert [r.rho for r in constant] == [None, None]
