@@ -91,3 +91,20 @@ def test_odd_training_rows(spark):
     assert all((r.probability is None) == (r.k % 5 == 0) == (r.prediction is None) for r in out) and len(out) == 40
     empty = spark.createDataFrame([], "k long, x array<double>").withColumn("features", array_to_vector("x"))
     assert net.fit(rows).transform(empty).count() == 0
+
+
+def test_a_step_sends_one_gradient_to_the_driver(spark, monkeypatch):
+    """Whatever the number of lanes, a step brings one number of single precision per weight."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(network, "LANE_ROWS", 4)
+    got, real = [], DataFrame.toArrow
+
+    def counted(self):
+        table = real(self)
+        got.append(sum(len(x) for x in table.column("sums").to_pylist()))
+        return table
+
+    monkeypatch.setattr(DataFrame, "toArrow", counted)
+    network.DropoutNetwork("k", hidden=(40,), epochs=2, batches=2).fit(ring(spark, 200))
+    assert got == [4 * (2 * 40 + 40 + 40 + 1)] * 4

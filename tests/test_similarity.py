@@ -66,3 +66,19 @@ def test_bands_and_hashed_bits(spark):
     bits = spark.createDataFrame([(["b", "a", "b"],), ([],)], "w array<string>").select(similarity.hashed_bits(F.col("w"), 64).alias("b"))
     first, second = (r.b for r in bits.collect())
     assert first == sorted(set(first)) and len(first) == 2 and all(0 <= x < 64 for x in first) and second == []
+
+
+def test_blocks_go_to_few_tasks():
+    """A block is copied for every ``VISIT_ROWS`` test rows, a test row for every block it visits: both are large."""
+    assert similarity.VISIT_ROWS >= 100_000 and similarity.BLOCK_ROWS >= 50_000
+
+
+def test_few_training_rows_use_all_cores(spark):
+    """One small block is visited in several tasks, which adaptive execution does not merge."""
+    rows = spark.range(400).select(F.col("id").alias("k"), F.array((F.col("id") % 31).cast("int"), (F.col("id") % 7 + 40).cast("int")).alias("b"))
+    out = similarity.max_similarity(rows.where("k >= 200"), rows.where("k < 200"), "k", "b", 64)
+    assert out.where("similarity = 1.0 AND nearest % 31 = k % 31 AND nearest % 7 = k % 7").count() == out.where("similarity = 1.0").count() > 0
+    visits = rows.select(F.col("k").alias("row"), F.col("b").alias("set"), F.lit(0).alias("block"), F.lit(0.0).alias("score"))
+    blocks = rows.select(F.col("k").alias("key"), F.col("b").alias("set"), F.lit(0).alias("block"))
+    best = similarity._round(visits, blocks, 1, 24, 64, "row long, score double, nearest long")
+    assert best.rdd.getNumPartitions() >= 24 and best.count() == 400
