@@ -31,7 +31,8 @@ def java(pattern: str, ignore_case: bool = True) -> str:
 
 
 def required_words(pattern: str) -> list[str]:
-    """ASCII texts of which every match of ``pattern`` holds at least one; empty where none can be told."""
+    """ASCII texts of which every match of ``pattern`` holds at least one; empty where none can be told, as with
+    inline flags, nested classes or what only Java's patterns know."""
     kinds = re._constants
 
     def of(items) -> list[str]:
@@ -51,7 +52,12 @@ def required_words(pattern: str) -> list[str]:
                 choices.append(of(arg[2]))
         return max((c for c in choices if c), key=lambda c: min(map(len, c)), default=[])
 
-    return list(dict.fromkeys(of(re._parser.parse(pattern))))
+    if re.search(r"\(\?[a-zA-Z-]|&&|\[[^\]]*\[", pattern):
+        return []
+    try:
+        return list(dict.fromkeys(of(re._parser.parse(pattern))))
+    except re.error:
+        return []
 
 
 # Letters outside ASCII that match one of it where case is ignored: long s, dotless i, I with dot, Kelvin sign.

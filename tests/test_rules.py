@@ -102,6 +102,7 @@ def test_required_words_lose_no_match(spark):
     assert required_words(r"\bcalcium[ -]flux\b") == ["calcium"]
     assert required_words(r"\bmutant\b|\b[A-Z]\d{2,4}[A-Z]\b") == []
     assert required_words(r"x?(?:ab)*") == []
+    assert [required_words(p) for p in (r"(?i)abc", r"\p{L}abc", r"[a&&[^b]]c", r"a(?-i:b)")] == [[]] * 4
     flat, stack = [], [list(keyword_rules("XYZ1").values()), list(protocol_patterns("XYZ1").values())]
     while stack:
         one = stack.pop()
