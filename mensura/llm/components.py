@@ -12,20 +12,14 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b long): root is the smallest node it reaches.
 
     Each round links every node to the smallest of its neighbours, first for the larger and then
-    for the smaller ones, until the links stop changing; rounds grow with the logarithm of the
-    nodes. Links stay distributed; each round is written to the shared folder. Links of a node
-    with itself and repeated links do nothing; no links give no rows.
+    for the smaller ones, until every node has one link, to its root; rounds grow with the logarithm
+    of the nodes. Links stay distributed; each round is written to the shared folder. Links of a node
+    with itself and repeated links do nothing; no links give no rows. Given the result for some links
+    and further links, it goes on from there: only what the further ones connect takes rounds.
     """
     high, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges = stored(links.where("a <> b").select(high, low).distinct(), "links")
-    mark = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or now[0] == 0:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                edges.select(F.col("v"), F.col("v")).distinct()
-            )
-        mark = now
+    while not _are_stars(edges):
         both = edges.union(edges.select("v", "u"))
         lowest = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         large = both.join(lowest, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -33,3 +27,13 @@ def components(links: DataFrame) -> DataFrame:
         lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(lowest).distinct(), "small")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+        edges.select(F.col("v"), F.col("v")).distinct()
+    )
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node of ``edges`` (u > v, distinct) has one smaller neighbour and no larger one, or only larger ones."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("all"))
+    return nodes.where("up > 0 and all > 1").agg(F.count("*")).first()[0] == 0

@@ -284,10 +284,10 @@ def _classes(docs: DataFrame, row: str, text: str, width: int, num: int, den: in
     stars = _pair(shared.select("key", "n", "pos", "pkey", "pn", "ppos").union(heads)).where("a <> b")
     stars = stars.where(_similar_length(num, den)).where(_reachable(possible, num, den))
     tried = stored(stars.select("a", "b", "na", "nb").distinct(), "tried")
-    links = _verified(docs, nodes, tried, width, num, den)
+    roots = components(_verified(docs, nodes, tried, width, num, den))
 
     # Sets outside their n-gram's main component meet a member of it that is drawn for the n-gram.
-    rows_left = _open(shared.select("gram", "key", "n", "pos").distinct(), links)
+    rows_left = _open(shared.select("gram", "key", "n", "pos").distinct(), roots)
     for turn in range(DRAWN_ROUNDS):
         drawn = rows_left.where("root = main").groupBy("gram").agg(
             F.min_by(F.struct("key", "n", "pos"), F.xxhash64("gram", "key", F.lit(turn))).alias("p"))
@@ -297,8 +297,8 @@ def _classes(docs: DataFrame, row: str, text: str, width: int, num: int, den: in
         drawn = drawn.select("a", "b", "na", "nb").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
         drawn = stored(drawn, "tried")
         tried = tried.union(drawn)
-        links = links.union(_verified(docs, nodes, drawn, width, num, den))
-        rows_left = _open(rows_left.select("gram", "key", "n", "pos"), links, nodes if turn == DRAWN_ROUNDS - 1 else None)
+        roots = components(roots.union(_verified(docs, nodes, drawn, width, num, den)).toDF("a", "b"))
+        rows_left = _open(rows_left.select("gram", "key", "n", "pos"), roots, nodes if turn == DRAWN_ROUNDS - 1 else None)
 
     # Whatever still lies in different components and shares a prefix n-gram. Of the smaller set (of equal
     # ones, that of the smaller key) a shorter prefix does.
@@ -319,10 +319,9 @@ def _classes(docs: DataFrame, row: str, text: str, width: int, num: int, den: in
     across = rows_left.join(minor, "gram").where(
         (F.col("root") != F.col("proot")) & near & both_minor & in_short & reach & alike & ~met_before)
     across = _pair(across).select("a", "b", "na", "nb").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(docs, nodes, across, width, num, den)
+    roots = components(roots.union(_verified(docs, nodes, across, width, num, den)).toDF("a", "b"))
 
-    roots = stored(components(links.union(more)), "roots").withColumnRenamed("node", "key")
-    placed = nodes.select("key", "row").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = nodes.select("key", "row").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = stored(placed.groupBy("root").agg(F.min("row").alias("component_id")), "least")
     placed = stored(placed.join(least, "root").select("key", "root", "component_id"), "classes")
     out = rows.select("row", "n", "key").join(placed, "key", "left")
@@ -330,13 +329,13 @@ def _classes(docs: DataFrame, row: str, text: str, width: int, num: int, den: in
     return out.select("row", "n", "key", "root", component.alias("component_id"))
 
 
-def _open(rows: DataFrame, links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Those of ``rows`` (gram, key, n, pos) whose n-gram is still shared by several components, with the
-    component and the one that most of the n-gram's sets are in; with the folded map if ``nodes`` has it."""
-    roots = components(links).withColumnRenamed("node", "key")
+def _open(rows: DataFrame, roots: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Those of ``rows`` (gram, key, n, pos) whose n-gram is still shared by several components (``roots``: node, root),
+    with the component and the one that most of the n-gram's sets are in; with the folded map if ``nodes`` has it."""
+    roots = roots.withColumnRenamed("node", "key")
     if nodes is not None:
         roots = nodes.select("key", "folded").join(roots, "key", "left")
-    placed = rows.join(stored(roots, "roots"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     placed = stored(placed, "placed")
     main = placed.groupBy("gram", "root").agg(F.count("*").alias("c")).groupBy("gram").agg(
         F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("gram", "main")
@@ -344,7 +343,7 @@ def _open(rows: DataFrame, links: DataFrame, nodes: DataFrame | None = None) ->
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that the suffix filter leaves and the whole sets confirm."""
+    """The pairs (a, b) that the suffix filter leaves and the whole sets confirm, confirmed anew at each use."""
     parts = nodes.select("key", "parity")
     pairs = pairs.join(parts.toDF("a", "parts_a"), "a").join(parts.toDF("b", "parts_b"), "b")
     pairs = pairs.select("a", "b", "na", "nb", "parts_a", "parts_b").mapInArrow(_suffix_filter(num, den), "a long, b long")
@@ -355,7 +354,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, n
     texts = docs.join(broadcast_if_small(wanted.withColumnRenamed("row", "of")), F.col("row").eqNullSafe(F.col("of")))
     texts = stored(texts.select("key", "text").mapInArrow(_confirm(width), "key long, text string"), "texts").dropDuplicates(["key"])
     full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return stored(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, num, den), "a long, b long"), "links")
+    return full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, num, den), "a long, b long")
 
 
 def _confirm(width: int):
