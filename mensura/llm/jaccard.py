@@ -46,6 +46,8 @@ FOLDED = 4
 DRAWN_ROUNDS = 2
 #: Earlier open n-grams that a posting of the full meeting carries along.
 EARLIER = 8
+#: Up to so many places apart, the sets of a group are held against each other before their postings are kept.
+BESIDE = 8
 
 _SETS = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("parity", pa.binary()), ("folded", pa.list_(pa.int64())),
                    ("chunk", pa.int32()), ("counts", pa.binary())])
@@ -151,33 +153,54 @@ def _prefixes(width: int, num: int, den: int, frequencies):
     return run
 
 
-def _share(batches):
-    """Of postings sorted by (gram, salt, key): those of groups with several sets, or of a salted
-    n-gram, each with its group's pivot. A group that a batch cuts waits for the next batch."""
-    rest = None
-    for b in _chained(batches):
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns] if b is not None else None
-        if rest is not None:
-            cols = rest if cols is None else [np.concatenate(x) for x in zip(rest, cols)]
-        if cols is None or not len(cols[0]):
-            continue
-        gram, salt, salts, key = cols[:4]
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])
-        starts = np.flatnonzero(new)
-        end = len(gram) if b is None else starts[-1]
-        rest = None if b is None else [c[end:] for c in cols]
-        starts = starts[starts < end]
-        if not len(starts):
-            continue
-        sizes = np.diff(np.append(starts, end))
-        pivot = np.repeat(starts, sizes)
-        fresh = np.ones(end, bool)
-        fresh[1:] = new[1:end] | (key[1:end] != key[: end - 1])
-        several = np.repeat(key[starts] != key[starts + sizes - 1], sizes)
-        take = np.flatnonzero(fresh & (several | (salts[:end] > 1)))
-        if len(take):
-            yield batch(_SHARED, *(c[take] for c in cols), *(c[pivot[take]] for c in cols[3:]))
+def _share(num: int, den: int):
+    """Of postings sorted by (gram, salt, key): those that may link with another of their group, or of a
+    salted n-gram, each with its group's pivot. A group that a batch cuts waits for the next batch."""
+
+    def run(batches):
+        rest = None
+        for b in _chained(batches):
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns] if b is not None else None
+            if rest is not None:
+                cols = rest if cols is None else [np.concatenate(x) for x in zip(rest, cols)]
+            if cols is None or not len(cols[0]):
+                continue
+            gram, salt, _, key = cols[:4]
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])
+            end = len(gram) if b is None else np.flatnonzero(new)[-1]
+            rest = None if b is None else [c[end:] for c in cols]
+            fresh = new[:end].copy()
+            fresh[1:] |= key[1:end] != key[:end][:-1]
+            fresh = np.flatnonzero(fresh)
+            group = np.cumsum(new)[fresh]
+            cols = [c[fresh] for c in cols]
+            take = np.flatnonzero(_may_link(group, cols[4], cols[5], num, den) | (cols[2] > 1))
+            if len(take):
+                starts = np.flatnonzero(np.diff(group[take], prepend=0))
+                pivot = np.repeat(take[starts], np.diff(np.append(starts, len(take))))
+                yield batch(_SHARED, *(c[take] for c in cols), *(c[pivot] for c in cols[3:]))
+
+    return run
+
+
+def _may_link(group: np.ndarray, n: np.ndarray, pos: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which postings, by ascending (group, key), have another one in their group that sizes and places let them link with.
+    A pair needs no meeting where the smaller set's place is behind its shorter prefix: it shares an earlier n-gram, if it links.
+    Of a group of more than BESIDE + 1 sets all stay."""
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    short = pos < n - (2 * num * n + num + den - 1) // (num + den) + 1
+    sizes = np.bincount(group)[group]
+    may = sizes > BESIDE + 1
+    for d in range(1, min(int(sizes.max(initial=1)), BESIDE + 1)):
+        i = np.flatnonzero((group[d:] == group[:-d]) & (sizes[d:] <= BESIDE + 1))
+        j = i + d
+        near = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
+        possible = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
+        fits = near & ((den + num) * possible >= num * (n[i] + n[j])) & np.where(n[i] <= n[j], short[i], short[j])
+        may[i[fits]] = True
+        may[j[fits]] = True
+    return may
 
 
 def _chained(batches):
@@ -273,7 +296,7 @@ def _classes(docs: DataFrame, row: str, text: str, width: int, num: int, den: in
         _prefixes(width, num, den, frequencies), "gram long, salt int, salts int, key long, n int, pos int")
     shared = stored(
         postings.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "key").mapInArrow(
-            _share, "gram long, salt int, salts int, key long, n int, pos int, pkey long, pn int, ppos int"), "shared")
+            _share(num, den), "gram long, salt int, salts int, key long, n int, pos int, pkey long, pn int, ppos int"), "shared")
 
     # One common n-gram at places pa, pb: so much can be common before, at and behind it.
     possible = "least(pa, pb) + 1 + least(na - pa - 1, nb - pb - 1)"
@@ -298,13 +321,13 @@ def _classes(docs: DataFrame, row: str, text: str, width: int, num: int, den: in
         drawn = stored(drawn, "tried")
         tried = tried.union(drawn)
         roots = components(roots.union(_verified(docs, nodes, drawn, width, num, den)).toDF("a", "b"))
-        rows_left = _open(rows_left.select("gram", "key", "n", "pos"), roots, nodes if turn == DRAWN_ROUNDS - 1 else None)
+        rows_left = _open(rows_left.select("gram", "key", "n", "pos"), roots)
 
     # Whatever still lies in different components and shares a prefix n-gram. Of the smaller set (of equal
     # ones, that of the smaller key) a shorter prefix does.
     # A set's own open n-grams are at most its prefix.
     before = F.collect_list("gram").over(Window.partitionBy("key").orderBy("pos").rowsBetween(-EARLIER, -1))
-    rows_left = rows_left.withColumn("before", before)
+    rows_left = rows_left.withColumn("before", before).join(nodes.select("key", "folded"), "key")
     minor = rows_left.where("root <> main").select(
         "gram", *[F.col(c).alias(f"p{c}") for c in ("key", "n", "pos", "root", "folded", "before")])
     near = F.expr(f"{den}L * least(n, pn) >= {num}L * greatest(n, pn)")
@@ -329,13 +352,10 @@ def _classes(docs: DataFrame, row: str, text: str, width: int, num: int, den: in
     return out.select("row", "n", "key", "root", component.alias("component_id"))
 
 
-def _open(rows: DataFrame, roots: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Those of ``rows`` (gram, key, n, pos) whose n-gram is still shared by several components (``roots``: node, root),
-    with the component and the one that most of the n-gram's sets are in; with the folded map if ``nodes`` has it."""
-    roots = roots.withColumnRenamed("node", "key")
-    if nodes is not None:
-        roots = nodes.select("key", "folded").join(roots, "key", "left")
-    placed = rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    with the component and the one that most of the n-gram's sets are in."""
+    placed = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     placed = stored(placed, "placed")
     main = placed.groupBy("gram", "root").agg(F.count("*").alias("c")).groupBy("gram").agg(
         F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("gram", "main")
