@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tasks: int | None = None) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b long): root is the smallest node it reaches.
 
     Each round links every node to the smallest of its neighbours, first for the larger and then
@@ -16,17 +16,19 @@ def components(links: DataFrame) -> DataFrame:
     of the nodes. Links stay distributed; each round is written to the shared folder. Links of a node
     with itself and repeated links do nothing; no links give no rows. Given the result for some links
     and further links, it goes on from there: only what the further ones connect takes rounds.
+    At most ``tasks`` tasks write a frame, if given; links that are few for the shuffle partitions then take few.
     """
+    few = (lambda df: df.coalesce(tasks)) if tasks else (lambda df: df)
     high, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    edges = stored(links.where("a <> b").select(high, low).distinct(), "links")
+    edges = stored(few(links.where("a <> b").select(high, low).distinct()), "links")
     while not _are_stars(edges):
         both = edges.union(edges.select("v", "u"))
-        lowest = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
+        lowest = stored(few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))), "lowest")
         large = both.join(lowest, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.distinct(), "large")
-        lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        large = stored(few(large), "large")  # at most one for each edge; repeats do nothing
+        lowest = stored(few(large.groupBy("u").agg(F.min("v").alias("m"))), "lowest")
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(lowest).distinct(), "small")
+        edges = stored(few(small.union(lowest).distinct()), "small")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v"), F.col("v")).distinct()
     )

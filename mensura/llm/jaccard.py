@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import broadcast_if_small
-from .common import batch, mix64, slowly, small_batches, stored, utf8
+from .common import batch, mix64, slowly, small_batches, stored, tasks_for, utf8
 from .components import components
 from .shingles import set_keys, shingle_sets
 
@@ -48,6 +48,8 @@ DRAWN_ROUNDS = 2
 EARLIER = 8
 #: Up to so many places apart, the sets of a group are held against each other before their postings are kept.
 BESIDE = 8
+#: Sets of more n-grams than this on average count as more rows when tasks are dealt out.
+ROW_GRAMS = 256
 
 _SETS = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("parity", pa.binary()), ("folded", pa.list_(pa.int64())),
                    ("chunk", pa.int32()), ("counts", pa.binary())])
@@ -292,6 +294,9 @@ def _classes(docs: DataFrame, row: str, text: str, width: int, num: int, den: in
     rows = sets.where("chunk is null").select("row", "n", "key", "parity", "folded")
     nodes = stored(rows.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.first("parity").alias("parity"), F.first("folded").alias("folded")), "nodes")
     frequencies = spark.sparkContext.broadcast(_frequencies(sets))
+    # Few or short sets take few tasks; many or long ones all that the shuffles deal out.
+    many = rows.agg(F.count("*").alias("rows"), F.sum("n").alias("grams")).first()
+    tasks = tasks_for(spark, max(many.rows, (many.grams or 0) // ROW_GRAMS))
     postings = docs.select("text").mapInArrow(
         _prefixes(width, num, den, frequencies), "gram long, salt int, salts int, key long, n int, pos int")
     shared = stored(
@@ -306,11 +311,11 @@ def _classes(docs: DataFrame, row: str, text: str, width: int, num: int, den: in
         first, "gram").select("key", "n", "pos", "p.pkey", "p.pn", "p.ppos")
     stars = _pair(shared.select("key", "n", "pos", "pkey", "pn", "ppos").union(heads)).where("a <> b")
     stars = stars.where(_similar_length(num, den)).where(_reachable(possible, num, den))
-    tried = stored(stars.select("a", "b", "na", "nb").distinct(), "tried")
-    roots = components(_verified(docs, nodes, tried, width, num, den))
+    tried = stored(stars.select("a", "b", "na", "nb").distinct().coalesce(tasks), "tried")
+    roots = components(_verified(docs, nodes, tried, width, num, den, tasks), tasks)
 
     # Sets outside their n-gram's main component meet a member of it that is drawn for the n-gram.
-    rows_left = _open(shared.select("gram", "key", "n", "pos").distinct(), roots)
+    rows_left = _open(shared.select("gram", "key", "n", "pos").distinct(), roots, tasks)
     for turn in range(DRAWN_ROUNDS):
         drawn = rows_left.where("root = main").groupBy("gram").agg(
             F.min_by(F.struct("key", "n", "pos"), F.xxhash64("gram", "key", F.lit(turn))).alias("p"))
@@ -318,10 +323,10 @@ def _classes(docs: DataFrame, row: str, text: str, width: int, num: int, den: in
             "key", "n", "pos", F.col("p.key").alias("pkey"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
         drawn = _pair(drawn).where(_similar_length(num, den)).where(_reachable(possible, num, den))
         drawn = drawn.select("a", "b", "na", "nb").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        drawn = stored(drawn, "tried")
+        drawn = stored(drawn.coalesce(tasks), "tried")
         tried = tried.union(drawn)
-        roots = components(roots.union(_verified(docs, nodes, drawn, width, num, den)).toDF("a", "b"))
-        rows_left = _open(rows_left.select("gram", "key", "n", "pos"), roots)
+        roots = components(roots.union(_verified(docs, nodes, drawn, width, num, den, tasks)).toDF("a", "b"), tasks)
+        rows_left = _open(rows_left.select("gram", "key", "n", "pos"), roots, tasks)
 
     # Whatever still lies in different components and shares a prefix n-gram. Of the smaller set (of equal
     # ones, that of the smaller key) a shorter prefix does.
@@ -342,38 +347,38 @@ def _classes(docs: DataFrame, row: str, text: str, width: int, num: int, den: in
     across = rows_left.join(minor, "gram").where(
         (F.col("root") != F.col("proot")) & near & both_minor & in_short & reach & alike & ~met_before)
     across = _pair(across).select("a", "b", "na", "nb").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    roots = components(roots.union(_verified(docs, nodes, across, width, num, den)).toDF("a", "b"))
+    roots = components(roots.union(_verified(docs, nodes, across, width, num, den, tasks)).toDF("a", "b"), tasks)
 
     placed = nodes.select("key", "row").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = stored(placed.groupBy("root").agg(F.min("row").alias("component_id")), "least")
-    placed = stored(placed.join(least, "root").select("key", "root", "component_id"), "classes")
+    least = stored(placed.groupBy("root").agg(F.min("row").alias("component_id")).coalesce(tasks), "least")
+    placed = stored(placed.join(least, "root").select("key", "root", "component_id").coalesce(tasks), "classes")
     out = rows.select("row", "n", "key").join(placed, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("row"))
     return out.select("row", "n", "key", "root", component.alias("component_id"))
 
 
-def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def _open(rows: DataFrame, roots: DataFrame, tasks: int) -> DataFrame:
     """Those of ``rows`` (gram, key, n, pos) whose n-gram is still shared by several components (``roots``: node, root),
     with the component and the one that most of the n-gram's sets are in."""
     placed = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    placed = stored(placed, "placed")
+    placed = stored(placed.coalesce(tasks), "placed")
     main = placed.groupBy("gram", "root").agg(F.count("*").alias("c")).groupBy("gram").agg(
         F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("gram", "main")
-    return stored(placed.join(main, "gram"), "open")
+    return stored(placed.join(main, "gram").coalesce(tasks), "open")
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that the suffix filter leaves and the whole sets confirm, confirmed anew at each use."""
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, num: int, den: int, tasks: int) -> DataFrame:
+    """The pairs (a, b) that the suffix filter leaves and the whole sets confirm, confirmed anew at each use, in at most ``tasks`` tasks."""
     parts = nodes.select("key", "parity")
-    pairs = pairs.join(parts.toDF("a", "parts_a"), "a").join(parts.toDF("b", "parts_b"), "b")
+    pairs = pairs.join(parts.toDF("a", "parts_a"), "a").coalesce(tasks).join(parts.toDF("b", "parts_b"), "b").coalesce(tasks)
     pairs = pairs.select("a", "b", "na", "nb", "parts_a", "parts_b").mapInArrow(_suffix_filter(num, den), "a long, b long")
     pairs = stored(pairs, "pairs")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = stored(nodes.select("key", "row").join(keys, "key"), "wanted")
+    wanted = stored(nodes.select("key", "row").join(keys, "key").coalesce(tasks), "wanted")
     # A row id may repeat with other texts, so the key is made anew and must agree.
     texts = docs.join(broadcast_if_small(wanted.withColumnRenamed("row", "of")), F.col("row").eqNullSafe(F.col("of")))
     texts = stored(texts.select("key", "text").mapInArrow(_confirm(width), "key long, text string"), "texts").dropDuplicates(["key"])
-    full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    full = pairs.join(texts.toDF("b", "text_b"), "b").coalesce(tasks).join(texts.toDF("a", "text_a"), "a").coalesce(tasks)
     return full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, num, den), "a long, b long")
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from mensura.llm import components as module
+from mensura.llm.common import TASK_ROWS, tasks_for
 from mensura.llm.components import components
 
 
@@ -47,3 +48,53 @@ def test_further_links_go_on_from_a_result(spark, written):
     assert sorted(map(tuple, components(both.toDF("a", "b")).collect())) == sorted(plain(links + further).items())
     assert written == ["links"]
     assert components(frame(spark, [])).count() == 0
+
+
+@pytest.fixture()
+def many_partitions(spark):
+    """More shuffle partitions than the rows need, and none of them merged."""
+    settings = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def files_of(monkeypatch, *modules):
+    """(name, files) of each frame that ``modules`` write."""
+    found, real = [], module.stored
+
+    def note(df, name):
+        out = real(df, name)
+        found.append((name, len(out.inputFiles())))
+        return out
+
+    for m in modules:
+        monkeypatch.setattr(m, "stored", note)
+    return found
+
+
+def test_tasks_bound_the_files_of_every_round(spark, many_partitions, monkeypatch):
+    found = files_of(monkeypatch, module)
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)]
+    assert {r.node: r.root for r in components(frame(spark, links), 3).collect()} == plain(links)
+    assert len(found) >= 5 and max(files for _, files in found) <= 3
+
+
+def test_few_sets_take_few_tasks_whatever_the_shuffle_partitions(spark, many_partitions, monkeypatch):
+    from mensura.llm import jaccard
+
+    found = files_of(monkeypatch, module, jaccard)
+    rows = [(k, " ".join(f"w{k // 4}x{i}" for i in range(40 + k % 4)) + f" e{k}") for k in range(300)]
+    got = jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {k: k // 4 * 4 for k in range(300)}
+    late = [files for name, files in found if name not in ("sets", "nodes", "shared", "texts")]
+    assert len(late) >= 20 and max(late) <= spark.sparkContext.defaultParallelism
+
+
+def test_tasks_grow_with_the_rows(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert [tasks_for(spark, n) for n in (0, TASK_ROWS, 100 * TASK_ROWS, 100 * TASK_ROWS + 1)] == [cores, cores, 100, 101]
