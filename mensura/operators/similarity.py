@@ -4,13 +4,16 @@ Rows are sparse bit sets, similarity is Tanimoto (shared bits over bits of eithe
 emitted. Training rows are cut into blocks of neighbouring set sizes, and a test row visits blocks in rounds:
 first the block of its own size, which gives a best score so far, then only blocks whose sizes could still
 reach that score (a set of ``m`` bits is at most ``min(n, m) / max(n, m)`` similar to one of ``n``). Inside a
-block, inverted lists are read from the test row's rarest bit on, and the best score so far ends the reading:
-a set at least ``s`` similar shares ``s n`` bits, so it shares one of any ``n - ceil(s n) + 1`` of them.
+block there are two exact ways. Where rows rarely share a bit (measured), inverted lists are read from the test
+row's rarest bit on, and the best score so far ends the reading: a set at least ``s`` similar shares ``s n`` bits,
+so it shares one of any ``n - ceil(s n) + 1`` of them. Where most rows share some, shared bits are counted by
+matrix products, each number of which holds the counts of two to four training rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,12 +27,18 @@ from ..session import cut_lineage
 BLOCK_ROWS, VISIT_ROWS = 50_000, 100_000
 #: Bits read before the best score is looked at again.
 FIRST_BITS = 4
+#: Shared bits of a pair, on the average, from which matrix products count them.
+SHARED_BITS = 0.05
+#: Test rows and training rows of a product, and the most numbers in the matrix of its training rows.
+TILE_ROWS, CHUNK_ROWS, CHUNK_CELLS = 512, 8_192, 1 << 24
+#: Binary digits of a count and the counts that a number of single precision holds exactly (24 digits).
+PACKED = ((6, 4), (8, 3), (12, 2), (24, 1))
 
 
 def hashed_bits(words, bits: int = 2048):
     """Ascending distinct places in ``0 .. bits - 1`` of the words of an array column, by the first 32 bits of MD5."""
     spot = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % bits
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: spot(w).cast("int"))))
+    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(words), lambda w: spot(w).cast("int"))))
 
 
 class _Block:
@@ -76,11 +85,103 @@ def _packed(owner: np.ndarray, bit: np.ndarray, rows: int, words: int) -> np.nda
     return out
 
 
+class _Sets:
+    """Bit sets, one after the other."""
+
+    def __init__(self, sets: Sequence[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([np.asarray(s) for s in sets])
+
+    def cells(self, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every bit of the picked sets, which pick has it, and the bit."""
+        n = self.sizes[picks]
+        place = np.arange(n.sum()) + np.repeat(self.starts[picks] - (np.cumsum(n) - n), n)
+        return np.repeat(np.arange(len(picks)), n), self.flat[place]
+
+
+def _by_products(keys: np.ndarray, train: _Sets, test: _Sets, scores: np.ndarray, bits: int) -> tuple[np.ndarray, list]:
+    """As ``_Block.best`` for all test rows: their best scores, and the keys that have them, None below the given scores."""
+    by_key = np.argsort(keys, kind="stable")
+    rank = np.empty(len(keys), np.int64)
+    rank[by_key] = np.arange(len(keys))
+    scores, nearest = scores.astype(np.float64), np.full(len(scores), len(keys), np.int64)
+    rows = max(1, min(CHUNK_ROWS, CHUNK_CELLS // bits))
+    by_size = np.argsort(train.sizes, kind="stable")
+    chunks = [by_size[a : a + rows] for a in range(0, len(by_size), rows)]
+    low = np.array([train.sizes[c[0]] for c in chunks])
+    high = np.array([train.sizes[c[-1]] for c in chunks])
+    asked = np.argsort(test.sizes, kind="stable")
+    asked = asked[test.sizes[asked] > 0]
+    home = np.minimum(np.searchsorted(high, test.sizes), len(chunks) - 1)
+    # Rows meet the chunk of their own size first; its score rules out others.
+    for first in (True, False):
+        for c, chunk in enumerate(chunks):
+            n = test.sizes[asked]
+            reach = np.minimum(np.minimum(n, high[c]) / np.maximum(n, low[c]), 1.0)
+            own = asked[((home[asked] == c) == first) & (reach >= scores[asked] - 1e-9)]
+            packed: dict[int, np.ndarray] = {}
+            for at in range(0, len(own), TILE_ROWS):
+                _tile(own[at : at + TILE_ROWS], chunk, train, test, rank, scores, nearest, bits, packed)
+    return scores, [keys[by_key[r]] if r < len(keys) else None for r in nearest]
+
+
+def _tile(own: np.ndarray, chunk: np.ndarray, train: _Sets, test: _Sets, rank: np.ndarray, scores: np.ndarray, nearest: np.ndarray,
+          bits: int, packed: dict[int, np.ndarray]) -> None:
+    """Some test rows against a chunk of training rows of rising size: better rows go to ``scores`` and ``nearest``."""
+    n = test.sizes[own]
+    most = min(n.max(), train.sizes[chunk[-1]])
+    digits, many = next(p for p in PACKED if most < 1 << p[0])
+    if digits not in packed:
+        packed[digits] = np.zeros((-(-len(chunk) // many), bits), np.float32)
+        for r in range(many):
+            packed[digits][train.cells(chunk[r::many])] += np.float32(1 << digits * r)
+    asked = np.zeros((len(own), bits), np.float32)
+    asked[test.cells(own)] = 1
+    counts = (asked @ packed[digits].T).astype(np.int32)
+    shared = [(counts >> digits * r) & ((1 << digits) - 1) for r in range(many)]
+    least = scores[own]
+    if not least.all():
+        # Rows without a score: that of the row which shares most, so that few are looked at below.
+        for r, s in enumerate(shared):
+            top = s.argmax(axis=1)
+            met = s[np.arange(len(own)), top]
+            m = train.sizes[chunk[np.minimum(many * top + r, len(chunk) - 1)]]
+            least = np.maximum(least, met / (n + m - met))
+    # Of two sets of n and m bits that are s similar, s / (1 + s) of n + m are shared.
+    need = np.maximum(1, np.ceil(least / (1 + least) * (n + train.sizes[chunk[0]]) - 1e-6)).astype(np.int32)[:, None]
+    found = []
+    for r, s in enumerate(shared):
+        i, at = np.divmod(np.flatnonzero(s >= need), s.shape[1])
+        j = chunk[many * at + r]
+        met = s[i, at].astype(np.int64)
+        score = met / (n[i] + train.sizes[j] - met)
+        good = score >= least[i]
+        found.append((i[good], score[good], rank[j[good]]))
+    i, score, key = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((key, -score, i))
+    order = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])] if len(order) else order
+    row, score, key = own[i[order]], score[order], key[order]
+    better = (score > scores[row]) | ((score == scores[row]) & (key < nearest[row]))
+    scores[row[better]], nearest[row[better]] = score[better], key[better]
+
+
+def _shared_bits(train: _Sets, test: _Sets, bits: int) -> float:
+    """How many bits a training row and a test row share on the average."""
+    met = np.bincount(train.flat, minlength=bits).astype(np.float64) @ np.bincount(test.flat, minlength=bits)
+    return float(met / max(1, len(train.sizes) * len(test.sizes)))
+
+
 def _search(bits: int):
     def run(train: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
         if not len(train) or not len(visits):
             return pd.DataFrame([], columns=["row", "score", "nearest"])
-        block = _Block(train["key"].to_numpy(), [np.asarray(s, np.int64) for s in train["set"]], bits)
+        keys, known, asked = train["key"].to_numpy(), _Sets(train["set"]), _Sets(visits["set"])
+        if _shared_bits(known, asked, bits) >= SHARED_BITS:
+            scores, nearest = _by_products(keys, known, asked, visits["score"].to_numpy(), bits)
+            found = [(row, float(s), k) for row, s, k in zip(visits["row"], scores, nearest) if k is not None]
+            return pd.DataFrame(found, columns=["row", "score", "nearest"])
+        block = _Block(keys, [np.asarray(s, np.int64) for s in train["set"]], bits)
         out = []
         for row, own, score in zip(visits["row"], visits["set"], visits["score"]):
             score, nearest = block.best(np.asarray(own, np.int64), float(score))
@@ -105,10 +206,11 @@ def max_similarity(test: DataFrame, train: DataFrame, key: str, bit_set: str, bi
                                       lambda b: b.isNotNull() & (b >= 0) & (b < bits)))
     if bits <= 1 << 15:
         clean = clean.cast("array<smallint>")
-    train = train.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), clean.alias("set")).where(F.size("set") > 0)
-    train = cut_lineage(train.withColumn("n", F.size("set")))
-    test = cut_lineage(test.select(F.col(key).alias("own"), clean.alias("set"), F.monotonically_increasing_id().alias("row"))
-                       .withColumn("n", F.size("set")))
+    # Sets are written before their sizes are asked for; a filter on the size would build each set once more.
+    train = cut_lineage(train.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), clean.alias("set")))
+    train = train.withColumn("n", F.size("set")).where("n > 0")
+    test = cut_lineage(test.select(F.col(key).alias("own"), clean.alias("set"), F.monotonically_increasing_id().alias("row")))
+    test = test.withColumn("n", F.size("set"))
     # One entry per set size, so at most ``bits`` of them.
     sizes = {r["n"]: r["count"] for r in train.groupBy("n").count().collect()}
     spans = _blocks(sizes)
@@ -131,7 +233,7 @@ def max_similarity(test: DataFrame, train: DataFrame, key: str, bit_set: str, bi
         spread = F.col("home_from") + F.pmod(F.xxhash64("key"), F.col("home_to") - F.col("home_from") + 1).cast("int")
         blocks = cut_lineage(train.join(by_size, train["n"] == places["size"]).withColumn("block", spread).select("key", "set", "block"))
         # Few blocks are cut into more visits, so that all cores have some.
-        salts = max(1, -(-test.count() // VISIT_ROWS), -(-3 * spark.sparkContext.defaultParallelism // (last + 1)))
+        salts = max(1, -(-test.count() // VISIT_ROWS), -(-6 * spark.sparkContext.defaultParallelism // (last + 1)))
         home = F.col("home_from") + F.pmod(F.xxhash64("row"), F.col("home_to") - F.col("home_from") + 1).cast("int")
         asked = test.where("n > 0")
         visits = asked.join(by_size, asked["n"] == places["size"]).select(

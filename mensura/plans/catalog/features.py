@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ...operators import features as f
 from ...operators import similarity
+from ...session import kept_columns
 from ..registry import query, rounded
 
 
@@ -99,7 +100,8 @@ BITS_SQL = rf"""d AS (SELECT doc_id, {TOKENS} AS w, doc_id IN (SELECT doc_id FRO
 def _nearest(t):
     """The documents without label against those with one, as sets of hashed tokens."""
     rows = t.texts().select("doc_id", f.tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    rows = rows.select("doc_id", similarity.hashed_bits(F.col("w")).alias("bits"))
+    # Written once: both joins below would hash the words of every document.
+    rows = kept_columns(rows.select("doc_id", similarity.hashed_bits(F.col("w")).alias("bits")), "bits")
     known = t.labels.select("doc_id").distinct()
     return similarity.max_similarity(rows.join(known, "doc_id", "left_anti"), rows.join(known, "doc_id", "left_semi"), "doc_id", "bits")
 

@@ -1,6 +1,7 @@
 """The exact maximum-similarity join against all pairs on small tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,46 @@ def test_nearest_training_row_equals_all_pairs(spark, monkeypatch, block_rows, v
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(test, train, 256)
 
 
+@pytest.mark.parametrize("shared_bits", [0.0, 1e9])
+def test_products_and_lists_find_the_same_rows(monkeypatch, shared_bits):
+    """Both ways inside a block against all pairs; sizes call for every number of counts in a product's number."""
+    monkeypatch.setattr(similarity, "SHARED_BITS", shared_bits)
+    monkeypatch.setattr(similarity, "TILE_ROWS", 16)
+    monkeypatch.setattr(similarity, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(similarity, "PACKED", ((3, 8), (6, 4), (8, 3), (12, 2), (24, 1)))
+    rng = np.random.default_rng(5)
+    bits = 5000
+    sets = [np.sort(rng.choice(bits, int(n), replace=False)).astype(np.int16) for n in [*rng.integers(1, 900, 150), *[5] * 40, 4200, 4500]]
+    sets += [sets[3], sets[3], np.array([4999], np.int16)]
+    keys = rng.permutation(len(sets)) + (1 << 60)
+    asked = [sets[3], sets[7][1:], sets[190], sets[191], *sets[150:170], np.array([0], np.int16), np.array([], np.int16)]
+    asked += [np.sort(rng.choice(bits, int(n), replace=False)).astype(np.int16) for n in rng.integers(1, 900, 30)]
+    known = [0.0] * len(asked)
+    known[4], known[5] = 1.0, 0.9  # found elsewhere: only rows that are no worse come back
+    train = pd.DataFrame({"key": keys, "set": sets})
+    got = similarity._search(bits)(train, pd.DataFrame({"row": range(len(asked)), "set": asked, "score": known}))
+    want = []
+    for i, (own, least) in enumerate(zip(asked, known)):
+        own = set(own.tolist())
+        met = [(-len(own & set(s.tolist())) / len(own | set(s.tolist())), k) for k, s in zip(keys, sets) if own & set(s.tolist())]
+        if met and -min(met)[0] >= least:
+            want.append((i, -min(met)[0], min(met)[1]))
+    assert sorted(got.itertuples(index=False, name=None)) == want
+
+
+def test_rows_that_share_bits_are_counted_by_products(monkeypatch):
+    """Sets of many frequent bits meet nearly all others: no list is read for them, one row at a time."""
+    def lists(*_):
+        raise AssertionError("inverted lists were built")
+
+    monkeypatch.setattr(similarity, "_Block", lists)
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.choice(2048, 250, replace=False)).astype(np.int16) for _ in range(60)]
+    train = pd.DataFrame({"key": range(40), "set": sets[:40]})
+    got = similarity._search(2048)(train, pd.DataFrame({"row": range(20), "set": sets[40:], "score": 0.0}))
+    assert len(got) == 20 and (got["score"] > 0).all()
+
+
 def test_text_keys_and_empty_tables(spark):
     test, train = [("b", [1, 2]), ("a", [])], [("y", [2, 1]), ("x", [1, 2]), ("z", [1])]
     got = similarity.max_similarity(table(spark, test, "string"), table(spark, train, "string"), "id", "bits", 64)
