@@ -32,7 +32,8 @@ def fingerprint(df: DataFrame, text: str, out: str = "fingerprint", bits: int =
     """Binary hashed fingerprint: each token with its neighbourhood of up to ``longest`` tokens; ``count`` names a
     column for the number of distinct ones (0 without text)."""
     grams = F.array_distinct(F.concat(*[ngrams(F.col("__tok"), n) for n in range(1, longest + 1)]))
-    staged = df.withColumn("__tok", tokens(text)).withColumn("__grams", grams)
+    words = F.coalesce(tokens(text), F.array().cast("array<string>"))
+    staged = df.withColumn("__tok", words).withColumn("__grams", grams)
     hashed = HashingTF(numFeatures=bits, binary=True, inputCol="__grams", outputCol=out).transform(staged)
     if count:
         hashed = hashed.withColumn(count, F.coalesce(F.size("__grams"), F.lit(0)).cast("long"))

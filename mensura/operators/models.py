@@ -17,7 +17,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import confound_level, direction_arrow, partial_verdict
+from ..functions.clean import confound_level, direction_arrow, nan_to_null, partial_verdict
 from ..session import broadcast_if_small, cut_lineage
 from .expect import enforce, predictions_complete
 from .joins import job_plan, without
@@ -69,6 +69,11 @@ def network_classifier(layers: Sequence[int], iterations: int = 100, features: s
     return MultilayerPerceptronClassifier(layers=list(layers), maxIter=iterations, featuresCol=features, labelCol=label, seed=seed)
 
 
+def with_label(df: DataFrame, label: str) -> DataFrame:
+    """The rows that a model can learn from and be judged by: those whose label is a number."""
+    return df.where(nan_to_null(label).isNotNull())
+
+
 def fit_score(estimator: Estimator, train: DataFrame, test: DataFrame) -> DataFrame:
     return estimator.fit(train).transform(test)
 
@@ -132,7 +137,7 @@ def model_grid(
     executors. Finished (representation, algorithm, partition) jobs in ``done`` are not trained
     again: their rows come back with the new ones, so the table is whole however often a run
     was stopped. A job that lacks predictions is not finished and is trained anew. ``sink``
-    receives each newly finished batch.
+    receives each newly finished batch. Rows without ``y`` train no model but are predicted.
     """
     spark = data.sparkSession
     shape = folds.agg(F.max("partition").alias("p"), F.max("fold").alias("k")).first()
@@ -145,6 +150,7 @@ def model_grid(
     # The plan has one row per model to train: small by construction.
     jobs = sorted({(r["representation"], r["algorithm"], r["partition"]) for r in plan.collect()})
     table = data.select(key, F.col(y).cast("double").alias("y_true"), F.col(y).cast("double").alias("y"), *representations.values())
+    table = table.withColumn("y", nan_to_null("y"))
     joined = cut_lineage(folds.select(key, "partition", "fold").join(table, key))
 
     def columns(df: DataFrame, rep: str, alg: str) -> DataFrame:
@@ -161,7 +167,7 @@ def model_grid(
         else:
             vector, out = representations[rep], None
             for fold in range(n_folds):
-                model = algorithms[alg](vector).fit(rows.where(F.col("fold") != fold))
+                model = algorithms[alg](vector).fit(with_label(rows.where(F.col("fold") != fold), "y"))
                 scored = columns(model.transform(rows.where(F.col("fold") == fold)), rep, alg)
                 out = scored if out is None else out.unionByName(scored)
         out = cut_lineage(out)

@@ -168,8 +168,10 @@ def _grid(t):
     FROM (VALUES ('descriptors', 'forest'), ('descriptors', 'boosted'), ('fingerprint', 'forest'), ('fingerprint', 'boosted'), ('__baseline__', 'mean')) AS j(representation, algorithm)""")
 def model_grid(t):
     """Grid summary: two representations × two algorithms and the baseline, three group folds, each row scored once;
-    which jobs have a smaller pooled error than the baseline."""
-    out = cut_lineage(fold_summary(_grid(t), ["representation", "algorithm", "partition"], "fold", "y_true", "y_pred"))
+    which jobs have a smaller pooled error than the baseline. A document without text has no length to be wrong about, but counts as scored."""
+    oof = _grid(t)
+    scored = oof.groupBy(*m.JOB).agg(F.count("y_pred").alias("n"))
+    out = cut_lineage(fold_summary(oof, m.JOB, "fold", "y_true", "y_pred").drop("n").join(scored, m.JOB))
     base = out.where("representation = '__baseline__'").select(F.max("rmse_pooled")).scalar()
     return out.select(
         "representation", "algorithm", F.col("partition").cast("int").alias("partition"), "n",
