@@ -190,12 +190,16 @@ def impurity_importance(
     data: DataFrame, folds: DataFrame, key: str, names: Sequence[str], estimator: Callable[[str], Estimator],
     features: str = "features", fitted: dict[int, Model] | None = None,
 ) -> DataFrame:
-    """Mean and population sd of a tree model's importances over folds; ``fitted`` receives the model of each fold."""
+    """Mean and population sd of a tree model's importances over folds; ``fitted`` receives the model of each fold.
+
+    Rows without label train no model.
+    """
     rows = cut_lineage(folds.where(F.col("partition") == 0).select(key, "fold").join(data, key))
     n_folds = int(rows.agg(F.max("fold")).first()[0]) + 1
 
     def one(fold: int) -> list[tuple[str, int, float]]:
-        model = estimator(features).fit(rows.where(F.col("fold") != fold))
+        learner = estimator(features)
+        model = learner.fit(with_label(rows.where(F.col("fold") != fold), learner.getLabelCol()))
         if fitted is not None:
             fitted[fold] = model
         return [(n, fold, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
@@ -256,11 +260,11 @@ def permutation_importance(
 
     ``values`` is an array column. All features and repeats of a fold are scored in one job. ``fitted`` may hold the
     models of these folds, fitted to the same values in a column ``features``; a fold without one is fitted here.
+    Rows without ``y`` take no part: no loss can be told from them.
     """
     vector = "features"
-    rows = cut_lineage(
-        folds.where(F.col("partition") == 0).select(key, "fold").join(data.select(key, F.col(y).cast("double").alias("y"), values), key)
-    )
+    usable = with_label(data.select(key, F.col(y).cast("double").alias("y"), values), "y")
+    rows = cut_lineage(folds.where(F.col("partition") == 0).select(key, "fold").join(usable, key))
     n_folds = int(rows.agg(F.max("fold")).first()[0]) + 1
 
     def one(fold: int) -> DataFrame:

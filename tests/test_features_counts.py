@@ -52,6 +52,19 @@ def test_grid_predicts_rows_without_label(spark):
     assert abs(mean - sum(labels.values()) / len(labels)) < 1e-9
 
 
+def test_importances_without_some_labels(spark):
+    """The importances are those of the rows with a label."""
+    df, folds = _partly_labelled(spark)
+    forest = lambda v: m.forest_regressor(5, 3, v)
+    whole = df.where("id NOT IN (5, 7, 11)")
+    for one in (
+        lambda d: m.impurity_importance(d, folds, "id", ["a", "b"], forest),
+        lambda d: m.permutation_importance(d, folds, "id", "y", "x", ["a", "b"], forest, repeats=2),
+    ):
+        got, want = ({r.feature: r.importance_mean for r in one(d).collect()} for d in (df, whole))
+        assert got["a"] > got["b"] and all(abs(got[k] - want[k]) < 0.05 for k in want)
+
+
 def test_fingerprint_of_missing_text(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "i int, text string")
     got = {r.i: (r.n, r.b) for r in f.fingerprint(df, "text", bits=64, count="n").select("i", "n", f.on_bits("fingerprint").alias("b")).collect()}
